@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality, toxicity, url_filter
+from . import extract, hnsw, jaccard, mixing, packing, quality, topk, toxicity, url_filter, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """Path of the vocabulary that the token queries name."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -21,10 +28,28 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return wavelet.round_trip(_table(spark, folder, "documents"), tokenizer())
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn documents; targets are the tempered marginals of the corpus."""
+    drawn = mixing.sample(_table(spark, folder, "documents"))
+    return drawn.select("doc_id", "source", "lang", drawn["_topic"].alias("topic"), drawn["_tokens"].alias("tokens"), drawn["_probability"].alias("probability"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), k=10, every=100)
+
+
 #: The rules of the query on pages.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -40,11 +65,25 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.main_text(_table(spark, folder, "pages"))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_token_files": op3_token_files,
+    "op4_mixing": op4_mixing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_url_filter": op8_url_filter,
+    "op9_main_text": op9_main_text,
+    "op10_packing": op10_packing,
 }
 
 _SQL_URL = r"""
@@ -62,4 +101,28 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.page_id IS NOT DISTINCT FROM p.page_id AND f.host = p.host AND f.path = p.path
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": _SQL_URL}
+_SQL_TOP_K = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
+_SQL_NEAR_VECTORS = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM unit UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT u.vec_id, (SELECT count(*) FROM links l WHERE l.a = u.vec_id) AS n_links, component_id, u.vec_id = component_id AS kept
+FROM unit u JOIN least USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_embedding_near_dedup": _SQL_NEAR_VECTORS, "op7_exact_top_k": _SQL_TOP_K, "op8_url_filter": _SQL_URL}
