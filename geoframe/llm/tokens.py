@@ -16,8 +16,8 @@ import numpy as np
 
 from .words import _BYTE, SPACE, _place, _segments, mix64
 
-KEPT = 1_000_000
-SLOTS = 1 << 22
+KEPT = 400_000
+SLOTS = 1 << 21
 TOGETHER = 200
 
 _LETTER, _DIGIT, _MARK = 1, 2, 3
