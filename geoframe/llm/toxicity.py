@@ -3,9 +3,9 @@
 Two zstandard dictionaries are trained from the labelled rows: one on words of ordinary
 texts, one on the stems by which toxic texts stand out.  A text is cut into windows of one
 word each.  A window is compressed twice, against the ordinary dictionary and against the
-same dictionary with the toxic one in front, and its distance is the bytes that the toxic
-one saves.  An anchor that both dictionaries hold precedes each window, as zstandard stores
-a frame of a few bytes without compressing it.  The threshold for a window is calibrated on
+same dictionary with the toxic one behind it, and its distance is the bytes that the toxic
+one saves.  An anchor that both dictionaries hold stands before and after each window, as zstandard stores a frame
+of a few bytes without compressing it and looks for no match in a frame's last eight bytes.  The threshold for a window is calibrated on
 the training rows, as is the logistic curve from a text's windows to its score.  Distances
 of distinct words are kept, so a word that comes again costs a lookup.
 
@@ -36,12 +36,13 @@ from .shared import held_out
 SAMPLE = 4000
 SAMPLE_CHARS = 20_000
 #: A stem marks toxic text if this many times as common there, in at least this share of its texts.
-CONTRAST = 20.0
-SUPPORT = 0.01
+CONTRAST = 10.0
+SUPPORT = 0.02
 SHORTEST, LONGEST = 4, 12
 ORDINARY_BYTES = 4096
 TOXIC_BYTES = 4096
 ANCHOR = bytes(range(128, 152))
+FILLER = b"\x01"
 KEPT_WORDS = 400_000
 
 
@@ -114,9 +115,11 @@ class Model:
         if not words or not self.toxic:
             return np.zeros(len(words), np.int64)
         if "pair" not in self._state:
-            self._state["pair"] = (_compressor(self.ordinary + ANCHOR), _compressor(self.toxic + self.ordinary + ANCHOR))
-        sizes = np.fromiter((len(w) for w in words), np.uint64, len(words)) + np.uint64(len(ANCHOR) + 2)
-        body = b"".join([b"%b %b " % (ANCHOR, w) for w in words])
+            # the toxic part is nearest to the window, so a match in it is short to write; filler that
+            # no text matches keeps the ordinary part as far away in the other dictionary
+            self._state["pair"] = (_compressor(self.ordinary + FILLER * len(self.toxic) + ANCHOR), _compressor(self.ordinary + self.toxic + ANCHOR))
+        sizes = np.fromiter((len(w) for w in words), np.uint64, len(words)) + np.uint64(2 * len(ANCHOR) + 2)
+        body = b"".join([b"%b %b %b" % (ANCHOR, w, ANCHOR) for w in words])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
         ranges = np.stack([starts, sizes], axis=1).tobytes()
         one, two = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(zstandard.BufferWithSegments(body, ranges))), np.int64, len(words)) for c in self._state["pair"])
@@ -166,7 +169,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     found = stems(bad, good)
     if not found:
         return model
-    model.toxic = b"".join(b" " + s for s in found)[-TOXIC_BYTES:]
+    model.toxic = b"".join(b" " + s + FILLER for s in found)[-TOXIC_BYTES:]
     plain = [b" " + w for words in good for w in sorted(words)]
     plain = plain[:: max(1, len(plain) // 60_000)]
     try:
