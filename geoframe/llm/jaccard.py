@@ -48,6 +48,8 @@ MAX_FREQUENT = 1_000_000
 PART = 1_000_000
 #: Hashes in one bucket of a shuffle.
 BUCKET = 500_000
+#: Groups of nodes whose counts are added up together.
+SLOTS = 256
 
 
 def _binary(a: np.ndarray) -> bytes:
@@ -144,6 +146,18 @@ def _count_shared(table: pa.Table) -> pa.Table:
             weight = np.bincount(run, weights=np.where(owner == 0, 2, 1))
             owner = owner[(weight[run] > 1) & (owner != 0)]
         nodes, counts = np.unique(owner, return_counts=True)
+    slots = (mix64(nodes.view(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+    order = np.argsort(slots, kind="stable")
+    nodes, counts, slots = nodes[order], np.asarray(counts, np.int64)[order], slots[order]
+    starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]]) if len(slots) else np.zeros(0, np.int64)
+    runs = list(zip(starts.tolist(), np.append(starts[1:], len(slots)).tolist(), strict=True)) if len(slots) else []
+    return pa.table({"slot": pa.array(slots[starts], pa.int32()), "nodes": pa.array([_binary(nodes[a:b]) for a, b in runs], pa.binary()), "counts": pa.array([_binary(counts[a:b]) for a, b in runs], pa.binary())})
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    """Of one slot of nodes: their counts over all buckets."""
+    nodes, at = np.unique(_join_arrays(table.column("nodes"), np.int64), return_inverse=True)
+    counts = np.bincount(at, weights=_join_arrays(table.column("counts"), np.int64), minlength=len(nodes)).astype(np.int64)
     return pa.table({"node": pa.array(nodes, pa.int64()), "shared": pa.array(counts, pa.int64())})
 
 
@@ -368,7 +382,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = tasks_for(spark, total * 3 / 8, BUCKET)
     named = docs.filter("doc_id is not null and text is not null")
-    shared = named.select("text").mapInArrow(_post_smallest(buckets), _POSTED).groupBy("bucket").applyInArrow(_count_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    shared = named.select("text").mapInArrow(_post_smallest(buckets), _POSTED).groupBy("bucket").applyInArrow(_count_shared, "slot int, nodes binary, counts binary").groupBy("slot").applyInArrow(_sum_shared, "node long, shared long")
     classes = known.filter("doc_id is not null and n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"))
     active = cut(classes.join(shared, "node").filter("shared >= ceil(ceil(n * 3 / 4) / 8)").select(F.col("first_id").alias("doc_id"), "node"))
     sets = cut(named.join(active, "doc_id").mapInArrow(_sets, "node long, n long, hashes binary").dropDuplicates(["node"]))
