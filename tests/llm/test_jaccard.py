@@ -61,6 +61,7 @@ def test_matches_brute_force(spark):
 
 
 def test_large_group_in_parts(spark, monkeypatch):
+    """Parts of 2,000 shingles, so the group is split and the rest meets all parts."""
     rnd = random.Random(3)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
     rows = [(i, " ".join(base)) for i in range(40)]
@@ -69,12 +70,12 @@ def test_large_group_in_parts(spark, monkeypatch):
         for _ in range(rnd.choice((1, 1, 2, 3))):
             w[rnd.randrange(80)] = f"x{i}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(jaccard, "PART", 2000)  # also in the workers, where it isn't read
+    monkeypatch.setattr(jaccard, "PART", 2000)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert result(jaccard.near_duplicates(df)) == brute(rows)
 
 
-def test_frequent_hashes(spark, monkeypatch):
+def test_frequent_hashes(spark):
     rnd = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(12))
     rows = [(i, passage + " " + " ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.choice((0, 1, 2, 3, 20))))) for i in range(150)]
