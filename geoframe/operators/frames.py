@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import with_ranks
+
 
 def displacement_to_previous(frames: DataFrame, video: str, order: list, value: Column) -> DataFrame:
     """Adds displacement, the absolute change of ``value`` from the frame before (null for the first)."""
@@ -67,19 +69,8 @@ def shift_between(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def holdout_split(names: DataFrame, column: str, every: int = 8) -> DataFrame:
-    """Adds is_test, true for every k-th row by name, from the first.  Rows are numbered by range
-    partitions and offsets, so the order is total but no task holds all rows."""
-    spark = names.sparkSession
-    ordered = names.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), column).sortWithinPartitions(column).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
-    from .shared import cut
-
-    ordered = cut(ordered)
-    before, total = [], 0
-    for r in ordered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("low")).orderBy("_part").collect():
-        before.append((r["_part"], r["low"], total))
-        total += r["n"]
-    known = spark.createDataFrame(before, "_part int, _low long, _before long")
-    return ordered.join(F.broadcast(known), "_part").withColumn("is_test", (F.col("_place") - F.col("_low") + F.col("_before")) % every == 0).drop("_part", "_place", "_low", "_before")
+    """Adds is_test, true for every k-th row by name, from the first."""
+    return with_ranks(names, [column]).withColumn("is_test", F.col("_rank") % every == 0).drop("_rank")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:

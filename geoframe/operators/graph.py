@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, with_ranks
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,15 +37,6 @@ def tracks(matches: DataFrame, min_length: int = 2) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Dense ids in order of the components.  Ids come from ranks within ranges, so no single task sorts all."""
-    heads = found.select("component").distinct()
-    tasks = heads.sparkSession.sparkContext.defaultParallelism
-    ordered = cut(heads.repartitionByRange(tasks, "component").sortWithinPartitions("component").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
-    starts = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first_place")).orderBy("part").collect()
-    offsets, total = [], 0
-    for r in starts:
-        offsets.append((r["part"], r["first_place"], total))
-        total += r["n"]
-    known = heads.sparkSession.createDataFrame(offsets, "part int, first_place long, before long")
-    ids = ordered.join(F.broadcast(known), "part").select("component", (F.col("place") - F.col("first_place") + F.col("before")).alias("track_id"))
+    """Dense ids in order of the components."""
+    ids = with_ranks(found.select("component").distinct(), ["component"], "track_id")
     return found.join(ids, "component").select("track_id", F.col("node.image_id").alias("image_id"), F.col("node.kp_idx").alias("kp_idx"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -126,12 +125,12 @@ def model_summary(cams: DataFrame, images: DataFrame, points: DataFrame, observa
     return out.withColumn("mean_track", F.coalesce(F.try_divide(F.col("_o"), F.col("points")), F.lit(0.0))).drop("_o")
 
 
-def numbered_points(existing: DataFrame, new: DataFrame, order: list) -> DataFrame:
+def numbered_points(existing: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """Gives new points the ids after the largest existing one."""
-    from pyspark.sql import Window
+    from .shared import with_ranks
 
     start = existing.agg(F.coalesce(F.max("point_id"), F.lit(0)).alias("_top"))
-    return new.withColumn("_k", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(start)).withColumn("point_id", F.col("_top") + F.col("_k")).drop("_k", "_top")
+    return with_ranks(new, order).crossJoin(F.broadcast(start)).withColumn("point_id", F.col("_top") + F.col("_rank") + 1).drop("_rank", "_top")  # one row
 
 
 def max_ray_angle(observations: DataFrame) -> DataFrame:
@@ -140,6 +139,3 @@ def max_ray_angle(observations: DataFrame) -> DataFrame:
     ray = let(minus(F.col("c"), F.col("p")), lambda r: let(norm(r), lambda n: vec(*[divide(at(r, i), n) for i in range(3)])))
     rays = observations.select("point_id", ray.alias("ray"))
     return rays.groupBy("point_id").agg(F.collect_list("ray").alias("rays")).select("point_id", F.degrees(safe_acos(F.array_min(F.flatten(F.transform("rays", lambda a: F.transform("rays", lambda b: dot(a, b))))))).alias("angle"))
-
-
-PI = math.pi

@@ -62,6 +62,18 @@ def test_tracks(spark):
     assert sorted((r.image_id, r.kp_idx) for r in graph.tracks(m, 3).collect()) == [(3, 0), (4, 0), (5, 0)]
 
 
+def test_numbered_points(spark):
+    old = spark.createDataFrame([(7,)], "point_id long")
+    got = metrics.numbered_points(old, spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "x double"), ["x"])
+    assert sorted((r.x, r.point_id) for r in got.collect()) == [(1.0, 8), (2.0, 9), (3.0, 10)]
+
+
+def test_widest_ray(spark):
+    rows = [(1, [1.0, 0.0, 1.0], [0.0, 0.0, 0.0]), (1, [-1.0, 0.0, 1.0], [0.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0], [0.0, 0.0, 0.0])]
+    got = metrics.max_ray_angle(spark.createDataFrame(rows, "point_id long, c array<double>, p array<double>")).first()
+    assert abs(got.angle - 90) < 1e-9
+
+
 def test_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in graph.components(e).collect()} == {0}
