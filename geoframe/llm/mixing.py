@@ -2,11 +2,18 @@
 
 The tokens of the corpus are summed in cells of source, language and topic.  The cell sums are
 raked: scaled to the source marginals, then the language marginals, then the topic marginals,
-until all hold.  A cell's weight is its fitted share over its present one, its probability the
-weight over the largest one, and a document stays if a hash of its id is under the probability
-of its cell; so kept tokens have the target marginals in expectation.  The cells are a small
-table as long as there are at most CELLS of them, and are fitted on the driver; more are fitted
-by the same steps as joins on the cluster.
+until all hold.  A cell's weight is its fitted share over its present one.
+
+How much is kept is a budget, a share of the corpus's tokens.  A value of an axis gets its target
+share of the budget or, if that is more than it has, all its tokens; what it falls short goes to
+the other values by their targets.  The cells are raked to these sums by probabilities of at most
+1: in each step the cells below 1 take what the cells at 1 leave.  A document stays if a hash of
+its id is under the probability of its cell.  So the kept tokens are the budget in expectation,
+whatever rare values there are, and have the target marginals but for what capped cells miss;
+``report`` tells both.
+
+The cells are a small table as long as there are at most CELLS of them, and are fitted on the
+driver; more are fitted by the same steps as joins on the cluster.
 
 Targets are given shares for each marginal, or by default the present shares to the power
 TEMPER, scaled to one (that lifts rare values).  Values without a target share are dropped,
@@ -33,9 +40,13 @@ from .words import word_hashes
 
 TEMPER = 0.7
 TOPICS = 8
+#: Share of the corpus's tokens that is kept.
+BUDGET = 0.5
 CELLS = 200_000
 ROUNDS = 500
 CLOSE = 1e-9
+#: Factors of cells at probability 1 grow no further.
+HIGH = 1e9
 SLICE = 1 << 20
 LONG = 7
 AXES = ("source", "lang", "topic")
@@ -106,22 +117,78 @@ def _target(values: list, sums: np.ndarray, wanted: dict | None, temper: float)
     return share / share.sum() if share.sum() > 0 else share
 
 
-def _fit_small(rows: list, targets: dict, temper: float) -> list[tuple]:
+def goals(has: np.ndarray, target: np.ndarray, kept: float) -> np.ndarray:
+    """Tokens to keep of each value: in proportion to ``target``, at most what it has, ``kept`` in all if there are so many."""
+    full = np.zeros(len(has), bool)
+    while True:
+        open_ = ~full & (target > 0)
+        want = np.where(open_, target * max(kept - has[full].sum(), 0.0) / max(target[open_].sum(), 1e-300), 0.0)
+        more = open_ & (want >= has)
+        if not more.any():
+            return np.where(full, has, want)
+        full |= more
+
+
+def capped(sums: np.ndarray, axes: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of at most 1 by which the cells keep the wanted tokens on every axis.
+
+    ``wanted``: tokens by value's number.  Where the axes contradict each other under the cap, the last one holds."""
+    total = sums.sum()
+    if total <= 0:
+        return np.zeros(len(sums))
+    u = np.where(sums > 0, wanted[0].sum() / total, 0.0)
+    for _ in range(ROUNDS):
+        off, before = 0.0, np.minimum(u, 1)
+        for at, want in zip(axes, wanted, strict=True):
+            n = len(want)
+            now = np.bincount(at, weights=sums * np.minimum(u, 1), minlength=n)
+            free = np.bincount(at, weights=np.where(u < 1, sums * u, 0.0), minlength=n)
+            off = max(off, float(np.abs(now - want).max()) / total)
+            # up: the free cells take what is missing; down: all shrink
+            up = np.divide(want - now + free, free, out=np.ones(n), where=free > 0)
+            down = np.divide(want, now, out=np.zeros(n), where=now > 0)
+            u = np.minimum(u * np.where(want >= now, up, down)[at], HIGH)
+        if off < CLOSE or float(np.abs(np.minimum(u, 1) - before).max()) < CLOSE:
+            break
+    return np.minimum(u, 1)
+
+
+def _fit_small(rows: list, targets: dict, temper: float, budget: float) -> list[tuple]:
     sums = np.array([r["tokens"] for r in rows], float)
-    axes, shares = [], []
+    axes, shares, wanted = [], [], []
     for axis in AXES:
         values = list(dict.fromkeys(r[axis] for r in rows))
         number = {v: i for i, v in enumerate(values)}
         at = np.array([number[r[axis]] for r in rows], np.int64)
+        has = np.bincount(at, weights=sums, minlength=len(values))
         axes.append(at)
-        shares.append(_target(values, np.bincount(at, weights=sums, minlength=len(values)), targets.get(axis), temper))
+        shares.append(_target(values, has, targets.get(axis), temper))
+        wanted.append(goals(has, shares[-1], budget * sums.sum()))
     fit = rake(sums, axes, shares)
     weight = np.divide(fit * sums.sum(), sums, out=np.zeros_like(sums), where=sums > 0)
-    top = weight.max(initial=0.0)
-    return [(*(r[a] for a in AXES), float(w), float(w / top) if top > 0 else 0.0) for r, w in zip(rows, weight, strict=True)]
+    chance = capped(sums, axes, wanted) if rows else sums
+    return [(*(r[a] for a in AXES), float(w), float(p)) for r, w, p in zip(rows, weight, chance, strict=True)]
+
 
+def _goals_large(sums: DataFrame, kept: float) -> DataFrame:
+    """``goals`` of a table with columns n and share, as column want."""
+    scale = 0.0
+    while True:
+        full = F.col("share") * scale >= F.col("n")
+        r = sums.agg(F.sum(F.when(full, F.col("n"))).alias("had"), F.sum(F.when(~full, F.col("share"))).alias("open")).first()
+        new = max(kept - (r["had"] or 0.0), 0.0) / r["open"] if r["open"] else scale
+        if new <= scale * (1 + 1e-12):
+            return sums.withColumn("want", F.least(F.col("n").cast("double"), F.col("share") * scale))
+        scale = new
 
-def _fit_large(cells: DataFrame, targets: dict, temper: float) -> DataFrame:
+
+def _settled(df: DataFrame) -> DataFrame:
+    """``cut``, and without the estimate of its size, which the joins of each round would square."""
+    done, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
+def _fit_large(cells: DataFrame, targets: dict, temper: float, budget: float) -> DataFrame:
     """The same rounds as joins of the cell table with its marginals."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
@@ -131,28 +198,54 @@ def _fit_large(cells: DataFrame, targets: dict, temper: float) -> DataFrame:
         sums = cells.groupBy(axis).agg(F.sum("tokens").alias("n"))
         if targets.get(axis) is not None:
             given = spark.createDataFrame([(v, float(s)) for v, s in targets[axis].items()], f"{axis} {dict(cells.dtypes)[axis]}, share double")
-            sums = sums.alias("s").join(given.alias("g"), F.col(f"s.{axis}").eqNullSafe(F.col(f"g.{axis}"))).select(f"s.{axis}", "share")
+            sums = sums.alias("s").join(given.alias("g"), F.col(f"s.{axis}").eqNullSafe(F.col(f"g.{axis}")), "left").select(f"s.{axis}", "n", F.when(F.col("n") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0).alias("share"))
         else:
-            sums = sums.select(axis, F.pow("n", F.lit(temper)).alias("share"))
+            sums = sums.select(axis, "n", F.pow("n", F.lit(temper)).alias("share"))
         whole = float(sums.agg(F.sum("share")).first()[0] or 1)
-        wanted[axis] = cut(sums.select(axis, (F.col("share") / whole).alias("share")))
+        wanted[axis] = _settled(_goals_large(cut(sums.select(axis, "n", (F.col("share") / whole).alias("share"))), budget * total))
     for _ in range(ROUNDS):
         off = 0.0
         for axis in AXES:
-            now = fit.groupBy(axis).agg(F.sum("fit").alias("now")).alias("n").join(wanted[axis].alias("w"), F.col(f"n.{axis}").eqNullSafe(F.col(f"w.{axis}"))).select(F.col(f"n.{axis}").alias("_value"), "now", (F.col("share") / F.col("now")).alias("_factor"), "share")
-            now = cut(now)
+            now = fit.groupBy(axis).agg(F.sum("fit").alias("now")).alias("n").join(wanted[axis].alias("w"), F.col(f"n.{axis}").eqNullSafe(F.col(f"w.{axis}"))).select(F.col(f"n.{axis}").alias("_value"), "now", F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("_factor"), "share")
+            now = _settled(now)
             off = max(off, float(now.agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] or 0.0))
             fit = fit.join(now, F.col(axis).eqNullSafe(F.col("_value"))).select(*AXES, "tokens", (F.col("fit") * F.col("_factor")).alias("fit"))
-        fit = cut(fit)
+        fit = _settled(fit)
         if off < CLOSE:
             break
-    weighted = fit.withColumn("weight", F.col("fit") * total / F.col("tokens"))
-    top = float(weighted.agg(F.max("weight")).first()[0] or 1)
-    return weighted.select(*AXES, "weight", (F.col("weight") / top).alias("probability"))
+    kept = float(wanted[AXES[0]].agg(F.sum("want")).first()[0] or 0.0)
+    fit = fit.select(*AXES, "tokens", (F.col("fit") * total / F.col("tokens")).alias("weight"), F.lit(kept / total).alias("u"))
+    for _ in range(ROUNDS):
+        off = 0.0
+        fit = fit.withColumn("_before", F.least(F.col("u"), F.lit(1.0)))
+        for axis in AXES:
+            held = fit.groupBy(axis).agg(F.sum(F.col("tokens") * F.least(F.col("u"), F.lit(1.0))).alias("now"), F.sum(F.when(F.col("u") < 1, F.col("tokens") * F.col("u")).otherwise(0.0)).alias("free"))
+            up = F.when(F.col("free") > 0, (F.col("want") - F.col("now") + F.col("free")) / F.col("free")).otherwise(1.0)
+            down = F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0)
+            now = _settled(held.alias("n").join(wanted[axis].alias("w"), F.col(f"n.{axis}").eqNullSafe(F.col(f"w.{axis}"))).select(F.col(f"n.{axis}").alias("_value"), "now", "want", F.when(F.col("want") >= F.col("now"), up).otherwise(down).alias("_factor")))
+            off = max(off, float(now.agg(F.max(F.abs(F.col("now") - F.col("want")))).first()[0] or 0.0) / total)
+            fit = fit.join(now, F.col(axis).eqNullSafe(F.col("_value"))).select(*AXES, "tokens", "weight", "_before", F.least(F.col("u") * F.col("_factor"), F.lit(HIGH)).alias("u"))
+        fit = _settled(fit)
+        moved = float(fit.agg(F.max(F.abs(F.least(F.col("u"), F.lit(1.0)) - F.col("_before")))).first()[0] or 0.0)
+        if off < CLOSE or moved < CLOSE:
+            break
+    return fit.select(*AXES, "weight", F.least(F.col("u"), F.lit(1.0)).alias("probability"))
+
+
+def report(cells: DataFrame) -> DataFrame:
+    """axis, value, wanted and expected share of the kept tokens, missed (wanted less expected, where that is more than
+    rounding) and kept (share of the whole corpus's tokens) of the cells that ``calibrated`` returns."""
+    whole = cells.agg(*[F.sum(F.col("tokens") * F.col(c)).alias(c) for c in ("weight", "probability")], F.sum("tokens").alias("all"))
+    parts = [cells.groupBy(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")).agg(*[F.sum(F.col("tokens") * F.col(c)).alias(f"_{c}") for c in ("weight", "probability")]) for a in AXES]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).crossJoin(F.broadcast(whole))  # one row
+    missed = F.col("wanted") - F.col("expected")
+    return both.select("axis", "value", F.try_divide("_weight", "weight").alias("wanted"), F.try_divide("_probability", "probability").alias("expected"), F.try_divide("probability", "all").alias("kept")).withColumn("missed", F.when(F.abs(missed) > 1e-6, missed).otherwise(0.0))
+
 
+def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, topics: int = TOPICS, topic: str | None = None, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with _topic and _tokens, and the cells with tokens, weight and probability.
 
-def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, topics: int = TOPICS, topic: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with _topic and _tokens, and the cells with tokens, weight and probability."""
+    ``budget``: share of the tokens to keep."""
     if topic is None:
         both = docs.withColumn("_both", measured(F.col("text"), topics)).withColumns({"_topic": F.col("_both.topic"), "_tokens": F.col("_both.tokens")}).drop("_both")
     else:
@@ -161,9 +254,9 @@ def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temper:
     if cells.count() <= CELLS:
         rows = cells.collect()
         types = dict(cells.dtypes)
-        fitted = docs.sparkSession.createDataFrame(_fit_small(rows, targets or {}, temper), ", ".join(f"{a} {types[a]}" for a in AXES) + ", weight double, probability double")
+        fitted = docs.sparkSession.createDataFrame(_fit_small(rows, targets or {}, temper, budget), ", ".join(f"{a} {types[a]}" for a in AXES) + ", weight double, probability double")
     else:
-        fitted = _fit_large(cells.select(*AXES, "tokens"), targets or {}, temper)
+        fitted = _fit_large(cells.select(*AXES, "tokens"), targets or {}, temper, budget)
     same = [F.col(f"c.{a}").eqNullSafe(F.col(f"f.{a}")) for a in AXES]
     return both, cells.alias("c").join(fitted.alias("f"), same[0] & same[1] & same[2]).select(*[f"c.{a}" for a in AXES], "documents", "tokens", "weight", "probability")
 

@@ -162,6 +162,46 @@ def test_mixing_edges(spark):
     assert mixing.sample(docs.limit(0)).collect() == []
 
 
+def _stray_corpus(spark, stray):
+    rows = [(i, "word " * (1 + i % 7) + ["gardening", "astronomy", "economics"][i % 3], f"s{min(i % 10, 2)}", ["en", "de"][i % 4 == 0]) for i in range(3000)]
+    return spark.createDataFrame(rows + [(9000, "three short words", "s0", None)] * stray, "doc_id long, text string, source string, lang string")
+
+
+def test_mixing_keeps_its_budget_with_a_stray_row(spark):
+    for stray in (0, 1):
+        _, cells = mixing.calibrated(_stray_corpus(spark, stray))
+        c = cells.toPandas()
+        assert abs((c.tokens * c.probability).sum() / c.tokens.sum() - mixing.BUDGET) < 1e-6 and c.probability.max() <= 1
+    assert c[c.lang.isna()].probability.tolist() == [1.0]
+    told = mixing.report(cells).toPandas()
+    assert abs(told.kept - mixing.BUDGET).max() < 1e-6
+    short = told[(told.axis == "lang") & told.value.isna()].iloc[0]
+    assert short.expected < short.wanted and abs(short.missed - (short.wanted - short.expected)) < 1e-12
+    drawn = mixing.sample(_stray_corpus(spark, 1)).toPandas()
+    assert abs(drawn._tokens.sum() / c.tokens.sum() - mixing.BUDGET) < 0.05
+
+
+def test_mixing_caps_agree_small_and_large(spark, monkeypatch):
+    fit = lambda: {(r.source, r.lang, r.topic): r.probability for r in mixing.calibrated(_stray_corpus(spark, 1))[1].collect()}
+    monkeypatch.setattr(mixing, "ROUNDS", 6)
+    small = fit()
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    large = fit()
+    assert small.keys() == large.keys() and all(abs(large[k] - v) < 1e-6 for k, v in small.items())
+
+
+def test_capped_rake_holds_feasible_targets():
+    rng = np.random.default_rng(3)
+    sums = rng.integers(1, 100, 24).astype(float)
+    axes = [np.repeat(np.arange(2), 12), np.tile(np.repeat(np.arange(3), 4), 2), np.tile(np.arange(4), 6)]
+    p = np.minimum(1, rng.random(24) * 1.6)  # sums that some probabilities reach
+    wanted = [np.bincount(at, weights=sums * p) for at in axes]
+    got = mixing.capped(sums, axes, wanted)
+    assert got.max() <= 1 and got.min() >= 0
+    for at, w in zip(axes, wanted, strict=True):
+        np.testing.assert_allclose(np.bincount(at, weights=sums * got), w, rtol=1e-5)
+
+
 def test_rake_against_plain_loops():
     rng = np.random.default_rng(2)
     w = rng.random(24)
