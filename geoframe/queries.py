@@ -127,6 +127,11 @@ def remove_outliers(spark, folder):
     return spatial.remove_outliers(_dims(spark, folder, 0), 5, 1.0, 0.2).select("vec_id")
 
 
+@query()
+def remove_outliers_all(spark, folder):
+    return spatial.remove_outliers(_dims(spark, folder, 0).unionByName(_dims(spark, folder, 1)), 5, 1.0, 0.2).select("vec_id")
+
+
 # -- descriptors, pairs, tracks
 
 
@@ -164,10 +169,19 @@ m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY la, lb, i ORDER B
 b AS (SELECT la, lb, j, arg_min(i, (d, i)) AS i FROM p GROUP BY ALL)
 SELECT CAST(m.la AS BIGINT) AS image_a, CAST(m.lb AS BIGINT) AS image_b, m.i AS kp_a, m.j AS kp_b FROM m JOIN b ON m.la = b.la AND m.lb = b.lb AND m.i = b.i AND m.j = b.j""")
 def match_descriptors(spark, folder):
-    d = table(spark, folder, "embeddings").filter("label < 4").select(F.col("label").cast("long").alias("image_id"), F.col("vec_id").alias("kp_idx"), F.col("embedding").cast("array<double>").alias("vec"))
+    return _described(table(spark, folder, "embeddings").filter("label < 4"))
+
+
+def _described(e: DataFrame) -> DataFrame:
+    d = e.select(F.col("label").cast("long").alias("image_id"), F.col("vec_id").alias("kp_idx"), F.col("embedding").cast("array<double>").alias("vec"))
     return matching.match_descriptors(d, matching.image_pairs(d.select("image_id").distinct()), 0.97)
 
 
+@query()
+def match_descriptors_all(spark, folder):
+    return _described(table(spark, folder, "embeddings"))
+
+
 @query("SELECT a.s_suppkey AS image_a, b.s_suppkey AS image_b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey - a.s_suppkey <= 7")
 def image_pairs_band(spark, folder):
     return matching.image_pairs(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("image_id")), 7)
@@ -178,10 +192,18 @@ _EDGES = "e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineite
 
 @query(f"WITH RECURSIVE {_EDGES}, g(x, y) AS (SELECT x, x FROM n UNION SELECT g.x, n.y FROM g JOIN n ON g.y = n.x) SELECT x AS node, min(y) AS component FROM g GROUP BY x")
 def components(spark, folder):
-    li = table(spark, folder, "lineitem").filter("l_orderkey < 60")
+    return _components(table(spark, folder, "lineitem").filter("l_orderkey < 60"))
+
+
+def _components(li: DataFrame) -> DataFrame:
     return graph.components(li.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")))
 
 
+@query()
+def components_all(spark, folder):
+    return _components(table(spark, folder, "lineitem"))
+
+
 @query("""WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_partkey AS k FROM lineitem WHERE l_orderkey < 400),
 e AS (SELECT DISTINCT CAST(a.i AS BIGINT) * 1000000000 + a.k AS x, CAST(b.i AS BIGINT) * 1000000000 + b.k AS y FROM l a JOIN l b ON a.o = b.o AND b.i = a.i + 1),
 n AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
@@ -190,11 +212,19 @@ c AS (SELECT x, min(y) AS c FROM g GROUP BY x),
 good AS (SELECT c FROM c GROUP BY c HAVING count(*) = count(DISTINCT x // 1000000000) AND count(*) >= 3)
 SELECT CAST(dense_rank() OVER (ORDER BY c) - 1 AS BIGINT) AS track_id, CAST(x // 1000000000 AS BIGINT) AS image_id, CAST(x % 1000000000 AS BIGINT) AS kp_idx FROM c JOIN good USING (c)""")
 def tracks(spark, folder):
-    li = table(spark, folder, "lineitem").filter("l_orderkey < 400")
+    return _tracks(table(spark, folder, "lineitem").filter("l_orderkey < 400"))
+
+
+def _tracks(li: DataFrame) -> DataFrame:
     a, b = (li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"image_{s}"), F.col("l_partkey").alias(f"kp_{s}")) for s in "ab")
     return graph.tracks(a.join(b, "o").filter("image_b = image_a + 1").select("image_a", "kp_a", "image_b", "kp_b").distinct(), 3)
 
 
+@query()
+def tracks_all(spark, folder):
+    return _tracks(table(spark, folder, "lineitem"))
+
+
 _CENTER = "CAST(s_suppkey * 10 % 97 AS DOUBLE) AS cx, CAST(s_suppkey * 10 % 89 AS DOUBLE) AS cy, CAST(5 AS DOUBLE) AS cz"
 
 
@@ -308,7 +338,10 @@ p AS (SELECT i.name AS name_i, j.name AS name_j, (j.b - i.b) - (j.a - i.a) AS da
 SELECT name_i, name_j, round(degrees(acos(greatest(-1, least(1, cos(da))))), 4) + 0.0 AS rot_deg,
   round(degrees(acos(greatest(-1, least(1, (tx * ex + ty * ey + tz * tz) / (sqrt(tx * tx + ty * ty + tz * tz) * sqrt(ex * ex + ey * ey + tz * tz)))))), 4) + 0.0 AS trans_deg FROM p""")
 def relative_pose_errors(spark, folder):
-    s = table(spark, folder, "supplier").filter("s_suppkey <= 60")
+    return _pose_errors(table(spark, folder, "supplier").filter("s_suppkey <= 60"))
+
+
+def _pose_errors(s: DataFrame) -> DataFrame:
     k = F.col("s_suppkey")
     t = vec(k, k * k % 17, k % 5)
     name = F.lpad(k.cast("string"), 6, "0").alias("name")
@@ -317,6 +350,11 @@ def relative_pose_errors(spark, folder):
     return metrics.relative_pose_errors(estimate, truth).select("name_i", "name_j", *rows(["rot_deg", "trans_deg"], 4))
 
 
+@query()
+def relative_pose_errors_all(spark, folder):
+    return _pose_errors(table(spark, folder, "supplier"))
+
+
 @query("SELECT l_returnflag, round(10 * log10(1.0 / avg((l_tax - l_discount) * (l_tax - l_discount))), 6) + 0.0 AS psnr FROM lineitem GROUP BY 1")
 def psnr(spark, folder):
     e = F.col("l_tax") - F.col("l_discount")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoframe import cli, datasets, synthetic
+from geoframe import cli, datasets, queries, synthetic
 from geoframe.functions import cameras, geodesy, poses
 from geoframe.functions.linear import at, const, vec
 from geoframe.kernels.rigid import Cam, angle_deg, rotation
@@ -290,3 +290,71 @@ def test_angles_match_kernels(spark):
     a, b = rotation([0.1, 0.2, 0.3]), rotation([-0.2, 0.1, 0.0])
     assert abs(one(spark, poses.angle_deg(const(a.ravel().tolist()), const(b.ravel().tolist()))) - angle_deg(a, b)) < 1e-9
     assert abs(one(spark, at(cameras.root_sift(vec(1.0, 3.0)), 0)) - 0.5) < 1e-6
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """Small tables whose ids lie beyond the bounds of the queries with SQL."""
+    folder = tmp_path_factory.mktemp("whole")
+    rng = np.random.default_rng(5)
+    items = [(o, i, int(rng.integers(0, 60)), int(rng.integers(0, 30))) for o in range(390, 420) for i in range(1, int(rng.integers(2, 5)))]
+    vectors = rng.normal(size=(60, 4)) * 0.12
+    tables = {
+        "lineitem": spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"),
+        "embeddings": spark.createDataFrame([(i, i % 6, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>"),
+        "supplier": spark.createDataFrame([(k,) for k in range(55, 75)], "s_suppkey long"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder), items, vectors
+
+
+def reached(edges):
+    label = {n: n for e in edges for n in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+def test_whole_graphs(spark, whole):
+    folder, items, _ = whole
+    got = {r.node: r.component for r in queries.components_all(spark, folder).collect()}
+    assert got == reached([(f"p{p}", f"s{s}") for _, _, p, s in items])
+    at_ = {(o, i): p for o, i, p, _ in items}
+    label = reached([((i, p), (i + 1, at_[o, i + 1])) for (o, i), p in at_.items() if (o, i + 1) in at_])
+    groups = {}
+    for node, low in label.items():
+        groups.setdefault(low, []).append(node)
+    good = sorted(k for k, g in groups.items() if len(g) >= 3 and len({i for i, _ in g}) == len(g))
+    want = sorted((n, i, p) for n, k in enumerate(good) for i, p in groups[k])
+    assert good and sorted((r.track_id, r.image_id, r.kp_idx) for r in queries.tracks_all(spark, folder).collect()) == want
+
+
+def test_whole_vectors(spark, whole):
+    folder, _, v = whole
+    want = set()
+    for a in range(6):
+        for b in range(a + 1, 6):
+            d = np.linalg.norm(v[a::6, None] - v[None, b::6], axis=2)
+            for i, row in enumerate(d):
+                first, second = np.sort(row)[:2]
+                j = int(row.argmin())
+                if first < 0.97 * second and d[:, j].argmin() == i:
+                    want.add((a, b, a + 6 * i, b + 6 * j))
+    got = [(r.image_a, r.image_b, r.kp_a, r.kp_b) for r in queries.match_descriptors_all(spark, folder).collect()]
+    assert want and set(got) == want and len(got) == len(want)
+    d = np.linalg.norm(v[:, None, :3] - v[None, :, :3], axis=2) + np.diag(np.full(len(v), np.inf))
+    mean = np.minimum(np.sort(d, axis=1)[:, :5], 0.2).mean(axis=1)
+    keep = np.flatnonzero(mean <= mean.mean() + mean.std(ddof=1))
+    assert sorted(r.vec_id for r in queries.remove_outliers_all(spark, folder).collect()) == keep.tolist()
+
+
+def test_whole_pose_pairs(spark, whole):
+    got = {(int(r.name_i), int(r.name_j)): r.rot_deg for r in queries.relative_pose_errors_all(spark, whole[0]).collect()}
+    assert set(got) == {(i, j) for i in range(55, 75) for j in range(i + 1, 75)}
+    assert all(abs(d - np.degrees(0.01 * abs(j % 3 - i % 3))) < 2e-4 for (i, j), d in got.items())
