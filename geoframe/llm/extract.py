@@ -19,8 +19,10 @@ ignored.  An unclosed element ends where its parent ends; inline elements don't
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,9 +39,8 @@ MIN_PAGES = 4
 SALTS = 16
 #: Bytes of wrapper rows that are told to all tasks; more are joined by host.
 TOLD_BYTES = 32_000_000
-#: Children of one node that are aligned; a node with more different runs keeps the rest unaligned at its end.
-MAX_RUNS = 200
-MAX_DEPTH = 60
+#: Lists of children whose table of matches has more cells are cut by their equal ends first.
+LARGE = 1 << 16
 
 # Element names of the HTML standard by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,11 +96,14 @@ def parse(text: str) -> Node:
     stack = [root]
     at = 0
     inside = 0
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def pop_to(depth: int) -> None:
         nonlocal inside
         while len(stack) > depth:
-            inside -= stack.pop().article == 2
+            node = stack.pop()
+            inside -= node.article == 2
+            opened[node.tag] -= 1
 
     end = len(text)
     while at < end:
@@ -119,7 +123,7 @@ def parse(text: str) -> Node:
             if tag == "br":
                 stack[-1].items.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth].tag == tag:
                     pop_to(depth)
                     break
@@ -135,7 +139,7 @@ def parse(text: str) -> Node:
             if tag != "wbr":
                 stack[-1].items.append(" " if tag != "hr" else Node("hr", "hr"))
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
                     pop_to(depth)
@@ -144,21 +148,21 @@ def parse(text: str) -> Node:
                     break
         if tag in SAME_END:
             same, stop = SAME_END[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in same) else ():
                 if stack[depth].tag in stop:
                     break
                 if stack[depth].tag in same:
                     pop_to(depth)
                     break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag == "body":
             pop_to(next((d for d, n in enumerate(stack) if n.tag == "head"), len(stack)))
         node = _open(tag, m[3], inside > 0)
         stack[-1].items.append(node)
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
-            inside += node.article == 2
+        stack.append(node)
+        opened[tag] += 1
+        inside += node.article == 2
     return root
 
 
@@ -166,80 +170,133 @@ def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-# -- wrapper trees: (label, children), where neighbours with equal labels are one node
+# -- wrapper trees: label and children, where neighbours with equal labels are one node.  They can
+# be as deep as a page nests, so nothing here recurses.
 
 
-Tree = tuple  # (label, tuple of trees)
+class Tree:
+    __slots__ = ("label", "children", "size", "key")
 
+    def __init__(self, label: str, children: tuple[Tree, ...] = ()) -> None:
+        self.label, self.children = label, children
+        self.size = 1 + sum(c.size for c in children)
+        #: Equal for equal trees.
+        self.key = hashlib.blake2b(b"".join([*(c.key for c in children), label.encode("utf-8", "surrogatepass")]), digest_size=16, key=len(children).to_bytes(8, "big")).digest()
 
-def matching(a: Tree, b: Tree) -> int:
-    """Size of the largest order-preserving match of two trees with equal roots (simple tree matching)."""
-    if a[0] != b[0]:
+
+Known = dict  # sizes of matches by the trees' keys
+
+
+def _score(a: Tree, b: Tree, known: Known) -> int | None:
+    if a.label != b.label:
         return 0
-    if a == b:
-        return _size(a)
-    return 1 + _align(a[1], b[1])[0]
+    return a.size if a.key == b.key else known.get((a.key, b.key))
 
 
-def _size(a: Tree) -> int:
-    return 1 + sum(_size(c) for c in a[1])
+def matching(a: Tree, b: Tree, known: Known | None = None) -> int:
+    """Size of the largest order-preserving match of two trees with equal roots (simple tree matching)."""
+    known = {} if known is None else known
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if _score(x, y, known) is not None:
+            stack.pop()
+        elif below := _unknown(x.children, y.children, known):
+            stack += below
+        else:
+            known[x.key, y.key] = 1 + _aligned_lists(x.children, y.children, known)[0]
+            stack.pop()
+    return _score(a, b, known) or 0
 
 
-def _align(xs: tuple, ys: tuple) -> tuple[int, list[tuple[int, int]]]:
-    """The best match of two lists of subtrees, and its pairs."""
+def _ends(xs: tuple, ys: tuple) -> tuple[int, int]:
+    """How many children at the start and at the end are equal one by one; ends are looked at in large lists only."""
     m, n = len(xs), len(ys)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    score = [[matching(x, y) for y in ys] for x in xs]
-    for i in range(m - 1, -1, -1):
-        for j in range(n - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + score[i][j] if score[i][j] else 0)
-    pairs, i, j = [], 0, 0
+    head = 0
+    while head < min(m, n) and xs[head].key == ys[head].key:
+        head += 1
+    tail = 0
+    if (m - head) * (n - head) > LARGE:
+        while tail < min(m, n) - head and xs[m - 1 - tail].key == ys[n - 1 - tail].key:
+            tail += 1
+    return head, tail
+
+
+def _unknown(xs: tuple, ys: tuple, known: Known) -> list[tuple[Tree, Tree]]:
+    head, tail = _ends(xs, ys)
+    return [(x, y) for x in xs[head : len(xs) - tail] for y in ys[head : len(ys) - tail] if _score(x, y, known) is None]
+
+
+def _aligned_lists(xs: tuple, ys: tuple, known: Known) -> tuple[int, list[tuple[int, int]]]:
+    """The best match of two lists of subtrees whose scores are known, and its pairs.  Equal starts go together in a best match."""
+    head, tail = _ends(xs, ys)
+    m, n = len(xs) - tail, len(ys) - tail
+    below = [0] * (n + 1)
+    steps: list[bytearray] = []  # 0: pair, 1: leave x out, 2: leave y out
+    for i in range(m - 1, head - 1, -1):
+        row, step, x = [0] * (n + 1), bytearray(n + 1), xs[i]
+        for j in range(n - 1, head - 1, -1):
+            s = _score(x, ys[j], known)
+            both = below[j + 1] + s if s else -1
+            row[j] = most = max(below[j], row[j + 1], both)
+            step[j] = 0 if both == most else 1 if below[j] == most else 2
+        below = row
+        steps.append(step)
+    pairs, i, j = [(k, k) for k in range(head)], head, head
     while i < m and j < n:
-        if score[i][j] and best[i][j] == best[i + 1][j + 1] + score[i][j]:
+        step = steps[m - 1 - i][j]
+        if step == 0:
             pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return best[0][0], pairs
+        i, j = i + (step != 2), j + (step != 1)
+    pairs += [(m + k, n + k) for k in range(tail)]
+    return below[head] + sum(x.size for x in (*xs[:head], *xs[m:])), pairs
+
+
+def _align(xs: tuple, ys: tuple, known: Known) -> list[tuple[int, int]]:
+    for x, y in _unknown(xs, ys, known):
+        matching(x, y, known)
+    return _aligned_lists(xs, ys, known)[1]
 
 
 def unite(a: Tree, b: Tree) -> Tree:
     """A tree in which both can be matched whole; the roots' labels are equal."""
-    if a == b:
-        return a
-    _, pairs = _align(a[1], b[1])
-    out, i, j = [], 0, 0
-    for x, y in [*pairs, (len(a[1]), len(b[1]))]:
-        out += a[1][i:x]
-        out += b[1][j:y]
-        if x < len(a[1]):
-            out.append(unite(a[1][x], b[1][y]))
-        i, j = x + 1, y + 1
-    return a[0], tuple(out)
-
-
-def skeleton(node: Node) -> tuple[Tree, list]:
-    """The tree of a parsed page, and the page's nodes in it: (tree, list of (nodes, sublist))."""
-    return _skeleton([node])
-
-
-def _skeleton(nodes: list[Node]) -> tuple[Tree, list]:
-    runs: list[list[list[Node]]] = []
-    for node in nodes:
+    known: Known = {}
+    jobs: list[list] = [[a, b, None]]  # two trees, then the parts of what unites them: trees and jobs
+    for job in jobs:
+        a, b, _ = job
+        if a.key == b.key:
+            continue
+        parts, i, j = [], 0, 0
+        for x, y in [*_align(a.children, b.children, known), (len(a.children), len(b.children))]:
+            parts += a.children[i:x]
+            parts += b.children[j:y]
+            if x < len(a.children):
+                jobs.append([a.children[x], b.children[y], None])
+                parts.append(jobs[-1])
+            i, j = x + 1, y + 1
+        job[2] = parts
+    for job in reversed(jobs):
+        a, _, parts = job
+        job[:] = [a if parts is None else Tree(a.label, tuple(p if isinstance(p, Tree) else p[0] for p in parts))]
+    return jobs[0][0]
+
+
+def _runs(nodes: list[Node]) -> list[list[Node]]:
+    """The children of repeated nodes: neighbours with equal labels go together, and equal labels in order."""
+    merged: list[list[Node]] = []
+    for k, node in enumerate(nodes):
         mine: list[list[Node]] = []
         for item in node.items:
             if isinstance(item, Node):
-                if mine and mine[-1][0].label == item.label or len(mine) >= MAX_RUNS:
+                if mine and mine[-1][0].label == item.label:
                     mine[-1].append(item)
                 else:
                     mine.append([item])
-        runs.append(mine)
-    merged = runs[0]
-    for other in runs[1:]:  # the children of repeated nodes: equal labels in order go together
+        if not k:
+            merged = mine
+            continue
         out, i = [], 0
-        for run in other:
+        for run in mine:
             j = next((k for k in range(i, len(merged)) if merged[k][0].label == run[0].label), None)
             if j is None:
                 out.append(run)
@@ -248,14 +305,41 @@ def _skeleton(nodes: list[Node]) -> tuple[Tree, list]:
                 out.append(merged[j] + run)
                 i = j + 1
         merged = out + merged[i:]
-        if len(merged) > MAX_RUNS:
-            merged = [*merged[: MAX_RUNS - 1], [n for r in merged[MAX_RUNS - 1 :] for n in r]]
-    below = [_skeleton(r) for r in merged]
-    return (nodes[0].label, tuple(t for t, _ in below)), [(r, b[1]) for r, b in zip(merged, below, strict=True)]
+    return merged
+
+
+def skeleton(root: Node) -> Tree:
+    """The tree of a parsed page; each of the page's nodes gets its number in it, in preorder."""
+    order: list[list] = []
+    stack: list[list] = [[[root], []]]
+    while stack:
+        group = stack.pop()
+        for n in group[0]:
+            n.slot = len(order)
+        order.append(group)
+        group[1] = [[r, []] for r in _runs(group[0])]
+        stack += reversed(group[1])
+    for group in reversed(order):
+        nodes, below = group
+        group[:] = [Tree(nodes[0].label, tuple(g[0] for g in below))]
+    return order[0][0]
 
 
 def write_tree(t: Tree) -> str:
-    return t[0] + ("(" + ",".join(write_tree(c) for c in t[1]) + ")" if t[1] else "")
+    out: list[str] = []
+    stack: list[Tree | str] = [t]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        out.append(x.label)
+        if x.children:
+            out.append("(")
+            stack.append(")")
+            for k, c in enumerate(reversed(x.children)):
+                stack += [",", c] if k else [c]
+    return "".join(out)
 
 
 def read_tree(s: str) -> Tree:
@@ -265,49 +349,37 @@ def read_tree(s: str) -> Tree:
             stack.append((name, []))
             continue
         if name:
-            stack[-1][1].append((name, ()))
+            stack[-1][1].append(Tree(name))
         if mark == ")":
             label, children = stack.pop()
-            stack[-1][1].append((label, tuple(children)))
+            stack[-1][1].append(Tree(label, tuple(children)))
     return stack[0][1][0]
 
 
 def slots_of(tree: Tree, wrapper: Tree) -> list[int]:
     """The wrapper's slot (its number in preorder) for each node of ``tree`` in preorder; -1: none."""
     out: list[int] = []
-
-    def visit(t: Tree, w: Tree | None, at: int) -> None:
+    known: Known = {}
+    stack: list[tuple[Tree, Tree | None, int]] = [(tree, wrapper, 0)]
+    while stack:
+        t, w, at = stack.pop()
         out.append(at)
-        pairs = {i: j for i, j in _align(t[1], w[1])[1]} if w else {}
+        pairs = dict(_align(t.children, w.children, known)) if w else {}
         starts, k = [], at + 1
-        for c in w[1] if w else ():
+        for c in w.children if w else ():
             starts.append(k)
-            k += _size(c)
-        for i, c in enumerate(t[1]):
-            j = pairs.get(i)
-            visit(c, w[1][j] if j is not None else None, starts[j] if j is not None else -1)
-
-    visit(tree, wrapper, 0)
+            k += c.size
+        stack += [(c, w.children[pairs[i]], starts[pairs[i]]) if i in pairs else (c, None, -1) for i, c in reversed([*enumerate(t.children)])]
     return out
 
 
 # -- per page
 
 
-def _label_nodes(below: list, number: list[int]) -> None:
-    for nodes, more in below:
-        number[0] += 1
-        for n in nodes:
-            n.slot = number[0]
-        _label_nodes(more, number)
-
-
 def examine(html: str) -> tuple[Node, str, dict[int, list[str]]]:
     """Parsed page, its tree as text, and the texts by node number of the tree."""
     root = parse(html)
-    tree, below = skeleton(root)
-    root.slot = 0
-    _label_nodes(below, [0])
+    tree = skeleton(root)
     texts: dict[int, list[str]] = {}
     stack = [root]
     while stack:
@@ -319,35 +391,45 @@ def examine(html: str) -> tuple[Node, str, dict[int, list[str]]]:
     return root, write_tree(tree), texts
 
 
-def _blocks(node: Node, constant: frozenset[int], want: int, taken: bool, out: list[str]) -> None:
+def _blocks(root: Node, constant: frozenset[int], want: int) -> list[str]:
     """Texts of the content, in page order.  ``want``: how marked an article must be; 0: all is content."""
-    if node.out:
-        return
-    taken = taken or not want or node.article >= want
-    keep = taken and node.slot not in constant
-    run: list[str] = []
-    for item in node.items:
-        if isinstance(item, str):
+    out: list[str] = []
+
+    def frame(node: Node, taken: bool) -> tuple:
+        taken = taken or not want or node.article >= want
+        return taken, taken and node.slot not in constant, [], iter(node.items)
+
+    stack = [] if root.out else [frame(root, False)]
+    while stack:
+        taken, keep, run, rest = stack[-1]
+        item = None
+        for item in rest:
+            if not isinstance(item, str):
+                break
             run.append(item)
-            continue
+        else:
+            item = None
+            stack.pop()
         if keep and (text := _clean(run)):
             out.append(text)
-        run = []
-        _blocks(item, constant, want, taken, out)
-    if keep and (text := _clean(run)):
-        out.append(text)
+        run.clear()
+        if item is not None and not item.out:
+            stack.append(frame(item, taken))
+    return out
 
 
-def _strongest(node: Node) -> int:
-    if node.out:
-        return 0
-    return max([node.article, *(_strongest(i) for i in node.items if isinstance(i, Node))])
+def _strongest(root: Node) -> int:
+    most, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        if not node.out:
+            most = max(most, node.article)
+            stack += [i for i in node.items if isinstance(i, Node)]
+    return most
 
 
 def content(root: Node, constant: frozenset[int]) -> str:
-    out: list[str] = []
-    _blocks(root, constant, _strongest(root), False, out)
-    return "\n".join(out)
+    return "\n".join(_blocks(root, constant, _strongest(root)))
 
 
 def _hash(s: str) -> int:

@@ -119,6 +119,19 @@ def test_template_by_alignment(spark):
     assert got == {i: f"Text {i} of the page\nMore {i * i}" for i in range(9)}
 
 
+def test_blocks_below_any_depth(spark):
+    deep = "<div>" * 80 + "inner" + "<nav>menu</nav>" + "</div>" * 80
+    pages = [(1, "http://h.example/", f"<div><article>{deep}<p>after</p></article><p>outside</p></div>"), (2, "http://i.example/", "<div>" * 20_000 + "<aside>no</aside>yes" + "</div>" * 20_000 + "<p>end")]
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "inner\nafter", 2: "yes\nend"}
+
+
+def test_template_after_many_runs(spark):
+    pages = [(i, f"http://h.example/{i}", "<body>" + "".join(f"<h2>Head {i} {k}</h2><p>Text {i} {k}</p>" for k in range(150 + i % 2)) + "<div>Imprint</div></body>") for i in range(6)]
+    for r in extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert "Imprint" not in r.text and r.text.count("\n") == 2 * (150 + r.page_id % 2) - 1
+
+
 def test_tree_matching():
     t = extract.read_tree
     a, b = t("r(a(x,y),b,c)"), t("r(a(y),d,c)")
