@@ -88,21 +88,29 @@ class Encoder:
         return np.array(self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, hashes: np.ndarray, units: list[bytes], plain: np.ndarray) -> None:
-        found: list[np.ndarray | None] = [None] * len(units)
         order = np.flatnonzero(plain)
         groups = [order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join([units[i] for i in g]).decode() for g in groups], add_special_tokens=False), strict=True):
+        who, sizes, flat, single = [], [], [], np.flatnonzero(~plain).tolist()
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join([units[i] for i in g.tolist()]).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):  # else not one end for each unit: one by one
-                for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                    found[i] = part
-        found = [self._encode(u) if f is None else f for u, f in zip(units, found, strict=True)]
-        sizes = np.array([len(f) for f in found], np.int64)
-        self._insert(hashes, len(self.sizes))
+            if len(cuts) == len(group):
+                cuts[-1] = len(ids)
+                who.append(group)
+                sizes.append(np.diff(cuts, prepend=0))
+                flat.append(ids)
+            else:  # not one end for each unit: one by one
+                single += group.tolist()
+        for i in single:
+            ids = self._encode(units[i])
+            who.append(np.array([i]))
+            sizes.append(np.array([len(ids)]))
+            flat.append(ids)
+        self._insert(hashes[np.concatenate(who)], len(self.sizes))
+        sizes = np.concatenate(sizes)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat = np.concatenate([self.flat, *flat])
 
     # -- splitting
 
@@ -113,8 +121,11 @@ class Encoder:
         word = kind > 0
         before = np.zeros(len(data), np.uint8)
         before[1:] = data[:-1]
-        before[inner] = 0
-        first = word & ((before == 0) | SPACE[before])
+        begins = np.zeros(len(data), bool)  # a row's first byte; a NUL byte before it is no such mark
+        begins[:1] = True
+        begins[inner] = True
+        before[begins] = 0
+        first = word & (begins | SPACE[before])
         starts = np.flatnonzero(first)
         none = np.zeros(0, np.int64)
         if not len(starts):

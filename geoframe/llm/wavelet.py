@@ -1,18 +1,23 @@
 """Token ids in wavelet matrix files.
 
-Documents become token ids, in ascending order of their ids, cut into shards; each shard is
-one file.  A file holds blocks of at most BLOCK tokens (a longer document goes on in the next
-block).  A block is a wavelet matrix: one bit-plane for each bit of an id, from the highest,
-with the ids stably sorted by each plane's bit before the next.  Planes are zstandard frames
-of their own; counts of ones at every WORD bits give rank, and by bisection select, so single
-ids, counts and positions of an id are read without decoding a block.
-
-    file      magic "GFWM1\\n", then the blocks, then the footer, its length (8 bytes), magic
-    block     one zstandard frame for each plane of packed bits
-    footer    JSON: documents (id, tokens), blocks (tokens, zeros of each plane, frames' places)
+Documents become token ids, in ascending order of their ids.  Rows are dealt to tasks by ranges of
+their ids; a task encodes its range and writes it as one file or, beyond FILE_TOKENS ids, several.
+A file holds blocks of at most BLOCK tokens (a longer document goes on in the next block).  A block
+is a wavelet matrix: one bit-plane for each bit of an id, from the highest, with the ids stably
+sorted by each plane's bit before the next.  Planes are cut into frames of CHUNK bits, each packed
+by itself, and the ones before each frame are kept beside its place, as are the counts of every
+plane's zeros.  So rank reads one frame of a plane, select bisects the kept counts and reads one
+frame, and single ids, counts and positions of an id come from the compressed file without
+decoding a block.  A reader keeps the frames that it used last.
+
+    file      magic "GFWM2\\n", then the frames, then the footer, its length (8 bytes), magic
+    footer    zstandard: the length of a JSON line (8 bytes), the line (levels, chunk, number of
+              documents, tokens of each block), then arrays of 64-bit integers: ids, nulls and
+              tokens of the documents, zeros of each plane, and place, size and ones before of
+              each frame, by block, plane and frame
 
 Defined results: a null text counts as empty and is the end id alone.  Rows with a null id
-come first.  Rows that repeat an id are next to each other, ordered by their ids' checksum.
+come first.  Rows that repeat an id are next to each other, ordered by a hash of their text.
 An empty table gives no file and no rows.
 """
 
@@ -22,94 +27,111 @@ import json
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import doc_slices, shared_folder, text_bytes
+from .shared import cut, doc_slices, shared_folder, text_bytes
 from .tokens import encoder
 
-MAGIC = b"GFWM1\n"
-BLOCK = 1 << 20
-WORD = 512
-#: Bytes of text for one shard.
-SHARD_BYTES = 12_000_000
+MAGIC = b"GFWM2\n"
+BLOCK = 1 << 18
+#: Bits of one frame of a plane.
+CHUNK = 1 << 16
+#: Bytes of text for one task.
+TASK_BYTES = 48_000_000
+#: Ids after which a task begins its next file.
+FILE_TOKENS = 1 << 25
+#: Frames that a reader keeps (8 kB each).
+KEPT_FRAMES = 4096
 SLICE = 1 << 20
 
 
 class WaveletMatrix:
-    """Ids of one block with access, rank and select."""
+    """Ids of one block with access, rank and select.
+
+    ``frame(level, c)`` gives the bytes of a frame, ``before[level, c]`` the ones before it."""
 
-    def __init__(self, size: int, zeros: list[int], planes: list[np.ndarray]):
-        self.size, self.zeros, self.planes = size, zeros, planes
-        self.ones = [None] * len(planes)
+    def __init__(self, size: int, zeros: np.ndarray, before: np.ndarray, frame: Callable[[int, int], np.ndarray]):
+        self.size, self.zeros, self.before, self.frame = size, zeros, before, frame
+        self.levels = len(zeros)
 
     @classmethod
     def of(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
-        planes, zeros = [], []
+        chunks = -(-len(ids) // CHUNK)
+        zeros, before = np.zeros(levels, np.int64), np.zeros((levels, chunks), np.int64)
+        planes = np.zeros((levels, chunks * (CHUNK // 8)), np.uint8)
         a = ids.astype(np.uint16 if levels <= 16 else np.uint32)
-        for v in range(levels - 1, -1, -1):
-            bit = (a >> v) & 1 > 0
-            planes.append(np.packbits(bit))
+        for v in range(levels):
+            bit = (a >> (levels - 1 - v)) & 1 > 0
+            planes[v, : -(-len(ids) // 8)] = np.packbits(bit)
             low = a[~bit]
-            zeros.append(len(low))
+            zeros[v] = len(low)
             a = np.concatenate([low, a[bit]])
-        return cls(len(ids), zeros, planes)
+            before[v, 1:] = np.cumsum(np.bitwise_count(planes[v]).reshape(chunks, CHUNK // 8).sum(axis=1, dtype=np.int64))[:-1]
+        return cls(len(ids), zeros, before, lambda v, c: planes[v, c * (CHUNK // 8) : (c + 1) * (CHUNK // 8)])
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the sorts from the last plane up."""
-        levels = len(self.planes)
-        a = np.zeros(self.size, np.uint16 if levels <= 16 else np.uint32)
-        for v in range(levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[v], count=self.size).view(bool)
+        a = np.zeros(self.size, np.uint16 if self.levels <= 16 else np.uint32)
+        for v in range(self.levels - 1, -1, -1):
+            packed = [self.frame(v, c) for c in range(self.before.shape[1])]
+            bit = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.size).view(bool)
             out = np.empty_like(a)
             out[~bit] = a[: self.zeros[v]]
-            out[bit] = a[self.zeros[v] :] | a.dtype.type(1 << (levels - 1 - v))
+            out[bit] = a[self.zeros[v] :] | a.dtype.type(1 << (self.levels - 1 - v))
             a = out
         return a
 
-    def _rank1(self, level: int, i: int) -> int:
+    def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        if self.ones[level] is None:
-            bits = np.bitwise_count(self.planes[level]).astype(np.int64)
-            self.ones[level] = np.concatenate([[0], np.cumsum(np.add.reduceat(bits, np.arange(0, len(bits), WORD // 8)))]) if len(bits) else np.zeros(1, np.int64)
-        w = i // WORD
-        part = self.planes[level][w * (WORD // 8) : -(-i // 8)]
-        count = int(self.ones[level][w])
-        if i % WORD:
-            count += int(np.unpackbits(part, count=i - w * WORD).sum())
-        return count
+        c, inner = divmod(i, CHUNK)
+        if not inner:
+            return int(self.before[level, c]) if c < self.before.shape[1] else self.size - int(self.zeros[level])
+        part = self.frame(level, c)
+        last = int(part[inner >> 3]) >> (8 - (inner & 7)) if inner & 7 else 0
+        return int(self.before[level, c]) + int(np.bitwise_count(part[: inner >> 3]).sum(dtype=np.int64)) + last.bit_count()
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self.frame(level, i // CHUNK)[i % CHUNK >> 3]) >> (7 - (i & 7)) & 1
+
+    def _place(self, level: int, one: int, k: int) -> int:
+        """Where the k-th one or zero of a plane is."""
+        before = self.before[level] if one else np.arange(self.before.shape[1]) * CHUNK - self.before[level]
+        c = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self.frame(level, c), count=min(CHUNK, self.size - c * CHUNK))
+        return c * CHUNK + int(np.flatnonzero(bits == one)[k - int(before[c])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.size:
             raise IndexError(i)
         out = 0
-        for v in range(len(self.planes)):
-            ones, bit = self._rank1(v, i), self._bit(v, i)
+        for v in range(self.levels):
+            ones, bit = self._ones(v, i), self._bit(v, i)
             out = 2 * out + bit
-            i = self.zeros[v] + ones if bit else i - ones
+            i = int(self.zeros[v]) + ones if bit else i - ones
         return out
 
     def _range(self, token: int, a: int, b: int) -> tuple[int, int]:
-        levels = len(self.planes)
-        if token < 0 or token >> levels:
+        """Where the ``token``s among ids a to b are after the last sort."""
+        if token < 0 or token >> self.levels:
             return 0, 0
-        for v in range(levels):
-            x, y = self._rank1(v, a), self._rank1(v, b)
-            a, b = (self.zeros[v] + x, self.zeros[v] + y) if token >> (levels - 1 - v) & 1 else (a - x, b - y)
+        for v in range(self.levels):
+            if a == b:
+                return a, b
+            x, y = self._ones(v, a), self._ones(v, b)
+            a, b = (int(self.zeros[v]) + x, int(self.zeros[v]) + y) if token >> (self.levels - 1 - v) & 1 else (a - x, b - y)
         return a, b
 
     def rank(self, token: int, i: int) -> int:
         """How often ``token`` is among the first i ids."""
-        a, b = self._range(token, 0, min(i, self.size))
-        return b - a
+        return self.count(token, 0, min(i, self.size))
 
     def count(self, token: int, a: int = 0, b: int | None = None) -> int:
         x, y = self._range(token, a, self.size if b is None else b)
@@ -120,23 +142,16 @@ class WaveletMatrix:
         a, b = self._range(token, 0, self.size)
         if not 0 <= k < b - a:
             raise IndexError(k)
-        i, levels = a + k, len(self.planes)
-        for v in range(levels - 1, -1, -1):
-            one = token >> (levels - 1 - v) & 1
-            want = i - self.zeros[v] if one else i
-            low, high = 0, self.size  # the place whose bit is the want-th of its kind
-            while low < high:
-                mid = (low + high) // 2
-                ones = self._rank1(v, mid + 1)
-                if (ones if one else mid + 1 - ones) > want:
-                    high = mid
-                else:
-                    low = mid + 1
-            i = low
+        i = a + k
+        for v in range(self.levels - 1, -1, -1):
+            one = token >> (self.levels - 1 - v) & 1
+            i = self._place(v, one, i - int(self.zeros[v]) if one else i)
         return i
 
-    def positions(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+    def positions(self, token: int) -> Iterator[int]:
+        """All positions of ``token``, in order."""
+        for k in range(self.count(token)):
+            yield self.select(token, k)
 
 
 class Writer:
@@ -145,16 +160,19 @@ class Writer:
     def __init__(self, stream, levels: int):
         self.stream, self.levels = stream, levels
         self.documents: list[tuple[int | None, int]] = []
-        self.blocks: list[dict] = []
+        self.sizes: list[int] = []
+        self.zeros: list[np.ndarray] = []
+        self.frames: list[tuple[int, int, int]] = []
         self.at = stream.write(MAGIC)
         self.held: list[np.ndarray] = []
-        self.n_held = 0
+        self.n_held = self.tokens = 0
         self.pack = zstandard.ZstdCompressor(level=1)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.documents.append((doc_id, len(ids)))
         self.held.append(ids)
         self.n_held += len(ids)
+        self.tokens += len(ids)
         if self.n_held >= BLOCK:
             self._flush(last=False)
 
@@ -163,23 +181,26 @@ class Writer:
         whole = len(ids) if last else len(ids) // BLOCK * BLOCK
         for a in range(0, whole, BLOCK):
             m = WaveletMatrix.of(ids[a : min(a + BLOCK, whole)], self.levels)
-            frames = []
-            for plane in m.planes:
-                data = self.pack.compress(plane.tobytes())
-                self.stream.write(data)
-                frames.append([self.at, len(data)])
-                self.at += len(data)
-            self.blocks.append({"size": m.size, "zeros": m.zeros, "frames": frames})
+            for v in range(self.levels):
+                for c in range(m.before.shape[1]):
+                    data = self.pack.compress(m.frame(v, c).tobytes())
+                    self.stream.write(data)
+                    self.frames.append((self.at, len(data), int(m.before[v, c])))
+                    self.at += len(data)
+            self.sizes.append(m.size)
+            self.zeros.append(m.zeros)
         self.held, self.n_held = [ids[whole:]], len(ids) - whole
 
     def close(self) -> None:
         self._flush(last=True)
-        footer = zstandard.compress(json.dumps({"documents": self.documents, "blocks": self.blocks}).encode())
+        line = json.dumps({"levels": self.levels, "chunk": CHUNK, "documents": len(self.documents), "blocks": self.sizes}).encode()
+        arrays = [[d or 0 for d, _ in self.documents], [d is None for d, _ in self.documents], [n for _, n in self.documents], np.concatenate(self.zeros) if self.zeros else [], *(zip(*self.frames, strict=True) if self.frames else ([], [], []))]
+        footer = zstandard.compress(len(line).to_bytes(8, "little") + line + b"".join(np.array(list(a), "<i8").tobytes() for a in arrays))
         self.stream.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
 
 
 class Reader:
-    """A file; blocks are read when they are asked for."""
+    """A file; frames are read when they are asked for."""
 
     def __init__(self, stream):
         self.stream = stream
@@ -190,25 +211,77 @@ class Reader:
             raise ValueError("not a whole file of this format")
         size = int.from_bytes(tail[:8], "little")
         stream.seek(end - 8 - len(MAGIC) - size)
-        kept = json.loads(zstandard.decompress(stream.read(size)))
-        self.documents = [tuple(d) for d in kept["documents"]]
-        self.blocks = kept["blocks"]
-        self.starts = np.cumsum([0, *(b["size"] for b in self.blocks)])
-
-    def block(self, k: int) -> WaveletMatrix:
-        b = self.blocks[k]
-        planes = []
-        for at, size in b["frames"]:
-            self.stream.seek(at)
-            planes.append(np.frombuffer(zstandard.decompress(self.stream.read(size)), np.uint8))
-        return WaveletMatrix(b["size"], b["zeros"], planes)
+        data = zstandard.decompress(stream.read(size))
+        line = int.from_bytes(data[:8], "little")
+        kept = json.loads(data[8 : 8 + line])
+        if kept["chunk"] != CHUNK:
+            raise ValueError(f"frames of {kept['chunk']} bits")
+        n, levels, sizes = kept["documents"], kept["levels"], np.array(kept["blocks"], np.int64)
+        chunks = -(-sizes // CHUNK)
+        frames = int(chunks.sum()) * levels
+        flat = np.frombuffer(data, "<i8", offset=8 + line)
+        ids, nulls, tokens, zeros, *places = np.split(flat, np.cumsum([n, n, n, len(sizes) * levels, frames, frames]))
+        self.documents = [(None if z else d, k) for d, z, k in zip(ids.tolist(), nulls.tolist(), tokens.tolist(), strict=True)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = np.cumsum(chunks * levels)[:-1]
+        shaped = lambda a: [p.reshape(levels, -1) for p in np.split(a, cuts)] if len(sizes) else []
+        self.places, self.lengths, before = (shaped(p) for p in places)
+        self.cache: OrderedDict[tuple[int, int, int], np.ndarray] = OrderedDict()
+        self.frames_read = 0
+        self.blocks = [WaveletMatrix(int(s), z, b, lambda v, c, k=k: self._frame(k, v, c)) for k, (s, z, b) in enumerate(zip(sizes, zeros.reshape(-1, levels), before, strict=True))]
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def _frame(self, block: int, level: int, c: int) -> np.ndarray:
+        key = (block, level, c)
+        if key in self.cache:
+            self.cache.move_to_end(key)
+            return self.cache[key]
+        self.stream.seek(int(self.places[block][level, c]))
+        found = np.frombuffer(zstandard.decompress(self.stream.read(int(self.lengths[block][level, c]))), np.uint8)
+        self.frames_read += 1
+        self.cache[key] = found
+        if len(self.cache) > KEPT_FRAMES:
+            self.cache.popitem(last=False)
+        return found
 
     def access(self, i: int) -> int:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
         k = int(np.searchsorted(self.starts, i, side="right")) - 1
-        return self.block(k).access(i - int(self.starts[k]))
+        return self.blocks[k].access(i - int(self.starts[k]))
+
+    def rank(self, token: int, i: int) -> int:
+        """How often ``token`` is among the file's first i ids."""
+        return sum(b.rank(token, i - int(s)) for s, b in zip(self.starts, self.blocks, strict=False) if s < i)
 
     def count(self, token: int) -> int:
-        return sum(self.block(k).count(token) for k in range(len(self.blocks)))
+        return self.rank(token, len(self))
+
+    def select(self, token: int, k: int) -> int:
+        """Position in the file of the k-th ``token`` (from 0)."""
+        left = k
+        for s, b in zip(self.starts, self.blocks, strict=False):
+            n = b.count(token)
+            if 0 <= left < n:
+                return int(s) + b.select(token, left)
+            left -= n
+        raise IndexError(k)
+
+    def positions(self, token: int) -> Iterator[int]:
+        """All positions of ``token`` in the file, in order."""
+        for s, b in zip(self.starts, self.blocks, strict=False):
+            for i in b.positions(token):
+                yield int(s) + i
+
+    def document_at(self, i: int) -> tuple[int, int]:
+        """Number of the document that id i is in, and the place there."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        ends = np.cumsum([n for _, n in self.documents])
+        d = int(np.searchsorted(ends, i, side="right"))
+        return d, i - int(ends[d] - self.documents[d][1])
 
     def rows(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """The documents with their ids, in order; a block is decoded at a time."""
@@ -218,7 +291,8 @@ class Reader:
             while n > len(held):
                 parts.append(held)
                 n -= len(held)
-                held = self.block(k).decode()
+                held = self.blocks[k].decode()
+                self.cache.clear()
                 k += 1
             parts.append(held[:n])
             held = held[n:]
@@ -252,103 +326,98 @@ def _rename(old: str, new: str) -> None:
     system.move(name, fs.FileSystem.from_uri(new)[1])
 
 
-def _tokenize(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        wide = np.uint16 if len(coder.ends) <= 1 << 16 else np.uint32
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for i, j in doc_slices(offsets, SLICE):
-                ids, totals = coder.encode_buffer(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
-                at = np.concatenate([[0], np.cumsum(totals)]) * np.dtype(wide).itemsize
-                body = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(wide).tobytes())])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("shard", "doc_id")), body], ["shard", "doc_id", "ids"])
-
-    return run
-
-
-def _write(folder: str, wide: str, levels: int):
-    """Rows come sorted by shard and id.  A file gets its name when it is whole, so a task that
-    is repeated replaces it with the same content."""
+def _write(folder: str, path: str, end: int):
+    """Encodes and writes a range of rows, which come sorted.  A file gets its name when it is
+    whole, so a task that is repeated replaces it with the same content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out, name, done = None, None, "", []
+        coder = encoder(path)
+        wide = np.uint16 if len(coder.ends) <= 1 << 16 and end < 1 << 16 else np.uint32
+        levels = max(1, int(max(len(coder.ends) - 1, end)).bit_length())
+        part, out, name, done = TaskContext.get().partitionId(), None, "", []
 
         def finish() -> None:
             out.close()
             out.stream.close()
-            final = f"{folder}/shard-{shard:08d}.gfwm"
+            final = f"{folder}/part-{part:07d}-{len(done):04d}.gfwm"
             _rename(name, final)
-            done.append((shard, final, sum(n for _, n in out.documents)))
+            done.append((part, len(done), final, out.tokens))
 
         for batch in batches:
-            shards, ids = batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist()
-            body = batch.column("ids")
-            for i in range(batch.num_rows):
-                if shards[i] != shard:
-                    if out:
+            data, offsets = text_bytes(batch.column("text"))
+            doc_ids = batch.column("doc_id").to_pylist()
+            for i, j in doc_slices(offsets, SLICE):
+                ids, totals = coder.encode_buffer(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
+                ids = ids.astype(wide)
+                at = np.concatenate([[0], np.cumsum(totals)])
+                for k in range(i, j):
+                    if out is None:
+                        name = f"{folder}/part-{uuid.uuid4().hex}.tmp"
+                        out = Writer(_open(name, "wb"), levels)
+                    out.add(doc_ids[k], ids[at[k - i] : at[k - i + 1]])
+                    if out.tokens >= FILE_TOKENS:
                         finish()
-                    shard, name = shards[i], f"{folder}/part-{uuid.uuid4().hex}.tmp"
-                    out = Writer(_open(name, "wb"), levels)
-                out.add(ids[i], np.frombuffer(body[i].as_buffer(), wide))
-        if out:
+                        out = None
+        if out is not None:
             finish()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done]), pa.array([d[2] for d in done], pa.int64())], ["shard", "path", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["part", "file", "path", "tokens"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str, int]]:
-    """Writes the files; returns shard, path and number of ids, in order of the shards (the
-    list has a row for SHARD_BYTES of text)."""
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """Writes the files; returns path and number of ids, in order of their documents (the list
+    has a row for about TASK_BYTES of text)."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    cuts: list[int] = []
-    if shards > 1:
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] or []))
-    shard = F.coalesce(F.array_size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    coder = encoder(tokenizer)
-    levels = max(1, int(max(len(coder.ends) - 1, end)).bit_length())
-    wide = "<u2" if len(coder.ends) <= 1 << 16 else "<u4"
-    rows = docs.withColumn("shard", shard.cast("int")).mapInArrow(_tokenize(tokenizer, end), "shard int, doc_id long, ids binary")
-    sorted_ = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
-    return sorted((r["shard"], r["path"], r["tokens"]) for r in sorted_.mapInArrow(_write(folder, wide, levels), "shard int, path string, tokens long").collect())
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-            with _open(path, "rb") as stream:
-                rows: list[tuple] = []
-                at = start
-                for doc_id, ids in Reader(stream).rows():
-                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    at += len(ids)
-                    if len(rows) == 10_000:
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // TASK_BYTES), min(4 * cores, size // (TASK_BYTES // 16)))
+    # rows that repeat an id are told apart by their text, and equal rows by where they are read, so
+    # that no range has to hold all rows of one id
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("_text").asc()]
+    ranged = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(tasks, *keys, F.col("_row").asc())
+    rows = ranged.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(_write(folder, tokenizer, end), "part int, file int, path string, tokens long")
+    return [(r["path"], r["tokens"]) for r in sorted(rows.collect(), key=lambda r: (r["part"], r["file"]))]
+
+
+def _read(files: list[tuple[str, int]]):
+    """Digests of the files whose numbers come as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                path, at = files[number]
+                with _open(path, "rb") as stream:
+                    rows: list[tuple] = []
+                    for doc_id, ids in Reader(stream).rows():
+                        rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        at += len(ids)
+                        if len(rows) == 10_000:
+                            yield _digest(rows)
+                            rows = []
+                    if rows:
                         yield _digest(rows)
-                        rows = []
-                if rows:
-                    yield _digest(rows)
+
+    return run
 
 
 def _digest(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_digests(spark, files: list[tuple[int, str, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the files."""
-    table, start = [], 0
-    for shard, path, tokens in files:
-        table.append((shard, path, start))
-        start += tokens
-    listed = spark.createDataFrame(table, "shard int, path string, start long").repartition(max(1, len(table)), "shard")
-    return listed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_digests(spark, files: list[tuple[str, int]]) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files, a task for each file."""
+    starts = np.cumsum([0, *(n for _, n in files)]).tolist()
+    listed = [(path, start) for (path, _), start in zip(files, starts, strict=False)]
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(_read(listed), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
-    """Writes the files into the shared folder and digests what they hold."""
+    """Writes the files into the shared folder, digests what they hold and removes them."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/geoframe-tokens-{uuid.uuid4().hex}"
-    return read_digests(spark, write_tokens(docs, tokenizer, folder, end))
+    digests = cut(read_digests(spark, write_tokens(docs, tokenizer, folder, end)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return digests

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -29,7 +30,7 @@ def test_encoder_on_odd_texts():
     assert sizes.sum() == len(ids)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=5))
 def test_encoder_on_any_text(texts):
     whole = encoder(PATH).tokenizer
@@ -39,6 +40,12 @@ def test_encoder_on_any_text(texts):
     assert [i for t in texts for i in [*whole.encode(t, add_special_tokens=False).ids, 1]] == ids.tolist()
 
 
+@pytest.mark.parametrize("text", ["\x00:", "a\x00b \x00", "\x00", ":\x00:"])
+def test_nul_bytes(text):
+    ids, sizes = Encoder(PATH).encode([b"", text.encode(), text.encode()])
+    assert ids.tolist() == [1, *reference(text), *reference(text)]
+
+
 def test_other_vocabulary():
     ids, sizes = Encoder(str(public_tokenizers.path("byte_bpe_50k.json"))).encode([b"Hello  there", b""], end=7)
     whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
@@ -77,10 +84,40 @@ def test_file_blocks(monkeypatch):
     assert [(i, a.tolist()) for i, a in r.rows()] == [(i, a.tolist()) for i, a in docs]
     flat = np.concatenate([a for _, a in docs])
     assert r.access(777) == flat[777] and r.count(5) == (flat == 5).sum()
+    for token in (0, 5, 17, 299, 300, 1 << 9):
+        where = np.flatnonzero(flat == token).tolist()
+        assert list(r.positions(token)) == where and r.count(token) == len(where)
+        assert [r.select(token, k) for k in range(len(where))] == where
+        assert [r.rank(token, i) for i in range(0, len(flat), 61)] == [sum(w < i for w in where) for i in range(0, len(flat), 61)]
+    for i in (0, 99, 100, len(flat) - 1):
+        d, at = r.document_at(i)
+        assert docs[d][1][at] == flat[i]
+    for bad in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            r.access(bad)
+    with pytest.raises(IndexError):
+        r.select(5, r.count(5))
+
+
+def test_lookups_read_single_frames():
+    """One id, and one occurrence, of a file of a million take a frame or a few of each plane."""
+    a = np.random.default_rng(2).integers(0, 49_000, 1 << 20).astype(np.uint16)
+    stream = io.BytesIO()
+    w = wavelet.Writer(stream, 16)
+    w.add(1, a)
+    w.close()
+    r = wavelet.Reader(stream)
+    total = sum(p.size for p in r.places)
+    assert r.access(700_001) == a[700_001] and r.frames_read <= 16 < total / 8
+    k = int((a[:700_001] == a[700_001]).sum())
+    r = wavelet.Reader(stream)
+    assert r.blocks[2].select(int(a[700_001]), int((a[2 << 18 : 700_001] == a[700_001]).sum())) == 700_001 - (2 << 18)
+    assert r.frames_read <= 48 and r.rank(int(a[700_001]), 700_001) == k
 
 
 def test_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(wavelet, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(wavelet, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(wavelet, "FILE_TOKENS", 1 << 25)
     docs = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     got = sorted((tuple(r) for r in wavelet.round_trip(docs, PATH).collect()), key=lambda r: r[1])
     order = sorted(((d, reference(t)) for d, t in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, crc(np.array(r[1], "<u2"))))
