@@ -69,12 +69,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return out
     kind = _CLASS[data]
     size = np.diff(offsets).astype(float)
-    at = np.minimum(offsets[:-1], max(0, len(data) - 1))
 
     def total(mask: np.ndarray) -> np.ndarray:
-        if not len(data):
-            return np.zeros(rows)
-        return np.where(size > 0, np.add.reduceat(mask.astype(np.int32), at), 0)
+        """Of each row.  A zero behind the data lets an empty row begin at its end."""
+        return np.where(size > 0, np.add.reduceat(np.append(mask, False).astype(np.int32), offsets[:-1]), 0)
 
     space = SPACE[data]
     first = ~space
@@ -86,6 +84,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last[offsets[1:][size > 0] - 1] = ~space[offsets[1:][size > 0] - 1]
     same = np.zeros(len(data), bool)
     same[1:] = (data[1:] == data[:-1]) & ~space[1:]
+    same[edge] = False
     words = total(first)
     letters = np.maximum(1, total((kind == _LOWER) | (kind == _UPPER)))
     bytes_ = np.maximum(1, size)

@@ -42,6 +42,50 @@ def test_statistics_of_slices_agree():
         np.testing.assert_allclose(whole[i], quality.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
 
 
+def test_statistics_dont_depend_on_neighbours():
+    texts = [b"", b"Hello World!!! ABC|", b"", b"|x", b"||", b"\n", b"x"]
+    alone = {t: quality.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts}
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        row = [texts[i] for i in rng.integers(0, len(texts), int(rng.integers(1, 6)))]
+        got = quality.statistics(np.frombuffer(b"".join(row), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in row])]))
+        for t, g in zip(row, got, strict=True):
+            np.testing.assert_array_equal(g, alone[t])
+
+
+def test_discriminant_against_plain_gaussians():
+    rng = np.random.default_rng(3)
+    x = {y: rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) + 2 * y for y, n in ((0, 300), (1, 120))}
+    model = quality.Discriminant({y: (len(v), v.sum(0), v.T @ v) for y, v in x.items()}, shrink=0.2, ridge=1e-2)
+    n = {y: len(v) for y, v in x.items()}
+    own = {y: np.cov(v.T, bias=True) for y, v in x.items()}
+    pooled = sum(n[y] * own[y] for y in x) / sum(n.values())
+    diagonal = np.diag(np.diag(pooled))
+    asked = rng.normal(size=(50, 4)) * 3
+    density = {}
+    for y in x:
+        c = 0.8 * own[y] + 0.1 * pooled + 0.1 * diagonal + 1e-2 * diagonal
+        d = asked - x[y].mean(0)
+        density[y] = np.log(n[y] / sum(n.values())) - np.linalg.slogdet(c)[1] / 2 - (d * np.linalg.solve(c, d.T).T).sum(1) / 2
+    np.testing.assert_allclose(model.scores(asked), 1 / (1 + np.exp(np.clip(density[0] - density[1], -60, 60))), rtol=1e-8)
+
+
+def test_quality_query_against_one_pass(spark, sf):
+    """The query's scores are those of one model over all labelled rows outside the fold, fitted here in one piece."""
+    import zlib
+
+    docs, labels = table(spark, sf, "documents").toPandas(), table(spark, sf, "labels").toPandas()
+    fold = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in docs.doc_id}
+    truth = {r.doc_id: int(r.quality) for r in labels.itertuples() if r.quality in (0, 1)}
+    stats = {d: quality.statistics(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    taught = {y: np.stack([stats[d] for d in docs.doc_id if truth.get(d) == y and not fold[d]]) for y in (0, 1)}
+    model = quality.Discriminant({y: (len(v), v.sum(0), v.T @ v) for y, v in taught.items()})
+    got = queries.op1_quality_classifier(spark, sf).toPandas()
+    assert sorted(got.doc_id) == sorted(docs.doc_id) and all(got.held_out == got.doc_id.map(fold))
+    np.testing.assert_allclose(got.score, model.scores(np.stack([stats[d] for d in got.doc_id])), atol=1e-7)
+    assert (got.predicted == (got.score >= 0.3)).all()
+
+
 def test_toxic_stems_and_distances():
     plain = [f"the quiet garden number {i} has word{i} and stone{i}".encode() for i in range(200)]
     toxic = [f"you are a grumpelwort{i % 3} number {i} in garden{i * 7}".encode() for i in range(60)]
