@@ -1,21 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from the labelled rows: one on words of ordinary
-texts, one on the stems by which toxic texts stand out.  A text is cut into windows of one
-word each.  A window is compressed twice, against the ordinary dictionary and against the
-same dictionary with the toxic one behind it, and its distance is the bytes that the toxic
-one saves.  An anchor that both dictionaries hold stands before and after each window, as zstandard stores a frame
-of a few bytes without compressing it and looks for no match in a frame's last eight bytes.  The threshold for a window is calibrated on
-the training rows, as is the logistic curve from a text's windows to its score.  Distances
-of distinct words are kept, so a word that comes again costs a lookup.
-
-The training sample is bounded: at most SAMPLE rows of each class, the first by a hash of
-the id, with texts of at most SAMPLE_CHARS characters.  All texts are scored whole.
+Two zstandard dictionaries are trained from the labelled rows, one on ordinary and one on toxic
+texts.  A text is cut into windows of WINDOW words.  A window is compressed twice, against the
+ordinary dictionary and against the same with the toxic one behind it, and its distance is the
+bytes that the toxic one saves.  The curve from the numbers of a text's windows at several
+distances to its score is calibrated on the training rows.
+
+Toxic texts are mostly ordinary words, and a dictionary of such a text holds these, too.  So the
+toxic one is trained twice: dictionaries of each half of the toxic texts are tried on the other
+half's words, and those that a dictionary of other texts shortens by SAVED bytes or more, beyond
+what the ordinary one does, are the samples of the next round and of the final dictionary.  The
+ordinary one is trained on windows of ordinary texts; words of theirs that the toxic one shortens
+by mistake are put behind it.  Which words these are is never listed; only lengths decide.
+
+An anchor that both sides hold stands before and after each window, as zstandard stores a frame of
+a few bytes without compressing it and looks for no match in a frame's last eight bytes.  Filler
+that no text matches takes the toxic dictionary's place on the ordinary side, so that both sides
+write equal distances to the ordinary part.
+
+The training sample is bounded: of each class at most SAMPLE rows, the first by a hash of the id,
+and of these the first with SAMPLE_BYTES of text in all; a row that would pass that is left out.
+All texts are scored whole.
 
 Defined results: a null text counts as empty; an empty text gets the score of a text
 without any saving window.  Rows with a null id or label teach nothing.  If a label is
-given twice for one id, the larger one counts.  Without labels of both classes every score
-is the share of label 1 (0 if there are no labels).  Repeated rows are scored one by one.
+given twice for one id, the larger one counts; if an id has several texts, the first of them by
+a hash teaches.  Without labels of both classes every score is the share of label 1 (0 if there
+are no labels).  Repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -28,123 +39,117 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import cut, held_out
 
 SAMPLE = 4000
-SAMPLE_CHARS = 20_000
-#: A stem marks toxic text if this many times as common there, in at least this share of its texts.
-CONTRAST = 10.0
-SUPPORT = 0.02
-SHORTEST, LONGEST = 4, 12
-ORDINARY_BYTES = 4096
-TOXIC_BYTES = 4096
+SAMPLE_BYTES = 12_000_000
+#: Words of a window.
+WINDOW = 2
+ORDINARY_BYTES, MISTAKEN_BYTES = 16_384, 8_192
+HALF_BYTES, TOXIC_BYTES = 4096, 2048
+#: Rounds over the two halves of the toxic texts, and the bytes that a word must save there.
+ROUNDS = 2
+SAVED = 4
+TRAINED_TOGETHER = 8
+#: Distances whose windows are counted.
+LEVELS = (2, 3, 4, 5, 6)
 ANCHOR = bytes(range(128, 152))
 FILLER = b"\x01"
-KEPT_WORDS = 400_000
+#: Windows that are compressed in one call.
+TOGETHER = 50_000
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def windows_of(text: bytes, words: int = WINDOW) -> list[bytes]:
+    split = text.lower().split()
+    return [b" " + b" ".join(split[i : i + words]) + b" " for i in range(0, len(split), words)]
 
 
-def _apart(texts: Iterable[bytes]) -> list[set[bytes]]:
-    """The word sets of the texts, one of each group of near copies (texts with the same
-    two smallest word hashes, by two orders)."""
+def _apart(texts: Iterable[bytes]) -> list[bytes]:
+    """One text of each group of near copies (texts that share the smallest word hash of one of three orders)."""
     seen: set[tuple[int, int]] = set()
     out = []
     for t in texts:
-        words = set(words_of(t))
+        words = set(t.lower().split())
         long = [w for w in words if len(w) >= 7] or list(words)
         if not long:
             continue
         marks = [(k, min(zlib.crc32(w, k) for w in long)) for k in (0, 1, 2)]
         if not any(m in seen for m in marks):
-            out.append(words)
+            out.append(t)
         seen.update(marks)
     return out
 
 
-def stems(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Word beginnings that are far more common in toxic texts, each as long as most words that share it allow."""
-    counts = []
-    for texts in (toxic, ordinary):
-        c: Counter[bytes] = Counter()
-        for words in texts:
-            c.update({w[:k] for w in words for k in range(SHORTEST, LONGEST + 1)})
-        counts.append(c)
-    bad, good = counts
-    least = max(3.0, SUPPORT * len(toxic))
-    marks = sorted((g for g, n in bad.items() if n >= least and n / max(1, len(toxic)) > CONTRAST * (good[g] + 0.5) / max(1, len(ordinary))), key=lambda g: (len(g), g))
-    longer: dict[bytes, list[bytes]] = {}
-    for g in bad:
-        if len(g) > SHORTEST:
-            longer.setdefault(g[:-1], []).append(g)
-    out: list[bytes] = []
-    for g in marks:
-        if any(g.startswith(s) or s.startswith(g) for s in out):
-            continue
-        while nearest := [h for h in longer.get(g, ()) if bad[h] >= 0.8 * bad[g]]:
-            g = nearest[0]
-        out.append(g)
-    return sorted(out, key=lambda g: (bad[g], g))
+def _dictionary(size: int, samples: list[bytes]) -> bytes:
+    """Trained on the samples; of too few of them, these themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def _compressor(data: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=14, hash_log=13, chain_log=13, search_log=3)
+    params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=15, chain_log=15, search_log=4)
     kept = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     kept.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=kept, compression_params=params)
 
 
+class Sides:
+    """The two compressors.  ``first``: the toxic dictionary stands before the ordinary one, where
+    it is dearer, so that it is used only for what the ordinary one lacks."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, first: bool = False):
+        filler = FILLER * len(toxic)
+        both = [(filler + ordinary, toxic + ordinary), (ordinary + filler, ordinary + toxic)][not first]
+        self.sides = [_compressor(b + ANCHOR) for b in both]
+
+    def distances(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic side saves on each window."""
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(windows), TOGETHER):
+            part = windows[i : i + TOGETHER]
+            sizes = np.fromiter(map(len, part), np.uint64, len(part)) + np.uint64(2 * len(ANCHOR))
+            ranges = np.stack([np.cumsum(sizes) - sizes, sizes], axis=1).astype(np.uint64).tobytes()
+            body = zstandard.BufferWithSegments(ANCHOR + (ANCHOR + ANCHOR).join(part) + ANCHOR, ranges)
+            one, two = (np.fromiter(map(len, c.multi_compress_to_buffer(body)), np.int64, len(part)) for c in self.sides)
+            out.append(one - two)
+        return np.concatenate(out)
+
+
 @dataclass
 class Model:
-    toxic: bytes = b""
     ordinary: bytes = b""
-    threshold: int = 1
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    _state: dict = field(default_factory=dict, repr=False)
+    toxic: bytes = b""
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + 2 * len(LEVELS)))
+    _sides: Sides | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_state": {}}
-
-    def distances(self, words: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each word."""
-        if not words or not self.toxic:
-            return np.zeros(len(words), np.int64)
-        if "pair" not in self._state:
-            # the toxic part is nearest to the window, so a match in it is short to write; filler that
-            # no text matches keeps the ordinary part as far away in the other dictionary
-            self._state["pair"] = (_compressor(self.ordinary + FILLER * len(self.toxic) + ANCHOR), _compressor(self.ordinary + self.toxic + ANCHOR))
-        sizes = np.fromiter((len(w) for w in words), np.uint64, len(words)) + np.uint64(2 * len(ANCHOR) + 2)
-        body = b"".join([b"%b %b %b" % (ANCHOR, w, ANCHOR) for w in words])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
-        ranges = np.stack([starts, sizes], axis=1).tobytes()
-        one, two = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(zstandard.BufferWithSegments(body, ranges))), np.int64, len(words)) for c in self._state["pair"])
-        return one - two
-
-    def windows(self, texts: list[bytes]) -> list[list[int]]:
-        """The distances of each text's windows."""
-        known = self._state.setdefault("known", {})
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        split = [words_of(t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        known.update(zip(fresh, self.distances(fresh).tolist(), strict=True))
-        return [[known[w] for w in words] for words in split]
-
-    def features(self, windows: list[list[int]], threshold: int) -> np.ndarray:
-        out = np.zeros((len(windows), 4))
-        for i, w in enumerate(windows):
-            hits = sum(1 for d in w if d >= threshold) if w else 0
-            out[i] = (1.0, 1.0 if hits else 0.0, np.log1p(hits), np.log1p(1000.0 * hits / len(w)) if w else 0.0)
+        return {**self.__dict__, "_sides": None}
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text: one, and for each level the number and the share of windows that reach it, on a log scale."""
+        out = np.zeros((len(texts), 1 + 2 * len(LEVELS)))
+        out[:, 0] = 1
+        if not self.toxic:
+            return out
+        if self._sides is None:
+            self._sides = Sides(self.ordinary, self.toxic)
+        windows = [windows_of(t) for t in texts]
+        sizes = np.fromiter(map(len, windows), np.int64, len(texts))
+        found = self._sides.distances([w for ws in windows for w in ws])
+        row = np.repeat(np.arange(len(texts)), sizes)
+        for k, level in enumerate(LEVELS):
+            hits = np.bincount(row[found >= level], minlength=len(texts))
+            out[:, 1 + 2 * k] = np.log1p(hits)
+            out[:, 2 + 2 * k] = np.log1p(1000.0 * hits / np.maximum(1, sizes))
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        x = self.features(self.windows(texts), self.threshold)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -60, 60)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -158,38 +163,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _joined(words: list[bytes]) -> list[bytes]:
+    """Words as samples of TRAINED_TOGETHER, as a sample of one word is too short to train on."""
+    return [b"".join(words[i : i + TRAINED_TOGETHER]) for i in range(0, len(words), TRAINED_TOGETHER)]
+
+
+def _telling(ordinary: bytes, texts: list[bytes]) -> list[bytes]:
+    """Samples of the words of toxic texts that dictionaries of other toxic texts shorten, each as often as it occurs."""
+    halves = [texts[0::2], texts[1::2]]
+    samples = [[w for t in h for w in windows_of(t)] for h in halves]
+    words = [[w for t in h for w in windows_of(t, 1)] for h in halves]
+    for _ in range(ROUNDS):
+        toxic = [_dictionary(HALF_BYTES, s) for s in samples]
+        samples = [[w for w, d in zip(own, Sides(ordinary, other, first=True).distances(own), strict=True) if d >= SAVED] for own, other in zip(words, reversed(toxic), strict=True)]
+        samples = [_joined(s) for s in samples]
+    return samples[0] + samples[1]
+
+
+def _mistaken(ordinary: bytes, toxic: bytes, texts: list[bytes]) -> bytes:
+    """Words of ordinary texts that the toxic dictionary shortens, the most frequent ones first."""
+    sides, least = Sides(ordinary, toxic), LEVELS[0]
+    counts: Counter[bytes] = Counter()
+    for t in texts:
+        windows = windows_of(t)
+        counts.update(w for x, d in zip(windows, sides.distances(windows), strict=True) if d >= least for w in windows_of(x, 1))
+    words = sorted(counts, key=lambda w: (-counts[w], w))
+    return b"".join(w for w, d in zip(words, sides.distances(words), strict=True) if d >= least)[:MISTAKEN_BYTES]
+
+
 def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     """From texts of both classes; ``share`` is the share of toxic rows among all labelled ones."""
     model = Model()
-    prior = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    model.weights = np.array([np.clip(prior, -20, 20), 0, 0, 0])
-    if not toxic or not ordinary:
-        return model
+    model.weights[0] = np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)
     bad, good = _apart(toxic), _apart(ordinary)
-    found = stems(bad, good)
+    if not bad or not good:
+        return model
+    model.ordinary = _dictionary(ORDINARY_BYTES, [w for t in good for w in windows_of(t)])
+    found = _telling(model.ordinary, bad)
     if not found:
         return model
-    model.toxic = b"".join(b" " + s + FILLER for s in found)[-TOXIC_BYTES:]
-    plain = [b" " + w for words in good for w in sorted(words)]
-    plain = plain[:: max(1, len(plain) // 60_000)]
-    try:
-        model.ordinary = zstandard.train_dictionary(ORDINARY_BYTES, plain, level=3).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their text itself
-        model.ordinary = b"".join(plain)[-ORDINARY_BYTES:]
+    model.toxic = _dictionary(TOXIC_BYTES, found)
+    model.ordinary += _mistaken(model.ordinary, model.toxic, good)
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    windows = model.windows([*toxic, *ordinary])
-    best = (-1.0, 1)
-    for t in range(1, 9):
-        hit = np.array([any(d >= t for d in w) for w in windows])
-        rate = hit[y == 1].mean() - hit[y == 0].mean()
-        best = max(best, (rate, t))
-    model.threshold = best[1]
-    model.weights = _logistic(model.features(windows, model.threshold), y)
+    model.weights = _logistic(model.features([*toxic, *ordinary]), y)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Draws the bounded sample and trains on the driver (at most 2 * SAMPLE texts of SAMPLE_CHARS)."""
+    """Draws the bounded sample and trains on the driver."""
     taught = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("label")).filter(~held_out() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -197,8 +218,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     for y in (0, 1):
         part = taught.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         drawn = part if drawn is None else drawn.union(part)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect()
-    by = {y: [r["text"].encode() for r in sorted(texts, key=lambda r: r["doc_id"]) if r["label"] == y] for y in (0, 1)}
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    texts = cut(texts.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"))
+    chosen, used = [], {0: 0, 1: 0}
+    for r in texts.select("doc_id", "label", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most 2 * SAMPLE rows of three numbers
+        if used[r["label"]] + r["n"] <= SAMPLE_BYTES:
+            used[r["label"]] += r["n"]
+            chosen.append(r["doc_id"])
+    kept = texts.filter(F.col("doc_id").isin(chosen)).collect() if chosen else []
+    by = {y: [r["text"].encode() for r in sorted(kept, key=lambda r: r["doc_id"]) if r["label"] == y] for y in (0, 1)}
     return train(by[1], by[0], counts.get(1, 0) / total if total else 0.0)
 
 
@@ -226,5 +255,3 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't call toxic, with all their columns."""
     return docs.filter(scorer(docs.sparkSession, fit(docs, labels))(F.col("text").cast("string")) < threshold)
-
-

@@ -86,14 +86,53 @@ def test_quality_query_against_one_pass(spark, sf):
     assert (got.predicted == (got.score >= 0.3)).all()
 
 
-def test_toxic_stems_and_distances():
+def test_toxic_dictionary_finds_what_toxic_texts_share():
     plain = [f"the quiet garden number {i} has word{i} and stone{i}".encode() for i in range(200)]
     toxic = [f"you are a grumpelwort{i % 3} number {i} in garden{i * 7}".encode() for i in range(60)]
     model = toxicity.train(toxic, plain, 0.2)
+    assert b"grumpel" in model.toxic and b"grumpel" not in model.ordinary
     scores = model.scores([b"some grumpelwort9 here", b"some garden here", b""])
     assert scores[0] > 0.5 > scores[1] and scores[2] < 0.5
 
 
+def test_toxicity_recall_and_precision():
+    """Planted words in a third of the toxic rows and in no other; the rest of the toxic labels are noise."""
+    rng = np.random.default_rng(4)
+    syllables = ["ba", "den", "ki", "lor", "mu", "sta", "ver", "tion", "ou", "re"]
+    word = lambda: "".join(syllables[i] for i in rng.integers(0, 10, int(rng.integers(1, 5))))
+    planted = ["zwiffelhund", "quagmartic", "xenobrute", "jabbelwock"]
+
+    def text(bad):
+        words = [word() for _ in range(int(rng.integers(60, 200)))]
+        for _ in range(5 if bad else 0):
+            words.insert(int(rng.integers(0, len(words))), planted[int(rng.integers(0, 4))])
+        return " ".join(words).encode()
+
+    model = toxicity.train([text(i % 3 > 0) for i in range(300)], [text(False) for _ in range(900)], 0.25)
+    bad, good = model.scores([text(True) for _ in range(200)]) >= 0.5, model.scores([text(False) for _ in range(200)]) >= 0.5
+    assert bad.mean() >= 0.95 and good.mean() <= 0.02
+
+
+def test_toxicity_scores_against_window_by_window():
+    """The arrays' scores are those of compressing each window by itself."""
+    plain = [f"the quiet garden number {i} has word{i} and stone{i}".encode() for i in range(100)]
+    toxic = [f"you are a grumpelwort{i % 3} number {i} in garden{i * 7}".encode() for i in range(40)]
+    model = toxicity.train(toxic, plain, 0.3)
+    texts = [b"", b"A grumpelwort1", b"one two three four GRUMPELWORT2 six seven", b"x" * 3000, toxic[0], plain[0]]
+    one, two = (toxicity._compressor(d + toxicity.ANCHOR) for d in (model.ordinary + toxicity.FILLER * len(model.toxic), model.ordinary + model.toxic))
+    for t, got in zip(texts, model.scores(texts), strict=True):
+        words = t.lower().split()
+        found = []
+        for i in range(0, len(words), 2):
+            w = toxicity.ANCHOR + b" " + b" ".join(words[i : i + 2]) + b" " + toxicity.ANCHOR
+            found.append(len(one.compress(w)) - len(two.compress(w)))
+        x = [1.0]
+        for level in toxicity.LEVELS:
+            hits = sum(d >= level for d in found)
+            x += [np.log1p(hits), np.log1p(1000 * hits / max(1, len(found)))]
+        assert abs(1 / (1 + np.exp(-np.dot(x, model.weights))) - got) < 1e-9
+
+
 def judge(url, rules):
     host = path = ""
     if url is not None and "://" in url:
