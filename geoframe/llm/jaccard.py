@@ -14,8 +14,9 @@ with equal sets are one node).  Steps, each a scan or one shuffle of compact arr
    with the same smallest node give one block, so near copies meet in one or few blocks.
 5. ``links``: within a block a prefix tree over the ordered sets finds what links; sets known
    to be connected aren't compared again.  A block over a size bound is split, and its pivot
-   goes to every part; then each set that didn't connect with the pivot is compared with all
-   parts.  So no task holds a whole large block, and no pair is lost.
+   goes to every part; then the sets that didn't connect with the pivot are split into batches
+   of that size, too, and each batch meets each part in a task of their own.  So a task holds
+   two parts at most, and no pair is lost.
 6. Connected components over the blocks' results.
 
 Defined results: null or empty texts, or texts of white space, have no shingle and link with
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, doc_slices, tasks_for, text_bytes
+from .shared import cut, doc_slices, tasks_for, text_bytes, unused
 from .trie import join_block
 from .words import fingerprints, mix64, shingle_sets
 
@@ -48,6 +49,8 @@ MAX_FREQUENT = 1_000_000
 PART = 1_000_000
 #: Hashes in one bucket of a shuffle.
 BUCKET = 500_000
+#: Rows that are told to all tasks at most.
+MAX_TOLD = 1_000_000
 #: Groups of nodes whose counts are added up together.
 SLOTS = 256
 
@@ -66,7 +69,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, sets in _slices(batch):
             one, two = fingerprints(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_shingles", "node", "check"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "key")), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "key", "n_shingles", "node", "check"])
 
 
 def _distinct_rows(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -293,7 +296,7 @@ _LINKED = "pivot long, node long, root long, alone boolean"
 
 
 def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins each part of a block; rows come sorted by pivot, part and role."""
+    """Joins each part of a block with a batch of probes; rows come sorted by pivot, part, batch and role."""
     key, held = None, []
     out: list[tuple[int, int, int, bool]] = []
 
@@ -316,25 +319,32 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], ["pivot", "node", "root", "alone"])
 
     for batch in batches:
-        pivots, parts, roles, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "part", "role", "node"))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("pivot", "part", "batch")), strict=True))
+        roles, nodes = (batch.column(c).to_pylist() for c in ("role", "node"))
         sets = batch.column("hashes")
         for i in range(batch.num_rows):
-            if key != (pivots[i], parts[i]):
+            if key != keys[i]:
                 if held:
                     finish()
-                key, held = (int(pivots[i]), int(parts[i])), []
+                key, held = keys[i], []
                 if len(out) > 50_000:
                     yield flush()
-            held.append((int(nodes[i]), int(roles[i]), sets[i].as_buffer().to_pybytes()))
+            held.append((nodes[i], roles[i], sets[i].as_buffer().to_pybytes()))
     if held:
         finish()
     if out:
         yield flush()
 
 
-def _joined(rows: DataFrame, tasks: int) -> DataFrame:
-    """rows: pivot, part, role, node, hashes."""
-    return rows.repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", "role", "node").mapInArrow(_join_parts, _LINKED)
+def _joined(rows: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """rows: pivot, part, batch, role, node."""
+    whole = rows.join(sets, "node").select("pivot", "part", "batch", "role", "node", "hashes")
+    return whole.repartition(tasks, "pivot", "part", "batch").sortWithinPartitions("pivot", "part", "batch", "role", "node").mapInArrow(_join_parts, _LINKED)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """``rows``, told to all tasks if they are few."""
+    return F.broadcast(rows) if rows.count() <= MAX_TOLD else rows
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -358,27 +368,34 @@ def links(sets: DataFrame) -> DataFrame:
     pivots = context.broadcast((keys[by], found["pivot"].to_numpy(np.int64)[by]))
     buckets = tasks_for(spark, total / 4, BUCKET)
     members = cut(sets.mapInArrow(_post_first(order, pivots, buckets), _POSTED).groupBy("bucket").applyInArrow(_members, "pivot long, node long").distinct())
+    # only blocks over PART are looked up by pivot; of these there is at most one for PART shingles in all blocks
     sized = members.join(sets.select("node", "n"), "node")
-    blocks = sized.groupBy("pivot").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / PART).cast("int").alias("parts")).filter("members > 1")
-    part = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")))
-    placed = cut(members.join(blocks, "pivot").select("pivot", "node", "parts", F.explode(part).alias("part")))
+    large = cut(sized.groupBy("pivot").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts")).filter("parts > 1"))
     tasks = tasks_for(spark, total, PART)
-    first = cut(_joined(placed.join(sets, "node").select("pivot", "part", F.lit(0).alias("role"), "node", "hashes"), tasks))
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")))
+    placed = cut(members.join(_told(large), "pivot", "left").select("pivot", "node", F.explode(part).alias("part")))
+    first = cut(_joined(placed.select("pivot", "part", F.lit(0).alias("batch"), F.lit(0).alias("role"), "node"), sets, tasks))
     edges = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    alone = cut(first.filter("alone").select("pivot", "node").join(blocks.filter("parts > 1"), "pivot").select("pivot", "node", "parts").distinct())
+    alone = cut(first.filter("alone").select("pivot", "node").join(_told(large), "pivot").select("pivot", "node", "parts").distinct().join(sets.select("node", "n"), "node"))
     if alone.isEmpty():
         return edges
-    probes = alone.select("pivot", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"))
-    rest = placed.join(alone.select("pivot").distinct(), "pivot").select("pivot", "node", "part", F.lit(0).alias("role"))
-    second = cut(_joined(probes.unionByName(rest).join(sets, "node").select("pivot", "part", "role", "node", "hashes"), tasks))
+    probed = cut(alone.groupBy("pivot").agg(F.ceil(F.sum("n") / PART).cast("int").alias("batches")))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    batch = F.pmod(F.xxhash64("node", F.lit(11)), F.col("batches")).cast("int").alias("batch")
+    probes = alone.join(_told(probed), "pivot").select("pivot", F.explode(count("parts")).alias("part"), batch, F.lit(1).alias("role"), "node")
+    rest = placed.join(_told(probed), "pivot").select("pivot", "part", F.explode(count("batches")).alias("batch"), F.lit(0).alias("role"), "node")
+    second = cut(_joined(probes.unionByName(rest), sets, tasks))
     return edges.union(second.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of ``docs``."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, key (a hash of the text), n_shingles, component_id and group for each row of ``docs``.
+
+    group and lone tell the groups apart: rows of one group have both alike."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     spark = docs.sparkSession
-    known = cut(docs.mapInArrow(_fingerprint, "doc_id long, n_shingles long, node long, check long"))
+    known = cut(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_fingerprint, "doc_id long, key long, n_shingles long, node long, check long"))
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = tasks_for(spark, total * 3 / 8, BUCKET)
     named = docs.filter("doc_id is not null and text is not null")
@@ -387,17 +404,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     active = cut(classes.join(shared, "node").filter("shared >= ceil(ceil(n * 3 / 4) / 8)").select(F.col("first_id").alias("doc_id"), "node"))
     sets = cut(named.join(active, "doc_id").mapInArrow(_sets, "node long, n long, hashes binary").dropDuplicates(["node"]))
     grouped = components(links(sets))
-    smallest = classes.join(grouped, "node", "left").select("node", "check", "first_id", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
-    lowest = smallest.filter("linked").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = smallest.join(lowest, "component", "left").select("node", "check", F.coalesce("component_id", "first_id").alias("component_id"))
+    smallest = classes.join(grouped, "node", "left").select("node", "check", "first_id", F.coalesce("component", "node").alias("group"), F.col("component").isNotNull().alias("linked"))
+    lowest = smallest.filter("linked").groupBy("group").agg(F.min("first_id").alias("component_id"))
+    of_class = smallest.join(lowest, "group", "left").select("node", "check", "group", F.when(~F.col("linked"), F.col("check")).alias("lone"), F.coalesce("component_id", "first_id").alias("component_id"))
     full = F.when(F.col("n_shingles") > 0, F.col("node"))
-    return known.withColumn("node", full).join(of_class, ["node", "check"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return known.withColumn("node", full).join(of_class, ["node", "check"], "left").select("doc_id", "key", "n_shingles", component, "group", "lone")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row for each group: that of the smallest id.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of ``docs``."""
+    return _grouped(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
 
-    Of rows that repeat an id within a group all stay (they are told apart by nothing); rows
-    with a null id stay."""
-    kept = near_duplicates(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row for each group: one with the smallest id.
+
+    Rows are told apart by id and text: unlike texts that share an id are judged each by itself, of
+    several texts of a group with the smallest id one stays, and of repeated rows one.  Rows with a
+    null id, and rows without a shingle, stay.  Names of other columns don't matter."""
+    found = _grouped(docs, doc_id, text).filter("doc_id is not null and n_shingles > 0")
+    rows = cut(found.groupBy("doc_id", "key", "group", "lone").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")))
+    least = rows.filter("doc_id = component_id").groupBy("doc_id", "group", "lone").agg(F.min("key").alias("least"), F.count("*").alias("texts")).filter("texts > 1")
+    others = rows.filter("doc_id = component_id").alias("r").join(least.alias("l"), (F.col("r.doc_id") == F.col("l.doc_id")) & (F.col("r.group") == F.col("l.group")) & F.col("r.lone").eqNullSafe(F.col("l.lone")) & (F.col("key") > F.col("least"))).select("r.doc_id", "key")
+    id_, key = unused(docs, "id"), unused(docs, "key")
+    gone = cut(rows.filter("doc_id <> component_id").select("doc_id", "key").unionByName(others).toDF(id_, key))
+    again = cut(rows.filter("doc_id = component_id and n > 1").select("doc_id", "key").toDF(id_, key))
+    marked = docs.withColumns({id_: F.col(f"`{doc_id}`").cast("long"), key: F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    kept = marked.join(gone, [id_, key], "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, [id_, key], "left_anti").unionByName(kept.join(again, [id_, key], "left_semi").dropDuplicates([id_, key]))
+    return kept.drop(id_, key)

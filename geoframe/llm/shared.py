@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever case its names are in."""
+    taken = {c.lower() for c in df.columns}
+    out = f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the fold that no model learns from: crc32 of the id's text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -102,6 +102,32 @@ def test_edges(spark):
     assert kept.columns == df.columns
 
 
+def test_keep_one_by_row(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue pink grey black white")
+    near = a.replace("six", "SIX")  # the same set
+    schema = "doc_id long, text string, _key long, _ID string, `x.y` int"
+    rows = [(4, a), (5, a), (5, b), (6, c), (4, near), (4, a), (7, "x"), (7, "y"), (None, a), (8, ""), (8, None), (9, c)]
+    df = spark.createDataFrame([(*r, 1, "i", 2) for r in rows], schema).repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(4, a), (5, b), (6, c), (7, "x"), (7, "y"), (None, a), (8, ""), (8, "")], key=str)
+
+
+def test_batches_of_probes(spark, monkeypatch):
+    """One hash that all share, so one block; nearly nothing links, and parts and probes are many."""
+    rnd = random.Random(9)
+    monkeypatch.setattr(jaccard, "PART", 500)
+    rows = []
+    for i in range(120):
+        w = [f"p{k}" for k in range(8)] + [f"u{rnd.randrange(40)}" for _ in range(6)]
+        rows.append((i, " ".join(w)))
+        if i % 4 == 0:
+            rows.append((1000 + i, " ".join([*w, "end"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(jaccard.near_duplicates(df)) == brute(rows)
+
+
 def test_very_long_word_and_text(spark):
     long = "z" * 700_000
     many = " ".join(f"w{i}" for i in range(60_000))
