@@ -3,17 +3,28 @@
 A page is parsed into a tree of its block elements; neighbours with the same tag and classes
 are merged into one repeated node.  The trees of a host's pages are aligned by simple tree
 matching (the best order-preserving match of children, subtree by subtree) and united into
-the host's wrapper, so every node of every page has a slot in it.  Over all different pages of
-the host a slot whose text is nearly always the same is template; a slot that varies may hold
-content.  Varying slots still hold menus or adverts, so the ones within navigation, asides,
-forms and the like are left out by tag, role and class, and if the page marks an article or
-main part, content is what lies in it.
+the host's wrapper, so every node of every page has a slot in it.  What a slot is gets decided
+once for the host, from all its different pages:
+
+* A slot whose text is nearly always the same is template.
+* A varying slot's weight is the text outside links that it holds over all pages; a slot that is
+  mostly links weighs nothing.  From the root on, the wrapper is descended as long as one subtree
+  holds nearly all weight: that is the content region.  Menus, adverts and footers vary, too, but
+  lie outside it.
+* Within the region, subtrees of links are left out, and slots that the pages' own marks (element,
+  role, class) name as comments, forms, asides and the like, which no statistic can tell from
+  paragraphs.  Outside of it marks only break ties: text marked in this way weighs little, and text
+  marked as the article much.
+
+A page's text is that of its nodes whose slots are content.  A page is read by its host's wrapper
+alone; its own marks don't matter any more.
 
 Every page counts in the statistics, exact copies of a page once.  Trees are kept as strings
 and only their distinct forms are aligned, in groups by host and part of a hash, then by host.
 
 Defined results: null or empty html gives an empty text.  A null url, or one without a host,
-belongs to the host ''.  Repeated rows each give a row.  Columns other than the three are
+belongs to the host ''.  On a host with fewer than MIN_PAGES different pages no slot is template;
+weights and marks decide.  Repeated rows each give a row.  Columns other than the three are
 ignored.  An unclosed element ends where its parent ends; inline elements don't end blocks.
 """
 
@@ -37,6 +48,12 @@ from .url_filter import host_of
 CONSTANT = 0.9
 MIN_PAGES = 4
 SALTS = 16
+#: A subtree with this share of a node's weight is descended into, if no more than OWN is the node's own.
+NEARLY_ALL, OWN = 0.75, 0.05
+#: A slot or subtree with this share of its text in links is a list of links.
+LINKED = 0.5
+#: Factors on the weight of what the pages mark as left out and as the article.
+MARKED, ARTICLE = 0.1, 4.0
 #: Bytes of wrapper rows that are told to all tasks; more are joined by host.
 TOLD_BYTES = 32_000_000
 #: Lists of children whose table of matches has more cells are cut by their equal ends first.
@@ -52,6 +69,7 @@ LEFT_OUT = frozenset("head title nav footer aside form script style noscript tem
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist form".split())
 LEFT_OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments disqus reply replies respond related recommended recommendations share sharing social subscribe subscription newsletter signup login popup modal overlay widget widgets toolbar pagination pager copyright disclaimer legal skip search tags".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar top".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li blockquote pre table figure hr center".split())
 ARTICLE_WORDS = frozenset("article post entry story content".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -59,6 +77,10 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[a-z]+")
 
 
+class Linked(str):
+    """Text within a link."""
+
+
 @dataclass
 class Node:
     tag: str
@@ -87,6 +109,8 @@ def _open(tag: str, attributes: str, inside: bool) -> Node:
         node.out = True
     if not inside and not article and (tag == "header" or words & OUTSIDE_WORDS and not node.article):
         node.out = True
+    if node.out:
+        node.label += "~"  # not merged with neighbours that aren't
     return node
 
 
@@ -97,27 +121,35 @@ def parse(text: str) -> Node:
     at = 0
     inside = 0
     opened: Counter[str] = Counter()  # open elements by tag
+    link = 0  # how deep the stack was where a link began
 
     def pop_to(depth: int) -> None:
-        nonlocal inside
+        nonlocal inside, link
         while len(stack) > depth:
             node = stack.pop()
             inside -= node.article == 2
             opened[node.tag] -= 1
+        if depth < link:
+            link = 0
+
+    def add(part: str) -> None:
+        stack[-1].items.append(Linked(part) if link else part)
 
     end = len(text)
     while at < end:
         m = _TOKEN.search(text, at)
         if m is None:
-            stack[-1].items.append(text[at:])
+            add(text[at:])
             break
         if m.start() > at:
-            stack[-1].items.append(text[at : m.start()])
+            add(text[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
+            if tag == "a":
+                link = 0
             if tag in INLINE or tag in VOID and tag != "br":
                 continue
             if tag == "br":
@@ -129,6 +161,7 @@ def parse(text: str) -> Node:
                     break
             continue
         if tag in INLINE:
+            link = len(stack) if tag == "a" else link
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]|</{re.escape(tag)}\Z", re.I).search(text, at)
@@ -373,35 +406,115 @@ def slots_of(tree: Tree, wrapper: Tree) -> list[int]:
     return out
 
 
+# -- what a slot is
+
+
+@dataclass
+class Slot:
+    """Sums over the host's pages."""
+
+    nodes: float = 0  # occurrences
+    pages: float = 0  # pages with a text there
+    most: float = 0  # pages with the most frequent text
+    plain: float = 0  # characters outside links
+    links: float = 0
+    out: float = 0  # occurrences that are marked as left out
+    article: int = 0
+
+
+def content_slots(wrapper: Tree, slots: dict[int, Slot]) -> list[int]:
+    """The numbers of the wrapper's slots that are content."""
+    trees: list[Tree] = []
+    below: list[list[int]] = []
+    stack: list[tuple[Tree, int]] = [(wrapper, -1)]
+    while stack:
+        tree, parent = stack.pop()
+        at = len(trees)
+        trees.append(tree)
+        below.append([])
+        if parent >= 0:
+            below[parent].append(at)
+        stack += [(c, at) for c in reversed(tree.children)]
+    own = [slots.get(i, Slot()) for i in range(len(trees))]
+    tags = [re.split(r"[.~]", t.label, maxsplit=1)[0] for t in trees]
+    constant = [s.pages >= MIN_PAGES and s.most >= CONSTANT * s.pages for s in own]
+    out = [s.nodes > 0 and s.out >= s.nodes / 2 for s in own]
+    plain, links, weight = [0.0] * len(trees), [0.0] * len(trees), [0.0] * len(trees)
+    mine = [0.0] * len(trees)
+    for i in range(len(trees) - 1, -1, -1):  # children have higher numbers
+        s = own[i]
+        plain[i], links[i] = s.plain, s.links
+        mine[i] = 0.0 if constant[i] or s.links > LINKED * (s.plain + s.links) else s.plain
+        weight[i] = mine[i]
+        for c in below[i]:
+            plain[i] += plain[c]
+            links[i] += links[c]
+            weight[i] += weight[c]
+        weight[i] *= (MARKED if out[i] else 1.0) * (ARTICLE if s.article == 2 and not out[i] else 1.0)
+    region = 0
+    while below[region] and mine[region] <= OWN * weight[region]:
+        best = max(below[region], key=lambda c: (weight[c], -c))
+        total = sum(weight[c] for c in below[region])
+        if not total or weight[best] < NEARLY_ALL * total:
+            break
+        beside = any(tags[c] in FLOW and weight[c] > 0 for c in below[region] if c != best)
+        if beside or not below[best] and (tags[best] in FLOW or len(below[region]) == 1):
+            break
+        region = best
+    # parts that are marked as articles and hold most of the region
+    inside, found = [region], []
+    while inside:
+        i = inside.pop()
+        if out[i] and i != region:
+            continue
+        if own[i].article == 2:
+            found.append(i)
+        else:
+            inside += below[i]
+    starts = found if found and sum(weight[i] for i in found) >= weight[region] / 2 else [region]
+    content, todo = [], list(starts)
+    while todo:
+        i = todo.pop()
+        if i not in starts and (out[i] or tags[i] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and links[i] > LINKED * (plain[i] + links[i])):
+            continue
+        if not constant[i]:
+            content.append(i)
+        todo += below[i]
+    return sorted(content)
+
+
 # -- per page
 
 
-def examine(html: str) -> tuple[Node, str, dict[int, list[str]]]:
-    """Parsed page, its tree as text, and the texts by node number of the tree."""
+def examine(html: str) -> tuple[Node, str, list[tuple[str, int, int, int, int]]]:
+    """Parsed page, its tree as text, and for each node of the tree its text, the characters outside
+    and in links, the share of it that is marked as left out, and how it is marked as an article."""
     root = parse(html)
     tree = skeleton(root)
-    texts: dict[int, list[str]] = {}
+    found: list[list] = [[[], 0, 0, 0, 0, 0] for _ in range(tree.size)]
     stack = [root]
     while stack:
         node = stack.pop()
         own = _clean([i if isinstance(i, str) else " " for i in node.items])
+        f = found[node.slot]
         if own:
-            texts.setdefault(node.slot, []).append(own)
+            f[0].append(own)
+            linked = len(_clean([i if isinstance(i, Linked) else " " for i in node.items]))
+            f[1] += max(0, len(own) - linked)
+            f[2] += linked
+        f[3] += node.out
+        f[4] = max(f[4], node.article)
+        f[5] += 1
         stack.extend(i for i in reversed(node.items) if isinstance(i, Node))
-    return root, write_tree(tree), texts
+    return root, write_tree(tree), [("\n".join(t), plain, links, int(2 * out >= n), article) for t, plain, links, out, article, n in found]
 
 
-def _blocks(root: Node, constant: frozenset[int], want: int) -> list[str]:
-    """Texts of the content, in page order.  ``want``: how marked an article must be; 0: all is content."""
+def content(root: Node, nodes: frozenset[int]) -> str:
+    """The texts of the nodes with these numbers, in page order."""
     out: list[str] = []
-
-    def frame(node: Node, taken: bool) -> tuple:
-        taken = taken or not want or node.article >= want
-        return taken, taken and node.slot not in constant, [], iter(node.items)
-
-    stack = [] if root.out else [frame(root, False)]
+    stack: list[tuple[Node, list, Iterator]] = [(root, [], iter(root.items))]
     while stack:
-        taken, keep, run, rest = stack[-1]
+        node, run, rest = stack[-1]
         item = None
         for item in rest:
             if not isinstance(item, str):
@@ -410,26 +523,12 @@ def _blocks(root: Node, constant: frozenset[int], want: int) -> list[str]:
         else:
             item = None
             stack.pop()
-        if keep and (text := _clean(run)):
+        if node.slot in nodes and (text := _clean(run)):
             out.append(text)
         run.clear()
-        if item is not None and not item.out:
-            stack.append(frame(item, taken))
-    return out
-
-
-def _strongest(root: Node) -> int:
-    most, stack = 0, [root]
-    while stack:
-        node = stack.pop()
-        if not node.out:
-            most = max(most, node.article)
-            stack += [i for i in node.items if isinstance(i, Node)]
-    return most
-
-
-def content(root: Node, constant: frozenset[int]) -> str:
-    return "\n".join(_blocks(root, constant, _strongest(root)))
+        if item is not None:
+            stack.append((item, [], iter(item.items)))
+    return "\n".join(out)
 
 
 def _hash(s: str) -> int:
@@ -438,15 +537,19 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
 
 
+_SURVEYED = "host string, tree string, page long, nodes array<struct<text:long,plain:long,links:long,out:int,article:int>>"
+_NODE = pa.struct([("text", pa.int64()), ("plain", pa.int64()), ("links", pa.int64()), ("out", pa.int32()), ("article", pa.int32())])
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if html:
-                _, tree, texts = examine(html)
-                rows.append((host, tree, _hash(html), sorted(texts), [_hash("\n".join(texts[k])) for k in sorted(texts)]))
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.list_(pa.int64()))], ["host", "tree", "page", "nodes", "texts"])
+                _, tree, nodes = examine(html)
+                rows.append((host, tree, _hash(html), [{"text": _hash(t) if t else None, "plain": p, "links": k, "out": o, "article": a} for t, p, k, o, a in nodes]))
+        columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.list_(_NODE)), strict=True)], ["host", "tree", "page", "nodes"])
 
 
 def _united(table: pa.Table) -> pa.Table:
@@ -464,46 +567,81 @@ def _aligned(table: pa.Table) -> pa.Table:
     return pa.table({"host": table.column("host"), "tree": table.column("tree"), "slots": pa.array([slots_of(read_tree(t), wrapper) for t in trees], pa.list_(pa.int32()))})
 
 
-def template_nodes(pages: DataFrame) -> DataFrame:
-    """host, tree and constant (numbers of the tree's nodes whose slot is template), for trees that have any.
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for wrapper, slots in zip(batch.column("wrapper").to_pylist(), batch.column("known").to_pylist(), strict=True):
+            out.append(content_slots(read_tree(wrapper), {s.pop("slot"): Slot(**s) for s in slots}))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.int32()))], ["host", "content"])
+
+
+def wrappers_of(pages: DataFrame) -> DataFrame:
+    """host, tree and nodes (numbers of the tree's nodes that are content) for each distinct tree.
 
     ``pages``: host and html."""
-    seen = cut(pages.mapInArrow(_survey, "host string, tree string, page long, nodes array<int>, texts array<long>"))
+    seen = cut(pages.mapInArrow(_survey, _SURVEYED))
     trees = cut(seen.select("host", "tree").distinct())
     salt = F.pmod(F.xxhash64("tree"), F.lit(SALTS)).alias("salt")
     parts = trees.groupBy("host", salt).applyInArrow(_united, "host string, tree string")
-    wrappers = parts.groupBy("host").applyInArrow(_united, "host string, tree string").withColumnRenamed("tree", "wrapper")
+    wrappers = cut(parts.groupBy("host").applyInArrow(_united, "host string, tree string").withColumnRenamed("tree", "wrapper"))
     aligned = cut(trees.join(wrappers, "host").groupBy("host", salt).applyInArrow(_aligned, "host string, tree string, slots array<int>"))
-    texts = seen.select("host", "tree", "page", F.explode(F.arrays_zip("nodes", "texts")).alias("x")).select("host", "tree", "page", F.col("x.nodes").alias("node"), F.col("x.texts").alias("text"))
-    counted = texts.distinct().groupBy("host", "tree", "node", "text").agg(F.count("*").alias("n"))
-    by_slot = counted.join(aligned, ["host", "tree"]).withColumn("slot", F.get("slots", F.col("node"))).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
-    constant = by_slot.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most")).filter((F.col("pages") >= MIN_PAGES) & (F.col("most") >= CONSTANT * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("fixed"))
-    marked = aligned.join(constant, "host").withColumn("constant", F.filter(F.transform("slots", lambda s, i: F.when(F.array_contains("fixed", s), i)), lambda i: i.isNotNull()))
-    return marked.filter(F.size("constant") > 0).select("host", "tree", "constant")
+    each = seen.dropDuplicates(["host", "page"]).select("host", "tree", F.posexplode("nodes").alias("node", "x")).select("host", "tree", "node", "x.*")
+    sums = lambda n: [F.sum(n).alias("n"), *(F.sum(c).alias(c) for c in ("plain", "links", "out")), F.max("article").alias("article")]
+    counted = each.groupBy("host", "tree", "node", "text").agg(*sums(F.lit(1)))
+    by_text = counted.join(aligned, ["host", "tree"]).withColumn("slot", F.get("slots", F.col("node"))).groupBy("host", "slot", "text").agg(*sums("n"))
+    told = F.col("text").isNotNull()
+    by_slot = by_text.groupBy("host", "slot").agg(
+        F.sum("n").alias("nodes"), F.coalesce(F.sum(F.when(told, F.col("n"))), F.lit(0)).alias("pages"), F.coalesce(F.max(F.when(told, F.col("n"))), F.lit(0)).alias("most"),
+        *(F.sum(c).alias(c) for c in ("plain", "links", "out")), F.max("article").alias("article"),
+    )
+    known = by_slot.groupBy("host").agg(F.collect_list(F.struct("slot", "nodes", "pages", "most", "plain", "links", "out", "article")).alias("known"))
+    decided = known.join(wrappers, "host").select("host", "wrapper", "known").mapInArrow(_decided, "host string, content array<int>")
+    is_content = F.filter(F.transform("slots", lambda s, i: F.when(F.array_contains("content", s), i)), lambda i: i.isNotNull())
+    return aligned.join(decided, "host").select("host", "tree", is_content.alias("nodes"))
+
+
+def _read_by(known: dict[tuple[str, int], frozenset[int]] | None):
+    """Texts of pages; ``known``: the content nodes by host and hash of the tree, or None if they come with the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: frozenset[int] = frozenset()
+        for batch in batches:
+            out = []
+            given = batch.column("nodes").to_pylist() if known is None else None
+            for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+                if not html:
+                    out.append("")
+                    continue
+                root = parse(html)
+                tree = skeleton(root)
+                out.append(content(root, frozenset(given[i] or ()) if known is None else known.get((host, _hash(write_tree(tree))), none)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_hash(write_tree(skeleton(parse(h)))) if h else None for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none: frozenset[int] = frozenset()
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        known: dict[str, frozenset[int]] = {}
-        last = None
-        for html, fixed, host in zip(batch.column("html").to_pylist(), batch.column("fixed"), batch.column("host").to_pylist(), strict=True):
-            if not html:
-                out.append("")
-                continue
-            if host != last:
-                known, last = {x["tree"]: frozenset(x["constant"]) for x in fixed.as_py() or ()}, host
-            root, tree, _ = examine(html)
-            out.append(content(root, known.get(tree, none)))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([_hash(t) for t in batch.column("tree").to_pylist()], pa.int64()), batch.column("nodes")], ["host", "key", "nodes"])
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for each page."""
     pages = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    pages = pages.withColumn("host", host_of(F.col("url")))
-    known = cut(template_nodes(pages.select("host", "html")).groupBy("host").agg(F.collect_list(F.struct("tree", "constant")).alias("fixed")))
-    size = known.agg(F.coalesce(F.sum(F.octet_length(F.to_json("fixed"))), F.lit(0))).first()[0]
-    both = pages.join(F.broadcast(known) if size <= TOLD_BYTES else known, "host", "left")
-    return both.select("page_id", "url", "html", "host", "fixed").mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    pages = pages.withColumn("host", host_of(F.col("url"))).select("page_id", "url", "html", "host")
+    found = cut(wrappers_of(pages.select("host", "html")).mapInArrow(_hashed, "host string, key long, nodes array<int>"))
+    size = found.agg(F.coalesce(F.sum(F.length("host") + 24 + 8 * F.size("nodes")), F.lit(0))).first()[0]
+    schema = "page_id long, url string, text string"
+    if size <= TOLD_BYTES:  # the wrappers' decisions are told to every task
+        known = pages.sparkSession.sparkContext.broadcast({(r["host"], r["key"]): frozenset(r["nodes"]) for r in found.toLocalIterator()})
+        texts = pages.mapInArrow(lambda batches: _read_by(known.value)(batches), schema)
+    else:  # or met by host and tree, which AQE splits where many pages share one
+        keyed = pages.mapInArrow(_keyed, "page_id long, url string, html string, host string, key long")
+        texts = keyed.join(found, ["host", "key"], "left").select("page_id", "url", "html", "host", "nodes").mapInArrow(_read_by(None), schema)
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -215,6 +215,51 @@ def test_template_after_many_runs(spark):
         assert "Imprint" not in r.text and r.text.count("\n") == 2 * (150 + r.page_id % 2) - 1
 
 
+def _unmarked(n, links=5):
+    rng = np.random.default_rng(n)
+    words = lambda k: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(k))
+    title, ad, foot = words(6), words(9), words(7)
+    paragraphs = [words(int(rng.integers(3, 60))) for _ in range(int(rng.integers(1, 9)))]
+    menu = "".join(f"<div class=q><a href=/{k}>{words(1)}</a></div>" for k in range(links))
+    page = f"<body><div class=xa>{menu}</div><div class=xb>{ad}</div><div class=xc><div class=xd>{title}</div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div class=xe>{foot}</div></body>"
+    return page, "\n".join([title, *paragraphs])
+
+
+def test_varying_menus_and_adverts_without_marks(spark, monkeypatch):
+    """No class or element says what is what, and every slot varies: the host's weights tell the article."""
+    pages = [(i, f"http://h.example/{i}", _unmarked(i)[0]) for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.main_text(df).collect()} == {i: _unmarked(i)[1] for i in range(30)}
+
+
+def test_text_comes_from_the_wrapper(spark, sf):
+    """Without the wrappers' decisions no page has a text, and each page is that of a plain reading of its article."""
+    import html
+    import re
+
+    pages = table(spark, sf, "pages")
+    got = {r.page_id: r.text for r in queries.op9_main_text(spark, sf).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", article)
+        plain = [" ".join(html.unescape(re.sub(r"</?(?:b|i|a|em|strong)\b[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+        assert got[r.page_id] == "\n".join(p for p in plain if p)
+    assert extract.content(extract.parse(pages.first().html), frozenset()) == ""
+
+
+def test_menu_below_five_hundred_elements(spark):
+    deep = lambda inner: "<div>" * 500 + inner + "</div>" * 500
+    pages = [(i, f"http://h.example/{i}", f"<article>{deep(f'<nav>menu {i}</nav><p>deep {i}</p>')}<p>first {i}</p><p>last {i}</p></article>") for i in range(2)]
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"deep {i}\nfirst {i}\nlast {i}" for i in range(2)}
+
+
+def test_told_and_joined_wrappers_agree(spark, sf, monkeypatch):
+    told = sorted(tuple(r) for r in queries.op9_main_text(spark, sf).collect())
+    monkeypatch.setattr(extract, "TOLD_BYTES", -1)
+    assert sorted(tuple(r) for r in queries.op9_main_text(spark, sf).collect()) == told
+
+
 def test_tree_matching():
     t = extract.read_tree
     a, b = t("r(a(x,y),b,c)"), t("r(a(y),d,c)")
