@@ -5,8 +5,8 @@ from geoframe import synthetic
 from geoframe.kernels import bundle, stereo
 from geoframe.kernels.consensus import consensus, draws_needed
 from geoframe.kernels.resection import linear, refine, residuals, robust_pose, three_points
-from geoframe.kernels.rigid import Cam, align, angle_deg, closest_rotation, pixels, ray_angles, rotation, undistorted
-from geoframe.kernels.twoview import essential, fundamental, homography, mapped, motions, relative_pose, robust_homography, sampson, transfer_error, triangulate, triangulate_many
+from geoframe.kernels.rigid import Cam, align, angle_deg, closest_rotation, pixels, ray_angles, rotation, skew, undistorted
+from geoframe.kernels.twoview import essential, five_points, fundamental, homography, mapped, motions, relative_pose, robust_homography, sampson, transfer_error, triangulate, triangulate_many
 from geoframe.operators.frames import pick_keyframes, sharpness, shift_between
 from geoframe.operators.matching import match_kernel
 
@@ -77,6 +77,29 @@ def test_two_views():
     assert abs(ray_angles(np.array([1.0, 0, 1]), np.array([-1.0, 0, 1]), np.array([[0.0, 0, 0]]))[0] - 90) < 1e-9
 
 
+@pytest.mark.parametrize("flat", [False, True])
+def test_five_points(flat):
+    """Also on flat ground, where eight points don't do."""
+    rng, x, r, t = some(7, 200, flat)
+    t = 8 * t / np.linalg.norm(t)
+    a, b = pixels(PLAIN, x), pixels(PLAIN, x @ r.T + t)
+    na, nb = ((v - (320.0, 240.0)) / 500.0 for v in (a, b))
+    truth = skew(t) @ r
+    truth /= np.linalg.norm(truth)
+    found = five_points(na[:10].reshape(2, 5, 2), nb[:10].reshape(2, 5, 2))
+    assert min(min(np.abs(e - truth).max(), np.abs(e + truth).max()) for e in found) < 1e-6
+    for e in found:
+        np.testing.assert_allclose(np.linalg.svd(e)[1], [np.sqrt(0.5), np.sqrt(0.5), 0], atol=1e-6)
+    b = b + rng.normal(size=b.shape) * 0.2
+    b[:80] = rng.uniform(0, 480, (80, 2))
+    q, s, mask = relative_pose(a, b, PLAIN, PLAIN, 1.0, rng, method="five")
+    assert mask[80:].mean() > 0.95 and mask[:80].mean() < 0.1
+    if not flat:  # a plane alone allows two motions
+        assert angle_deg(q, r) < 0.6 and s @ t / np.linalg.norm(t) > 0.99
+    with pytest.raises(ValueError, match="unknown"):
+        relative_pose(a, b, PLAIN, PLAIN, 1.0, rng, method="six")
+
+
 @pytest.mark.parametrize("flat", [False, True])
 def test_resection(flat):
     rng, x, r, t = some(4, 300, flat)
