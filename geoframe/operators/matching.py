@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import poses
-from ..functions.cameras import ray_angle_deg, root_sift
-from ..functions.linear import vec
+from ..functions.cameras import root_sift
+from ..functions.linear import at
 
 #: Distances in one matrix product of the matching kernel.
 TILE = 1 << 22
+#: Descriptors in one block of ``match_sets``.
+SET_BLOCK = 4096
 
 
 def image_pairs(images: DataFrame, band: int = 0) -> DataFrame:
@@ -62,31 +64,83 @@ def match_kernel(a: np.ndarray, b: np.ndarray, ratio: float, mutual: bool) -> np
 def match_descriptors(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.8, mutual: bool = True) -> DataFrame:
     """image_a, image_b, kp_a, kp_b.  ``descriptors``: image_id, kp_idx, vec.  One group for each
     pair, two matrix products in it."""
-    packed = descriptors.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("kp_idx", "vec"))).alias("rows"))
+    packed = descriptors.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("kp_idx").cast("long").alias("idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec")))).alias("rows"))
     both = pairs.join(packed.select(F.col("image_id").alias("image_a"), F.col("rows").alias("a")), "image_a").join(packed.select(F.col("image_id").alias("image_b"), F.col("rows").alias("b")), "image_b")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                va, vb = (np.array([x["vec"] for x in side], float) for side in (r.a, r.b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = [batch.column(c).to_pylist() for c in ("image_a", "image_b")]
+            for r in range(batch.num_rows):
+                (ia, va), (ib, vb) = (_side(batch.column(c).slice(r, 1).flatten()) for c in "ab")
                 m = match_kernel(va, vb, ratio, mutual)
-                yield pd.DataFrame({"image_a": r.image_a, "image_b": r.image_b, "kp_a": [r.a[i]["kp_idx"] for i in m[:, 0]], "kp_b": [r.b[j]["kp_idx"] for j in m[:, 1]]}).astype("int64")
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(m), i[r], np.int64)) for i in images), pa.array(ia[m[:, 0]]), pa.array(ib[m[:, 1]])], ["image_a", "image_b", "kp_a", "kp_b"])
 
     tasks = descriptors.sparkSession.sparkContext.defaultParallelism * 4
-    return both.repartition(tasks, "image_a", "image_b").mapInPandas(run, "image_a long, image_b long, kp_a long, kp_b long")
+    return both.repartition(tasks, "image_a", "image_b").mapInArrow(run, "image_a long, image_b long, kp_a long, kp_b long")
+
+
+def _packed(side: DataFrame, name: str) -> DataFrame:
+    """Blocks of about SET_BLOCK descriptors as one row each."""
+    blocks = max(1, -(-side.count() // SET_BLOCK))
+    key = F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias(f"block_{name}")
+    return side.select(F.col("idx").cast("long").alias("idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias(name))
+
+
+def _nearest_of(a: np.ndarray, b: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k rows of b (fewer if there are fewer) that are nearest to each row of a, by distance and id.
+
+    A product finds a few candidates, differences give their distances."""
+    some = min(len(b), k + 2)
+    ids, distances = np.empty((len(a), min(k, some)), np.int64), np.empty((len(a), min(k, some)))
+    norms = (b**2).sum(1)
+    for s in range(0, len(a), max(1, TILE // len(b))):
+        part = a[s : s + max(1, TILE // len(b))]
+        near = np.argpartition(norms - 2 * part @ b.T, some - 1, axis=1)[:, :some]
+        d = np.sqrt(((part[:, None] - b[near]) ** 2).sum(2))
+        order = np.lexsort((idx[near], d), axis=1)[:, : ids.shape[1]]
+        rows = slice(s, s + len(part))
+        ids[rows], distances[rows] = np.take_along_axis(idx[near], order, 1), np.take_along_axis(d, order, 1)
+    return ids, distances
+
+
+def _side(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of one row's list."""
+    vectors = rows.field("vec")
+    return rows.field("idx").to_numpy(), np.asarray(vectors.flatten()).reshape(len(vectors), -1)
+
+
+def _match_blocks(mutual: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (ia, a), (ib, b) = (_side(batch.column(c).slice(r, 1).flatten()) for c in "ab")
+                found = [(False, ia, *_nearest_of(a, b, ib, 2))]
+                if mutual:
+                    found.append((True, ib, *_nearest_of(b, a, ia, 1)))
+                for back, own, near, d in found:
+                    second = d[:, 1] if d.shape[1] > 1 else np.full(len(own), np.inf)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), back)), pa.array(own), pa.array(near[:, 0]), pa.array(d[:, 0]), pa.array(second)], ["back", "own", "near", "d", "second"])
+
+    return run
 
 
 def match_sets(a: DataFrame, b: DataFrame, ratio: float = 0.8, mutual: bool = True) -> DataFrame:
-    """The same in relational form for two descriptor tables (idx, vec): i, j."""
-    d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    cast = F.transform("vec", lambda x: x.cast("double"))
-    pairs = a.select(F.col("idx").alias("i"), cast.alias("va")).crossJoin(b.select(F.col("idx").alias("j"), cast.alias("vb"))).select("i", "j", F.sqrt(d2).alias("d"))
-    by_i = Window.partitionBy("i").orderBy("d", "j")
-    ranked = pairs.withColumns({"k": F.row_number().over(by_i), "second": F.lead("d").over(by_i)}).filter((F.col("k") == 1) & (F.col("d") < ratio * F.col("second"))).select("i", "j")
+    """The same for two descriptor tables (idx, vec) of any size: i, j.
+
+    Both are cut into blocks; a task compares two blocks by matrix products and gives the best two
+    of each row, which are merged over the blocks.  No pair of rows is ever a row of a table."""
+    left, right = _packed(a, "a"), _packed(b, "b")
+    every = right.select("block_b").agg(F.collect_list("block_b").alias("every"))  # a number for each block
+    pairs = left.crossJoin(F.broadcast(every)).withColumn("block_b", F.explode("every")).join(right, "block_b").select("a", "b")
+    tasks = a.sparkSession.sparkContext.defaultParallelism * 4
+    best = pairs.repartition(tasks).mapInArrow(_match_blocks(mutual), "back boolean, own long, near long, d double, second double")
+    # the second smallest is the second one of the best block or the best of another
+    merged = best.groupBy("back", "own").agg(F.min(F.struct("d", "near", "second")).alias("m"), F.array_sort(F.collect_list("d")).alias("ds"))
+    second = F.least(F.col("m.second"), F.coalesce(F.get("ds", F.lit(1)), F.lit(float("inf"))))
+    one = merged.filter(~F.col("back") & (F.col("m.d") < ratio * second) & (second < float("inf"))).select(F.col("own").alias("i"), F.col("m.near").alias("j"))
     if not mutual:
-        return ranked
-    best = pairs.groupBy("j").agg(F.min(F.struct("d", "i")).alias("m")).select("j", F.col("m.i").alias("i"))
-    return ranked.join(best, ["i", "j"])
+        return one
+    return one.join(merged.filter("back").select(F.col("own").alias("j"), F.col("m.near").alias("i")), ["i", "j"])
 
 
 def shared_points(keypoints: DataFrame, a: int, b: int) -> DataFrame:
@@ -117,14 +171,23 @@ def view_neighbors(observations: DataFrame, points: DataFrame, images: DataFrame
     """For each view its k best others: image_id, neighbor, rank, shared, angle, score.
 
     score: shared points times min(1, median angle / 5 degrees).  ``observations``: point_id,
-    image_id; ``points``: point_id, x, y, z; ``images``: image_id, pose."""
-    centers = images.filter("pose is not null").select("image_id", poses.center(F.col("pose")).alias("c"))
-    seen = observations.select("point_id", "image_id").distinct().join(centers, "image_id").join(points.select("point_id", vec(F.col("x"), F.col("y"), F.col("z")).alias("p")), "point_id")
-    a = seen.select("point_id", "image_id", F.col("c").alias("ca"), "p")
-    b = seen.select("point_id", F.col("image_id").alias("neighbor"), F.col("c").alias("cb"))
-    pairs = a.join(b, "point_id").filter("image_id < neighbor").select("image_id", "neighbor", ray_angle_deg(F.col("ca"), F.col("cb"), F.col("p")).alias("angle"))
-    scored = pairs.groupBy("image_id", "neighbor").agg(F.count("*").alias("shared"), F.median("angle").alias("angle")).filter((F.col("shared") >= least) & (F.col("angle") >= min_angle))
-    scored = scored.unionByName(scored.select(F.col("neighbor").alias("image_id"), F.col("image_id").alias("neighbor"), "shared", "angle")).withColumn("score", F.col("shared") * F.least(F.lit(1.0), F.col("angle") / 5))
+    image_id; ``points``: point_id, x, y, z; ``images``: image_id, pose.  Each observation's unit
+    ray is computed once; a pair of views of a point adds three products."""
+    center = images.filter("pose is not null").select("image_id", poses.center(F.col("pose")).alias("c")).select("image_id", *[at(F.col("c"), i).alias(f"c{a}") for i, a in enumerate("xyz")])
+    seen = observations.select("point_id", "image_id").distinct().join(center, "image_id").join(points.select("point_id", "x", "y", "z"), "point_id")
+    seen = seen.select("point_id", "image_id", *[(F.col(f"c{a}") - F.col(a)).alias(a) for a in "xyz"])
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    rays = seen.withColumn("length", length).select("point_id", "image_id", *[F.try_divide(F.col(a), F.col("length")).alias(a) for a in "xyz"])
+    other = rays.select("point_id", F.col("image_id").alias("neighbor"), *[F.col(a).alias(f"o{a}") for a in "xyz"])
+    cosine = F.col("x") * F.col("ox") + F.col("y") * F.col("oy") + F.col("z") * F.col("oz")
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    pairs = rays.join(other, "point_id").filter("image_id < neighbor").select("image_id", "neighbor", angle.alias("angle"))
+    sorted_ = pairs.groupBy("image_id", "neighbor").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("angle")).alias("angles")).filter(F.col("shared") >= least)
+    middle = lambda j: F.get("angles", F.floor(j).cast("int"))
+    median = (middle((F.size("angles") - 1) / 2) + middle(F.size("angles") / 2)) / 2
+    scored = sorted_.select("image_id", "neighbor", "shared", median.alias("angle")).filter(F.col("angle") >= min_angle)
+    both = F.explode(F.array(F.struct("image_id", "neighbor"), F.struct(F.col("neighbor").alias("image_id"), F.col("image_id").alias("neighbor"))))
+    scored = scored.select(both.alias("p"), "shared", "angle").select("p.*", "shared", "angle").withColumn("score", F.col("shared") * F.least(F.lit(1.0), F.col("angle") / 5))
     return top(scored, "image_id", [F.desc("score"), F.desc("neighbor")], k)
 
 

@@ -118,18 +118,13 @@ def sparse_dense(spark, folder):
     return a.select("in_footprint", *rows(["median_units", "within_2", "within_4"]))
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id % 2 = 0),
+@query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
 p AS (SELECT a.vec_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM p WHERE d <= 0.2),
-m AS (SELECT e.vec_id, (coalesce(sum(d), 0) + (5 - count(d)) * 0.2) / 5 AS m FROM e LEFT JOIN (SELECT * FROM k WHERE k <= 5) k USING (vec_id) GROUP BY e.vec_id)
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM p),
+m AS (SELECT vec_id, avg(d) AS m FROM k WHERE k <= 5 GROUP BY vec_id)
 SELECT vec_id FROM m WHERE m <= (SELECT avg(m) + 1.0 * stddev(m) FROM m)""")
 def remove_outliers(spark, folder):
-    return spatial.remove_outliers(_dims(spark, folder, 0), 5, 1.0, 0.2).select("vec_id")
-
-
-@query()
-def remove_outliers_all(spark, folder):
-    return spatial.remove_outliers(_dims(spark, folder, 0).unionByName(_dims(spark, folder, 1)), 5, 1.0, 0.2).select("vec_id")
+    return spatial.remove_outliers(_dims(spark, folder, 0).unionByName(_dims(spark, folder, 1)), 5, 1.0, 0.05).select("vec_id")
 
 
 # -- descriptors, pairs, tracks
@@ -163,68 +158,46 @@ def match_mutual(spark, folder):
     return matching.match_sets(*_sides(spark, folder), 0.95, True).select("i", "j")
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 4),
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.label AS la, b.label AS lb, a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.label < b.label),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY la, lb, i ORDER BY d, j) AS k, lead(d) OVER (PARTITION BY la, lb, i ORDER BY d, j) AS s FROM p) WHERE k = 1 AND d < 0.97 * s),
 b AS (SELECT la, lb, j, arg_min(i, (d, i)) AS i FROM p GROUP BY ALL)
 SELECT CAST(m.la AS BIGINT) AS image_a, CAST(m.lb AS BIGINT) AS image_b, m.i AS kp_a, m.j AS kp_b FROM m JOIN b ON m.la = b.la AND m.lb = b.lb AND m.i = b.i AND m.j = b.j""")
 def match_descriptors(spark, folder):
-    return _described(table(spark, folder, "embeddings").filter("label < 4"))
-
-
-def _described(e: DataFrame) -> DataFrame:
+    e = table(spark, folder, "embeddings")
     d = e.select(F.col("label").cast("long").alias("image_id"), F.col("vec_id").alias("kp_idx"), F.col("embedding").cast("array<double>").alias("vec"))
     return matching.match_descriptors(d, matching.image_pairs(d.select("image_id").distinct()), 0.97)
 
 
-@query()
-def match_descriptors_all(spark, folder):
-    return _described(table(spark, folder, "embeddings"))
-
-
 @query("SELECT a.s_suppkey AS image_a, b.s_suppkey AS image_b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey - a.s_suppkey <= 7")
 def image_pairs_band(spark, folder):
     return matching.image_pairs(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("image_id")), 7)
 
 
-_EDGES = "e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_orderkey < 60), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e)"
+def _rounds(edges: str, n: int) -> str:
+    """SQL tables l0 to l<n>: each node's smallest label after so many rounds with its neighbours (e: x, y, both ways)."""
+    rounds = [f"l{i} AS MATERIALIZED (SELECT l.x, least(any_value(l.c), min(m.c)) AS c FROM l{i - 1} l JOIN n ON n.x = l.x JOIN l{i - 1} m ON m.x = n.y GROUP BY l.x)" for i in range(1, n + 1)]
+    return ", ".join([f"e AS ({edges})", "n AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e)", "l0 AS (SELECT DISTINCT x, x AS c FROM n)", *rounds])
 
 
-@query(f"WITH RECURSIVE {_EDGES}, g(x, y) AS (SELECT x, x FROM n UNION SELECT g.x, n.y FROM g JOIN n ON g.y = n.x) SELECT x AS node, min(y) AS component FROM g GROUP BY x")
+# the graph is so dense that labels settle in a few rounds
+@query(f"WITH {_rounds("SELECT 'p' || l_partkey AS x, 's' || l_suppkey AS y FROM lineitem", 12)} SELECT x AS node, c AS component FROM l12")
 def components(spark, folder):
-    return _components(table(spark, folder, "lineitem").filter("l_orderkey < 60"))
-
-
-def _components(li: DataFrame) -> DataFrame:
+    li = table(spark, folder, "lineitem")
     return graph.components(li.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")))
 
 
-@query()
-def components_all(spark, folder):
-    return _components(table(spark, folder, "lineitem"))
-
-
-@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_partkey AS k FROM lineitem WHERE l_orderkey < 400),
-e AS (SELECT DISTINCT CAST(a.i AS BIGINT) * 1000000000 + a.k AS x, CAST(b.i AS BIGINT) * 1000000000 + b.k AS y FROM l a JOIN l b ON a.o = b.o AND b.i = a.i + 1),
-n AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-g(x, y) AS (SELECT x, x FROM n UNION SELECT g.x, n.y FROM g JOIN n ON g.y = n.x),
-c AS (SELECT x, min(y) AS c FROM g GROUP BY x),
-good AS (SELECT c FROM c GROUP BY c HAVING count(*) = count(DISTINCT x // 1000000000) AND count(*) >= 3)
-SELECT CAST(dense_rank() OVER (ORDER BY c) - 1 AS BIGINT) AS track_id, CAST(x // 1000000000 AS BIGINT) AS image_id, CAST(x % 1000000000 AS BIGINT) AS kp_idx FROM c JOIN good USING (c)""")
+# keypoints of lines in order; three orders share theirs, and some lines lead on to the next three
+@query(f"""WITH {_rounds("SELECT CAST(a.l_linenumber AS BIGINT) * 1000000000 + a.l_orderkey // 3 AS x, CAST(b.l_linenumber AS BIGINT) * 1000000000 + (b.l_orderkey + CASE WHEN b.l_suppkey % 40 = 0 THEN 1 ELSE 0 END) // 3 AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1", 60)},
+good AS (SELECT c FROM l60 GROUP BY c HAVING count(*) = count(DISTINCT x // 1000000000) AND count(*) >= 3)
+SELECT CAST(dense_rank() OVER (ORDER BY c) - 1 AS BIGINT) AS track_id, CAST(x // 1000000000 AS BIGINT) AS image_id, CAST(x % 1000000000 AS BIGINT) AS kp_idx FROM l60 JOIN good USING (c)""")
 def tracks(spark, folder):
-    return _tracks(table(spark, folder, "lineitem").filter("l_orderkey < 400"))
-
-
-def _tracks(li: DataFrame) -> DataFrame:
-    a, b = (li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"image_{s}"), F.col("l_partkey").alias(f"kp_{s}")) for s in "ab")
+    li = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("image"), "l_suppkey")
+    a = li.select("o", F.col("image").alias("image_a"), F.floor(F.col("o") / 3).alias("kp_a"))
+    b = li.select("o", F.col("image").alias("image_b"), F.floor((F.col("o") + F.when(F.col("l_suppkey") % 40 == 0, 1).otherwise(0)) / 3).alias("kp_b"))
     return graph.tracks(a.join(b, "o").filter("image_b = image_a + 1").select("image_a", "kp_a", "image_b", "kp_b").distinct(), 3)
 
 
-@query()
-def tracks_all(spark, folder):
-    return _tracks(table(spark, folder, "lineitem"))
-
-
 _CENTER = "CAST(s_suppkey * 10 % 97 AS DOUBLE) AS cx, CAST(s_suppkey * 10 % 89 AS DOUBLE) AS cy, CAST(5 AS DOUBLE) AS cz"
 
 
@@ -331,17 +304,14 @@ def _turn(a: Column) -> Column:
 
 
 @query("""WITH v AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS name, 0.1 * s_suppkey AS a, 0.1 * s_suppkey + 0.01 * (s_suppkey % 3) AS b,
-  CAST(s_suppkey AS DOUBLE) AS x, CAST(s_suppkey * s_suppkey % 17 AS DOUBLE) AS y, CAST(s_suppkey % 5 AS DOUBLE) AS z FROM supplier WHERE s_suppkey <= 60),
+  CAST(s_suppkey AS DOUBLE) AS x, CAST(s_suppkey * s_suppkey % 17 AS DOUBLE) AS y, CAST(s_suppkey % 5 AS DOUBLE) AS z FROM supplier),
 p AS (SELECT i.name AS name_i, j.name AS name_j, (j.b - i.b) - (j.a - i.a) AS da,
   j.x - (cos(j.a - i.a) * i.x - sin(j.a - i.a) * i.y) AS tx, j.y - (sin(j.a - i.a) * i.x + cos(j.a - i.a) * i.y) AS ty, j.z - i.z AS tz,
   j.x - (cos(j.b - i.b) * i.x - sin(j.b - i.b) * i.y) AS ex, j.y - (sin(j.b - i.b) * i.x + cos(j.b - i.b) * i.y) AS ey FROM v i JOIN v j ON i.name < j.name)
 SELECT name_i, name_j, round(degrees(acos(greatest(-1, least(1, cos(da))))), 4) + 0.0 AS rot_deg,
   round(degrees(acos(greatest(-1, least(1, (tx * ex + ty * ey + tz * tz) / (sqrt(tx * tx + ty * ty + tz * tz) * sqrt(ex * ex + ey * ey + tz * tz)))))), 4) + 0.0 AS trans_deg FROM p""")
 def relative_pose_errors(spark, folder):
-    return _pose_errors(table(spark, folder, "supplier").filter("s_suppkey <= 60"))
-
-
-def _pose_errors(s: DataFrame) -> DataFrame:
+    s = table(spark, folder, "supplier")
     k = F.col("s_suppkey")
     t = vec(k, k * k % 17, k % 5)
     name = F.lpad(k.cast("string"), 6, "0").alias("name")
@@ -350,11 +320,6 @@ def _pose_errors(s: DataFrame) -> DataFrame:
     return metrics.relative_pose_errors(estimate, truth).select("name_i", "name_j", *rows(["rot_deg", "trans_deg"], 4))
 
 
-@query()
-def relative_pose_errors_all(spark, folder):
-    return _pose_errors(table(spark, folder, "supplier"))
-
-
 @query("SELECT l_returnflag, round(10 * log10(1.0 / avg((l_tax - l_discount) * (l_tax - l_discount))), 6) + 0.0 AS psnr FROM lineitem GROUP BY 1")
 def psnr(spark, folder):
     e = F.col("l_tax") - F.col("l_discount")
