@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .words import _BYTE, SPACE, _place, _segments, mix64
+from .words import _BYTE, SEGMENT, SPACE, _segments, mix64
 
 KEPT = 400_000
 SLOTS = 1 << 21
@@ -35,6 +35,18 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _RAW = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        size = max(n, 2 * SEGMENT)
+        _TABLES[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _TABLES[0][:n], _TABLES[1][:n]
+
 
 class Encoder:
     """Ids of texts as arrays.  ``path``: a tokenizers file."""
@@ -115,8 +127,9 @@ class Encoder:
     # -- splitting
 
     @staticmethod
-    def _units(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends, hashes and plainness of the units of ``data``; ``inner``: starts of rows."""
+    def _units(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes and plainness of the units of ``data``; ``inner``: starts of rows.  White
+        space behind a unit counts as part of it, with no value."""
         kind = _KIND[data]
         word = kind > 0
         before = np.zeros(len(data), np.uint8)
@@ -127,72 +140,84 @@ class Encoder:
         before[begins] = 0
         first = word & (begins | SPACE[before])
         starts = np.flatnonzero(first)
-        none = np.zeros(0, np.int64)
         if not len(starts):
-            return none, none, none.astype(np.uint64), none.astype(bool)
+            return starts, starts.astype(np.uint64), starts.astype(bool)
         ok = _PLAIN[data]
-        latin = (before == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7) | (before == 0xC5) & ((data == 0x92) | (data == 0x93))
-        lead = np.zeros(len(data), bool)
-        lead[:-1] = latin[1:]
-        ok |= latin | lead
-        ok &= ~((data == ord("|")) & (before == ord("<")))
+        high = np.flatnonzero(data >= 0x80)
         folded = _FOLD[data]
-        folded[(before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-        folded[(before == 0xC5) & (data == 0x92)] = 0x93
-        odd = np.add.reduceat((word & ~ok).astype(np.int32), starts) > 0
-        spans = np.diff(np.append(starts, len(data)))
-        head = int(starts[0])
-        in_odd = np.zeros(len(data), bool)
-        in_odd[head:] = np.repeat(odd, spans)
+        if len(high):  # two-byte Latin letters are plain, and folded in their second byte
+            h, b = data[high], before[high]
+            c3, c5 = b == 0xC3, b == 0xC5
+            latin = c3 & (h != 0x97) & (h != 0xB7) | c5 & ((h == 0x92) | (h == 0x93))
+            ok[high[latin]] = True
+            ok[high[latin] - 1] = True
+            folded[high[c3 & (h <= 0x9E) & (h != 0x97)]] += 32
+            folded[high[c5 & (h == 0x92)]] = 0x93
+        pipes = np.flatnonzero(data == ord("|"))
+        ok[pipes[before[pipes] == ord("<")]] = False
+        value = _BYTE[folded]
         shift = np.zeros(len(data), bool)
         shift[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-        first |= word & shift & ~in_odd
-        starts = np.flatnonzero(first)
-        spans = np.diff(np.append(starts, len(data)))
-        pos = np.arange(len(data) - head, dtype=np.int64)
-        pos -= np.repeat(starts - head, spans)
-        value = np.where(in_odd, _RAW[data], _BYTE[folded])[head:]
-        value[~word[head:]] = 0
-        hashes = mix64(np.add.reduceat(value * _place(int(spans.max()))[pos], starts - head))
-        ends = starts + np.add.reduceat(word[head:].astype(np.int64), starts - head)
-        return starts, ends, hashes, ~in_odd[starts]
+        shift &= word
+        bad = np.flatnonzero(word & ~ok)
+        odd_starts = starts[:0]
+        if len(bad):  # words with such a byte are one unit, as they are
+            which = np.unique(np.searchsorted(starts, bad, side="right") - 1)
+            odd_starts = starts[which]
+            lengths = np.append(starts, len(data))[which + 1] - odd_starts
+            inside = np.repeat(odd_starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            value[inside] = _RAW[data[inside]]
+            shift[inside] = False
+        value[~word] = 0
+        starts = np.flatnonzero(first | shift)
+        # a polynomial's coefficients summed up once; a unit's part is shifted to its own start
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value * _powers(len(data))[0], out=sums[1:])
+        hashes = mix64((sums[np.append(starts[1:], len(data))] - sums[starts]) * _powers(len(data))[1][starts])
+        plain = np.ones(len(starts), bool)
+        plain[np.searchsorted(starts, odd_starts)] = False
+        return starts, hashes, plain
 
     def encode_buffer(self, data: np.ndarray, offsets: np.ndarray, end: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each row with its end id."""
-        n, tail = len(offsets) - 1, 0 if end is None else 1
+        n = len(offsets) - 1
         if not self.word_level:
             body = data.tobytes()
             found = self.tokenizer.encode_batch_fast([body[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)
-            rows = [f.ids + ([end] if tail else []) for f in found]
+            rows = [f.ids + ([] if end is None else [end]) for f in found]
             return np.array([i for r in rows for i in r], np.uint32), np.array([len(r) for r in rows], np.int64)
         if len(self.sizes) > KEPT:
             self._clear()
-        units, rows = [], []
+        units, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in _segments(data, offsets):
-            inner = offsets[(offsets >= a) & (offsets < b)] - a
-            starts, ends, hashes, plain = self._units(data[a:b], inner)
+            starts, hashes, plain = self._units(data[a:b], offsets[(offsets >= a) & (offsets < b)] - a)
             at = self._find(hashes)
             new = np.flatnonzero(at < 0)
             if len(new):
                 fresh, where = np.unique(hashes[new], return_index=True)
                 where = new[where]
                 body = data[a:b].tobytes()
-                self._learn(fresh, [body[x:y].lower() if p else body[x:y] for x, y, p in zip(starts[where].tolist(), ends[where].tolist(), plain[where].tolist(), strict=True)], plain[where])
+                ends = np.append(starts[1:], b - a)[where].tolist()
+                self._learn(fresh, [body[i:j].rstrip().lower() if p else body[i:j].rstrip() for i, j, p in zip(starts[where].tolist(), ends, plain[where].tolist(), strict=True)], plain[where])
                 at[new] = self._find(hashes[new])
             units.append(at)
-            rows.append(np.searchsorted(offsets, starts + a, side="right") - 1)
-        at = np.concatenate(units) if units else np.zeros(0, np.int64)
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            places.append(starts + a)
+        at, starts = np.concatenate(units), np.concatenate(places)
         lengths = self.sizes[at]
-        per_row = np.bincount(row, weights=lengths, minlength=n).astype(np.int64)
-        totals = per_row + tail
-        out = np.empty(int(totals.sum()), np.uint32)
         before = np.cumsum(lengths) - lengths
-        spread = np.arange(int(lengths.sum()), dtype=np.int64)
-        out[spread + np.repeat(row * tail, lengths)] = self.flat[spread + np.repeat(self.starts[at] - before, lengths)]
-        if tail:
-            out[np.cumsum(totals) - 1] = end
-        return out, totals
+        take = np.repeat(self.starts[at] - before, lengths)
+        take += np.arange(len(take))
+        ids = self.flat[take]
+        cuts = np.append(before, len(ids))[np.searchsorted(starts, offsets)]
+        per_row = np.diff(cuts)
+        if end is None:
+            return ids, per_row
+        out = np.empty(len(ids) + n, np.uint32)
+        ending = np.zeros(len(out), bool)
+        ending[cuts[1:] + np.arange(n)] = True
+        out[ending] = end
+        out[~ending] = ids
+        return out, per_row + 1
 
     def encode(self, texts: list[bytes], end: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
