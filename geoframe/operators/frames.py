@@ -15,6 +15,11 @@ def displacement_to_previous(frames: DataFrame, video: str, order: list, value:
     return frames.withColumn("displacement", F.abs(value - F.lag(value).over(Window.partitionBy(video).orderBy(*order))))
 
 
+def first_frames(frames: DataFrame, video: str, order: list, n: int) -> DataFrame:
+    """The first n frames of each video, as a limit on what is read."""
+    return frames.withColumn("_k", F.row_number().over(Window.partitionBy(video).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
+
+
 def motion_threshold(frames: DataFrame, video: str, target: int) -> DataFrame:
     """Total motion of each video over the number of keyframes wanted."""
     return frames.groupBy(video).agg((F.sum("displacement") / target).alias("min_displacement"))

@@ -7,12 +7,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import synthetic
 from .functions import cameras, geodesy, poses
-from .functions.linear import at, const, vec
+from .functions.linear import at, const, dot, norm, vec
 from .operators import align, frames, graph, matching, metrics, spatial
 from .plans import mvs, sfm
 from .plans.model import Model
@@ -547,27 +548,50 @@ def _scene(spark: SparkSession, views: int = 8, noise: float = 0.3) -> tuple[Dat
     return cams, images, points, keypoints.cache(), observations
 
 
-@query()
+@query("SELECT i + 1 AS image_a, j + 1 AS image_b, true AS enough, true AS true_ones, true AS turned, true AS shifted FROM range(5) a(i), range(5) b(j) WHERE j > i AND j - i <= 2")
 def verify_pairs(spark, folder):
-    cams, images, _, keypoints, _ = _scene(spark, 5)
+    """Of each pair: are there inliers, are they the true matches, and is the relative pose the scene's?"""
+    cams, images = synthetic.default_camera(spark), synthetic.orbit(spark, 5, 60.0, 40.0, arc=100.0)
+    keypoints, _ = synthetic.scene(images, cams, synthetic.terrain(spark, 500, 40.0, 10.0, 4, 100), 0.3)
     pairs = matching.image_pairs(images, 2)
-    return sfm.verify_pairs(matching.simulated_matches(keypoints, pairs, 0.2), keypoints, images, cams).select("image_a", "image_b", "n_inliers", "median_angle_deg")
-
-
-@query()
+    matches = matching.simulated_matches(keypoints, pairs, 0.2)
+    found = sfm.verify_pairs(matches, keypoints.cache(), images, cams)
+    point = lambda s: keypoints.select(F.col("image_id").alias(f"image_{s}"), F.col("kp_idx").alias(f"kp_{s}"), F.col("point3d_id").alias(f"point_{s}"))
+    marked = lambda m: m.join(point("a"), ["image_a", "kp_a"]).join(point("b"), ["image_b", "kp_b"]).groupBy("image_a", "image_b").agg(F.sum((F.col("point_a") == F.col("point_b")).cast("int")).alias("true_"), F.count("*").alias("n"))
+    kept = marked(found.select("image_a", "image_b", F.explode("inliers").alias("m")).select("image_a", "image_b", "m.*"))
+    given = marked(matches).select("image_a", "image_b", F.col("true_").alias("all_true"))
+    side = lambda s: images.select(F.col("image_id").alias(f"image_{s}"), F.col("pose").alias(f"pose_{s}"))
+    both = found.join(side("a"), "image_a").join(side("b"), "image_b").withColumn("truth", poses.relative(F.col("pose_a"), F.col("pose_b")))
+    both = both.join(kept, ["image_a", "image_b"]).join(given, ["image_a", "image_b"])
+    return both.select(
+        "image_a", "image_b", (F.col("n_inliers") >= 0.9 * F.col("all_true")).alias("enough"), (F.col("true_") >= 0.95 * F.col("n")).alias("true_ones"),
+        (poses.angle_deg(F.col("pose.R"), F.col("truth.R")) < 1).alias("turned"), (dot(F.col("pose.t"), F.col("truth.t")) > 0.99 * norm(F.col("truth.t"))).alias("shifted"),
+    )
+
+
+@query("SELECT CAST(1 AS BIGINT) AS cameras, CAST(6 AS BIGINT) AS registered, CAST(6 AS BIGINT) AS images, true AS most_points, true AS long_tracks, true AS close_fit, true AS right_poses, true AS right_centers")
 def reconstruct(spark, folder):
-    cams, images, _, keypoints, _ = _scene(spark, 6)
+    """Growth of a generated scene, held against its truth."""
+    cams, images, points, keypoints, _ = _scene(spark, 6)
     model = sfm.reconstruct(matching.simulated_matches(keypoints, matching.image_pairs(images, 3), 0.1), keypoints, images, cams)
-    return metrics.model_summary(model.cameras, model.images, model.points, model.observations)
+    seen = keypoints.filter("point3d_id is not null").groupBy("point3d_id").agg(F.count("*").alias("n")).filter("n >= 2").agg(F.count("*").alias("visible"))
+    fit = metrics.rmse(metrics.reprojection(model.observations, model.images, model.cameras, model.points, model.keypoints))
+    turned = metrics.relative_pose_errors(model.images, images).agg(F.max("rot_deg").alias("rot"), F.max("trans_deg").alias("trans"))
+    path = metrics.trajectory_error(model.images, images).select(F.col("rmse").alias("path"))
+    s = metrics.model_summary(model.cameras, model.images, model.points, model.observations).crossJoin(seen).crossJoin(fit).crossJoin(turned).crossJoin(path)  # single rows
+    return s.select("cameras", "registered", "images", (F.col("points") >= 0.8 * F.col("visible")).alias("most_points"), (F.col("mean_track") > 2).alias("long_tracks"), (F.col("rmse") < 1).alias("close_fit"), ((F.col("rot") < 0.5) & (F.col("trans") < 2)).alias("right_poses"), (F.col("path") < 0.5).alias("right_centers"))
 
 
-@query()
+@query("SELECT true AS far_at_first, true AS close_at_last, true AS all_observations, true AS points_moved_back")
 def bundle_adjust(spark, folder):
+    """A scene whose points were shifted at random, adjusted over the cluster."""
     cams, images, points, keypoints, observations = _scene(spark, 6)
     shifted = points.withColumns({c: F.col(c) + 0.3 * synthetic.gauss(i, "point_id") for i, c in enumerate("xyz")})
-    model = Model(cams, images, keypoints, shifted, observations)
-    _, report = sfm.bundle_adjust(model, (1, 2), rounds=6)
-    return spark.createDataFrame([(report["initial_rmse"], report["final_rmse"], report["observations"])], "initial_rmse double, final_rmse double, observations long")
+    out, report = sfm.bundle_adjust(Model(cams, images, keypoints, shifted, observations), (1, 2), rounds=6)
+    off = out.points.join(observations.select("point_id").distinct(), "point_id").join(points.select("point_id", *[F.col(c).alias(f"t{c}") for c in "xyz"]), "point_id")
+    off = off.agg(F.median(F.sqrt(sum((F.col(c) - F.col(f"t{c}")) ** 2 for c in "xyz"))).alias("off"))
+    whole = observations.agg(F.count("*").alias("n"))
+    return off.crossJoin(whole).select(F.lit(report["initial_rmse"] > 1).alias("far_at_first"), F.lit(report["final_rmse"] < 0.5).alias("close_at_last"), (F.col("n") == report["observations"]).alias("all_observations"), (F.col("off") < 0.2).alias("points_moved_back"))
 
 
 def _slab_views(spark: SparkSession):
@@ -585,29 +609,49 @@ def _slab_views(spark: SparkSession):
     return cams, images, spark.createDataFrame(rasters, "image_id long, height int, width int, gray binary"), spark.createDataFrame(truth, mvs.TILE)
 
 
-@query()
+@query("SELECT i + 1 AS image_id, true AS mostly_valid, true AS mostly_right FROM range(4) t(i)")
 def plane_sweep(spark, folder):
-    cams, images, rasters, _ = _slab_views(spark)
+    """Of each view: the share of pixels with a depth, and of these the share within 3 % of the rendered depth."""
+    cams, images, rasters, truth = _slab_views(spark)
     points = synthetic.terrain(spark, 300, 30.0, 2.0, 2, 60)
     keypoints, observations = synthetic.scene(images, cams, points)
     model = Model(cams, images, keypoints, points, observations)
     neighbors = matching.view_neighbors(observations, points, images, 3)
-    return mvs.sweep(model, rasters, neighbors, mvs.Options(sources=3, hypotheses=48)).select("image_id", F.length("depth").alias("bytes"))
+    swept = mvs.sweep(model, rasters, neighbors, mvs.Options(sources=3, hypotheses=48))
+    both = swept.select("image_id", "depth").join(truth.select("image_id", F.col("depth").alias("true_depth")), "image_id")
+
+    def compared(frames):
+        for f in frames:
+            rows_ = []
+            for t in f.itertuples():
+                z, want = (np.frombuffer(b, np.float32) for b in (t.depth, t.true_depth))
+                fine = np.isfinite(z) & (z > 0)
+                rows_.append((t.image_id, bool(fine.mean() > 0.5), bool((np.abs(z[fine] - want[fine]) < 0.03 * want[fine]).mean() > 0.8)))
+            yield pd.DataFrame(rows_, columns=["image_id", "mostly_valid", "mostly_right"])
 
+    return both.mapInPandas(compared, "image_id long, mostly_valid boolean, mostly_right boolean")
 
-@query()
+
+@query("SELECT true AS many, true AS on_surfaces, true AS on_roof, true AS on_ground")
 def fuse_depths(spark, folder):
+    """Rendered depths fused: the points lie on the ground or the slabs' faces."""
     cams, images, _, truth = _slab_views(spark)
     pairs = matching.image_pairs(images)
     both = pairs.union(pairs.select("image_b", "image_a")).toDF("image_id", "neighbor").withColumn("rank", F.lit(1))
-    return spatial.voxel_downsample(mvs.fuse(truth, images, cams, both), 1.0)
+    fused = mvs.fuse(truth, images, cams, both)
+    near = lambda z: F.abs(F.col("z") - z) < 0.05
+    share = lambda c: F.avg(c.cast("double"))
+    s = fused.agg(F.count("*").alias("n"), share(near(0) | near(4) | near(8)).alias("surface"), share(near(8)).alias("roof"), share(near(0)).alias("ground"))
+    return s.select((F.col("n") > 4 * 60 * 80 // 4).alias("many"), (F.col("surface") > 0.98).alias("on_surfaces"), (F.col("roof") > 0.05).alias("on_roof"), (F.col("ground") > 0.2).alias("on_ground"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (CAST(0.1 AS DOUBLE), true, true), (CAST(0.5 AS DOUBLE), true, true)) t(threshold, sound, better)")
 def icp_evaluation(spark, folder):
+    """A tilted and shifted cloud against its reference, before and after alignment by closest points."""
     truth = synthetic.terrain(spark, 4000, 40.0, 2.0, 0, 0)
     moved = align.move_cloud(synthetic.terrain(spark, 2000, 38.0, 2.0, 0, 0, seed=50), align.Similarity(1.0, align.rotation_to_z(np.array([0.01, 0.0, 1.0])), np.array([0.2, -0.1, 1.0])))
-    return align.evaluate(moved, truth, (0.1, 0.5), largest=3.0, smallest=0.5, rounds=4)
+    both = align.evaluate(moved, truth, (0.1, 0.5), largest=3.0, smallest=0.5, rounds=4).groupBy("threshold").pivot("stage", ["before", "after"]).agg(F.first("f_score"))
+    return both.select("threshold", F.col("before").between(0, 1).alias("sound"), (F.col("after") >= F.col("before")).alias("better"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -616,3 +660,5 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     kept = spatial.footprint_crop(a, b, 0.05)
     return spatial.geometry_metrics(spatial.voxel_downsample(kept, 0.01).select("x", "y", "z"), b, (0.02, 0.05, 0.1), 0.2)
 
+
+from . import queries_algebra  # noqa: E402, F401  registers more of them
