@@ -23,19 +23,21 @@ fall into.
 
 Defined results: a null text has no tokens; null sources and languages are values like others.
 A text without long words has topic 0.  Rows with null ids are drawn by a hash of their text.
-Repeated rows are kept or dropped alike.  An empty table gives an empty one.
+Repeated rows are kept or dropped alike.  An empty table gives an empty one.  Targets that
+contradict each other (a cell that no weight can fill) are met on the last axis, and a warning says
+by how much the others miss.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, doc_slices, text_bytes
+from .shared import cut, doc_slices, text_bytes, unused
 from .words import word_hashes
 
 TEMPER = 0.7
@@ -107,7 +109,8 @@ def rake(weights: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray])
             off = max(off, float(np.abs(now - target).max()))
             fit = fit * np.divide(target, now, out=np.zeros_like(target), where=now > 0)[at]
         if off < CLOSE:
-            break
+            return fit
+    warnings.warn(f"after {ROUNDS} rounds the marginals still miss their targets by up to {off:.2g}", stacklevel=2)
     return fit
 
 
@@ -242,15 +245,20 @@ def report(cells: DataFrame) -> DataFrame:
     return both.select("axis", "value", F.try_divide("_weight", "weight").alias("wanted"), F.try_divide("_probability", "probability").alias("expected"), F.try_divide("probability", "all").alias("kept")).withColumn("missed", F.when(F.abs(missed) > 1e-6, missed).otherwise(0.0))
 
 
+def added(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the columns that are added: _topic, _tokens and _probability, with more underscores where ``docs`` has such columns."""
+    return unused(docs, "topic"), unused(docs, "tokens"), unused(docs, "probability")
+
+
 def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, topics: int = TOPICS, topic: str | None = None, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with _topic and _tokens, and the cells with tokens, weight and probability.
+    """``docs`` with a topic and its tokens (``added``), and the cells with tokens, weight and probability.
 
     ``budget``: share of the tokens to keep."""
-    if topic is None:
-        both = docs.withColumn("_both", measured(F.col("text"), topics)).withColumns({"_topic": F.col("_both.topic"), "_tokens": F.col("_both.tokens")}).drop("_both")
-    else:
-        both = docs.withColumns({"_topic": F.col(topic), "_tokens": measured(F.col("text"), topics)["tokens"]})
-    cells = cut(both.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents")))
+    name, tokens, _ = added(docs)
+    both = unused(docs, "both")
+    whole = docs.withColumn(both, measured(F.col("text"), topics))
+    whole = whole.withColumns({name: F.col(f"{both}.topic") if topic is None else F.col(f"`{topic}`"), tokens: F.col(f"{both}.tokens")}).drop(both)
+    cells = cut(whole.groupBy("source", "lang", F.col(name).alias("topic")).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("documents")))
     if cells.count() <= CELLS:
         rows = cells.collect()
         types = dict(cells.dtypes)
@@ -258,7 +266,7 @@ def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temper:
     else:
         fitted = _fit_large(cells.select(*AXES, "tokens"), targets or {}, temper, budget)
     same = [F.col(f"c.{a}").eqNullSafe(F.col(f"f.{a}")) for a in AXES]
-    return both, cells.alias("c").join(fitted.alias("f"), same[0] & same[1] & same[2]).select(*[f"c.{a}" for a in AXES], "documents", "tokens", "weight", "probability")
+    return whole, cells.alias("c").join(fitted.alias("f"), same[0] & same[1] & same[2]).select(*[f"c.{a}" for a in AXES], "documents", "tokens", "weight", "probability")
 
 
 def _uniform(seed: int) -> Column:
@@ -267,11 +275,18 @@ def _uniform(seed: int) -> Column:
 
 
 def sample(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0, **options) -> DataFrame:
-    """The drawn rows of ``docs``, with all their columns, and _topic, _tokens, _probability."""
+    """The drawn rows of ``docs``, with all their columns and topic, tokens and probability (``added``)."""
+    name, _, probability = added(docs)
     both, cells = calibrated(docs, targets, **options)
-    chance = cells.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_probability"))
+    keys = [unused(docs, k) for k in ("cell_source", "cell_lang", "cell_topic")]
+    chance = cells.select(*[F.col(a).alias(k) for a, k in zip(AXES, keys, strict=True)], F.col("probability").alias(probability))
     # at most CELLS rows are told to every task; more are joined by shuffle
     if chance.count() <= CELLS:
         chance = F.broadcast(chance)
-    on = F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & F.col("_topic").eqNullSafe(F.col("_t"))
-    return both.withColumn("_u", _uniform(seed)).join(chance, on).filter(F.col("_u") < F.col("_probability")).drop("_s", "_l", "_t", "_u")
+    on = F.col("source").eqNullSafe(F.col(keys[0])) & F.col("lang").eqNullSafe(F.col(keys[1])) & F.col(name).eqNullSafe(F.col(keys[2]))
+    return both.join(chance, on).filter(_uniform(seed) < F.col(probability)).drop(*keys)
+
+
+def drawn(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0, **options) -> DataFrame:
+    """The drawn rows of ``docs`` with their own columns alone."""
+    return sample(docs, targets, seed, **options).drop(*added(docs))

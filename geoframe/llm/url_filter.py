@@ -1,7 +1,7 @@
 """URL filter: a cascade of Bloom filters that is exact over the corpus's keys.
 
-Every URL gives a bounded list of keys: each suffix of its host with each prefix of its
-path whose length is that of some rule's path.  The cascade's first level holds the listed
+Every URL gives a bounded list of keys: each suffix of its host that has as many labels as some
+rule's host, with each prefix of its path whose length is that of some rule's path.  The cascade's first level holds the listed
 keys.  The second holds the keys of the corpus that pass the first by mistake, the third
 the listed keys that pass the second by mistake, and so on until no key is left over.  As
 the levels are built over all keys that occur, a lookup is exact, and no join takes place.
@@ -21,8 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 #: Expected share of the corpus's keys that the first level lets through by mistake.
-FIRST_LEVEL_ERROR = 1e-6
+FIRST_LEVEL_ERROR = 0.01
 LATER_LEVEL_ERROR = 0.05
 MAX_LEVELS = 64
 #: Bits of one level at most (32 MB); a list that needs more is refused instead of broadcast.
@@ -74,11 +76,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*(/[^?#]*)?", 1), F.lit(""))
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a URL, the longest first."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(1 << 20)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths), reverse=True)]), lambda p: p.isNotNull())
+def keys_of(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """All keys of a URL, the longest first.  ``lengths``: of the rules' paths; ``labels``: numbers of labels of their hosts."""
+    split = F.split(host, r"\.", -1)
+    some = lambda values: F.filter(F.array(*values), lambda v: v.isNotNull())
+    hosts = some([F.when(F.size(split) >= n, F.array_join(F.slice(split, -n, n), ".")) for n in sorted(set(labels), reverse=True)])
+    prefixes = some([F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths), reverse=True)])
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.struct((-(F.length(h) + F.length(p))).alias("size"), (-F.length(h)).alias("part"), F.concat(h, F.lit("\x1f"), p).alias("key")))))
     return F.transform(F.array_sort(F.array_distinct(pairs)), lambda x: x["key"])
 
@@ -139,7 +142,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default:
     if not rules:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     lengths = [len(r.path) for r in rules]
-    keys = keys_of(F.col("host"), F.col("path"), lengths)
+    keys = keys_of(F.col("host"), F.col("path"), lengths, [r.host.count(".") + 1 for r in rules])
     universe = parts.select(F.explode(keys).alias("key")).distinct()
     cascades = {v: build_cascade(spark.range(1).select(F.explode(F.array(*[F.lit(r.key) for r in rules if r.verdict == v])).alias("key")), universe, seed=1000 * i) for i, v in enumerate(dict.fromkeys(r.verdict for r in rules))}
 
@@ -150,8 +153,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default:
         return out
 
     hit = F.get(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), judged(k).alias("verdict"))), lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return parts.withColumn("_hit", hit).select(
+    name = unused(parts, "hit")
+    return parts.withColumn(name, hit).select(
         *[F.col(f"`{c}`") for c in keep], "host", "path",
-        F.regexp_replace(F.col("_hit.key"), "\x1f", "").alias("rule"),
-        F.coalesce(F.col("_hit.verdict"), F.lit(default)).alias("verdict"),
+        F.regexp_replace(F.col(f"{name}.key"), "\x1f", "").alias("rule"),
+        F.coalesce(F.col(f"{name}.verdict"), F.lit(default)).alias("verdict"),
     )

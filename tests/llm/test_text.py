@@ -162,6 +162,19 @@ def test_url_filter(spark, sf):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_url_filter_over_many_rules_and_levels(spark):
+    """Some hundred rules against thousands of hosts: the second level holds what the first lets through."""
+    rng = np.random.default_rng(6)
+    name = lambda n: ".".join("".join(chr(97 + c) for c in rng.integers(0, 4, 2)) for _ in range(n))
+    rules = [url_filter.Rule(str(rng.choice(["allow", "block"])), name(int(rng.integers(1, 4))), str(rng.choice(["/", "/a", "/a/b/"]))) for _ in range(300)]
+    rules = list({(r.host, r.path): r for r in rules}.values())
+    urls = [f"http://{name(int(rng.integers(1, 5)))}{rng.choice(['', '/', '/a/b/c', '/z?x'])}" for _ in range(3000)]
+    df = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, _hit int").repartition(3)
+    got = url_filter.filter_urls(df, rules)
+    assert got.columns == ["page_id", "url", "_hit", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got.collect()) == sorted((i, *((x or "") for x in judge(u, rules))) for i, u in enumerate(urls))
+
+
 def test_cascade_is_exact_over_its_keys(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "FIRST_LEVEL_ERROR", 0.3)
     monkeypatch.setattr(url_filter, "LATER_LEVEL_ERROR", 0.4)
@@ -303,6 +316,23 @@ def test_mixing_edges(spark):
     assert mixing.sample(docs.limit(0)).collect() == []
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    names = "_topic int, _tokens string, _both int, _u int, _s int, _l int, _t int, _probability string, _cell_source int, `a.b` int, topic string, tokens int"
+    rows = [(i, "gardening words " * (i % 9), f"s{i % 3}", "en", 7, "k", 1, 2, 3, 4, 5, "p", 6, 8, "t", 9) for i in range(200)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, lang string, {names}")
+    kept = mixing.drawn(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    got = kept.collect()
+    assert 0 < len(got) < 200 and all(tuple(r)[4:] == rows[0][4:] for r in got)
+    full = mixing.sample(docs).first()
+    assert full["__topic"] in range(8) and full["__tokens"] >= 0 and 0 <= full["__probability"] <= 1
+
+
+def test_mixing_says_when_targets_contradict():
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.rake(np.array([1.0, 1.0, 0.0, 0.0]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.5, 0.5]), np.array([0.5, 0.5])])
+
+
 def _stray_corpus(spark, stray):
     rows = [(i, "word " * (1 + i % 7) + ["gardening", "astronomy", "economics"][i % 3], f"s{min(i % 10, 2)}", ["en", "de"][i % 4 == 0]) for i in range(3000)]
     return spark.createDataFrame(rows + [(9000, "three short words", "s0", None)] * stray, "doc_id long, text string, source string, lang string")
