@@ -29,13 +29,13 @@ def civil(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """One document of each group of near duplicates, with the group's smallest id."""
     return jaccard.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target shares of tokens."""
-    return mixing.sample(docs).select(*docs.columns)
+    return mixing.drawn(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
