@@ -3,15 +3,17 @@
 Two zstandard dictionaries are trained from the labelled rows, one on ordinary and one on toxic
 texts.  A text is cut into windows of WINDOW words.  A window is compressed twice, against the
 ordinary dictionary and against the same with the toxic one behind it, and its distance is the
-bytes that the toxic one saves.  The curve from the numbers of a text's windows at several
+bytes that the toxic one saves.  The curve from the numbers of a text's different windows at several
 distances to its score is calibrated on the training rows.
 
 Toxic texts are mostly ordinary words, and a dictionary of such a text holds these, too.  So the
-toxic one is trained twice: dictionaries of each half of the toxic texts are tried on the other
-half's words, and those that a dictionary of other texts shortens by SAVED bytes or more, beyond
-what the ordinary one does, are the samples of the next round and of the final dictionary.  The
+toxic one is trained in rounds: dictionaries of each half of the toxic texts are tried on the other
+half's words, and those that a dictionary of other texts shortens by some bytes or more, beyond
+what the ordinary one does, are the samples of the next round and of the final dictionary, but for
+the words that ordinary texts have nearly as often.  The texts are halved in HALVINGS ways, and the
+dictionary by which the sample is told best is kept.  The
 ordinary one is trained on windows of ordinary texts; words of theirs that the toxic one shortens
-by mistake are put behind it.  Which words these are is never listed; only lengths decide.
+by mistake are put behind it.  Lengths alone decide what a text's windows count.
 
 An anchor that both sides hold stands before and after each window, as zstandard stores a frame of
 a few bytes without compressing it and looks for no match in a frame's last eight bytes.  Filler
@@ -49,11 +51,15 @@ SAMPLE_BYTES = 12_000_000
 #: Words of a window.
 WINDOW = 2
 ORDINARY_BYTES, MISTAKEN_BYTES = 16_384, 8_192
-HALF_BYTES, TOXIC_BYTES = 4096, 2048
-#: Rounds over the two halves of the toxic texts, and the bytes that a word must save there.
-ROUNDS = 2
-SAVED = 4
+HALF_BYTES, TOXIC_BYTES = 4096, 1280
+#: Rounds over the two halves of the toxic texts: the bytes that a word must save, and whether the
+#: toxic dictionary stands before the ordinary one, where its matches are dearer.
+ROUNDS = ((3, True), (3, False), (4, False))
 TRAINED_TOGETHER = 8
+#: A sample's word is in this many times as large a share of the toxic texts as of the ordinary ones and one more.
+CONTRAST = 6
+#: Ways to halve the toxic texts; the dictionary that fits the sample best is kept.
+HALVINGS = 3
 #: Distances whose windows are counted.
 LEVELS = (2, 3, 4, 5, 6)
 ANCHOR = bytes(range(128, 152))
@@ -131,14 +137,14 @@ class Model:
         return {**self.__dict__, "_sides": None}
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text: one, and for each level the number and the share of windows that reach it, on a log scale."""
+        """Of each text: one, and for each level the number and the share of its different windows that reach it, on a log scale."""
         out = np.zeros((len(texts), 1 + 2 * len(LEVELS)))
         out[:, 0] = 1
         if not self.toxic:
             return out
         if self._sides is None:
             self._sides = Sides(self.ordinary, self.toxic)
-        windows = [windows_of(t) for t in texts]
+        windows = [list(dict.fromkeys(windows_of(t))) for t in texts]
         sizes = np.fromiter(map(len, windows), np.int64, len(texts))
         found = self._sides.distances([w for ws in windows for w in ws])
         row = np.repeat(np.arange(len(texts)), sizes)
@@ -152,11 +158,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -60, 60)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -168,16 +174,26 @@ def _joined(words: list[bytes]) -> list[bytes]:
     return [b"".join(words[i : i + TRAINED_TOGETHER]) for i in range(0, len(words), TRAINED_TOGETHER)]
 
 
-def _telling(ordinary: bytes, texts: list[bytes]) -> list[bytes]:
-    """Samples of the words of toxic texts that dictionaries of other toxic texts shorten, each as often as it occurs."""
-    halves = [texts[0::2], texts[1::2]]
+def _texts_with(words: set[bytes], texts: list[bytes]) -> Counter[bytes]:
+    """In how many texts each of the words is."""
+    return Counter(w for t in texts for w in words.intersection(windows_of(t, 1)))
+
+
+def _telling(ordinary: bytes, texts: list[bytes], others: list[bytes], seed: int) -> list[bytes]:
+    """Samples of the words of toxic texts that dictionaries of other toxic texts shorten, each as often as it occurs;
+    words that a text of the others has nearly as easily are no samples."""
+    order = sorted(texts, key=lambda t: (zlib.crc32(t, seed), t))
+    halves = [order[0::2], order[1::2]]
     samples = [[w for t in h for w in windows_of(t)] for h in halves]
     words = [[w for t in h for w in windows_of(t, 1)] for h in halves]
-    for _ in range(ROUNDS):
+    for saved, first in ROUNDS:
         toxic = [_dictionary(HALF_BYTES, s) for s in samples]
-        samples = [[w for w, d in zip(own, Sides(ordinary, other, first=True).distances(own), strict=True) if d >= SAVED] for own, other in zip(words, reversed(toxic), strict=True)]
-        samples = [_joined(s) for s in samples]
-    return samples[0] + samples[1]
+        samples = [[w for w, d in zip(own, Sides(ordinary, other, first).distances(own), strict=True) if d >= saved] for own, other in zip(words, reversed(toxic), strict=True)]
+        told, samples = samples, [_joined(s) for s in samples]
+    words = {w for s in told for w in s}
+    toxic, plain = _texts_with(words, texts), _texts_with(words, others)
+    kept = {w for w in words if toxic[w] * len(others) >= CONTRAST * (plain[w] + 1) * len(texts)}
+    return [sample for s in told for sample in _joined([w for w in s if w in kept])]
 
 
 def _mistaken(ordinary: bytes, toxic: bytes, texts: list[bytes]) -> bytes:
@@ -198,14 +214,22 @@ def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     bad, good = _apart(toxic), _apart(ordinary)
     if not bad or not good:
         return model
-    model.ordinary = _dictionary(ORDINARY_BYTES, [w for t in good for w in windows_of(t)])
-    found = _telling(model.ordinary, bad)
-    if not found:
-        return model
-    model.toxic = _dictionary(TOXIC_BYTES, found)
-    model.ordinary += _mistaken(model.ordinary, model.toxic, good)
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    model.weights = _logistic(model.features([*toxic, *ordinary]), y)
+    plain = _dictionary(ORDINARY_BYTES, [w for t in good for w in windows_of(t)])
+    # of near copies one counts; the odds are those of the labels
+    y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
+    weight = np.where(y == 1, share / max(1 - share, 1e-9) * len(good) / len(bad), 1.0)
+    weight *= len(y) / weight.sum()
+    least = np.inf
+    for seed in range(HALVINGS):
+        if not (found := _telling(plain, bad, good, seed)):
+            continue
+        part = _dictionary(TOXIC_BYTES, found)
+        trial = Model(plain + _mistaken(plain, part, good), part)
+        x = trial.features([*bad, *good])
+        trial.weights = _logistic(x, y, weight)
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ trial.weights))).sum())
+        if loss < least:
+            model, least = trial, loss
     return model
 
 

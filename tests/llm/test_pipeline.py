@@ -67,8 +67,8 @@ def test_toxicity_stage(spark, sf, stages):
 
     def score(t):
         words, saved = t.lower().split(), []
-        for i in range(0, len(words), 2):
-            w = toxicity.ANCHOR + b" " + b" ".join(words[i : i + 2]) + b" " + toxicity.ANCHOR
+        for pair in dict.fromkeys(tuple(words[i : i + 2]) for i in range(0, len(words), 2)):
+            w = toxicity.ANCHOR + b" " + b" ".join(pair) + b" " + toxicity.ANCHOR
             saved.append(len(one.compress(w)) - len(two.compress(w)))
         x = [1.0]
         for level in toxicity.LEVELS:

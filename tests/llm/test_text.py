@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -96,7 +98,7 @@ def test_toxic_dictionary_finds_what_toxic_texts_share():
 
 
 def test_toxicity_recall_and_precision():
-    """Planted words in a third of the toxic rows and in no other; the rest of the toxic labels are noise."""
+    """Planted words in two thirds of the toxic rows and in no other; a third of the toxic labels is noise, which costs some clean texts."""
     rng = np.random.default_rng(4)
     syllables = ["ba", "den", "ki", "lor", "mu", "sta", "ver", "tion", "ou", "re"]
     word = lambda: "".join(syllables[i] for i in rng.integers(0, 10, int(rng.integers(1, 5))))
@@ -110,7 +112,23 @@ def test_toxicity_recall_and_precision():
 
     model = toxicity.train([text(i % 3 > 0) for i in range(300)], [text(False) for _ in range(900)], 0.25)
     bad, good = model.scores([text(True) for _ in range(200)]) >= 0.5, model.scores([text(False) for _ in range(200)]) >= 0.5
-    assert bad.mean() >= 0.95 and good.mean() <= 0.02
+    assert bad.mean() >= 0.95 and good.mean() <= 0.05
+
+
+def test_toxicity_held_out_recall_and_precision(spark):
+    """Of the held-out rows whose label isn't noise (their text has a word that a tenth of the toxic rows and no other row have)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    both = toxicity.classify(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter("toxic is not null").toPandas()
+    words = [set(t.lower().split()) if t else set() for t in both.text]
+    count = [Counter(w for ws, y in zip(words, both.toxic, strict=True) if y == k for w in ws) for k in (0, 1)]
+    telling = {w for w, n in count[1].items() if n >= 0.1 * both.toxic.sum() and not count[0][w]}
+    planted = np.array([bool(ws & telling) for ws in words])
+    held = both.held_out.to_numpy()
+    assert len(telling) >= 8 and both.predicted[held & planted].mean() >= 0.9
+    assert both.predicted[held & (both.toxic == 0)].mean() <= 0.015
+    found = both[held & (both.predicted == 1)]
+    assert found.toxic.mean() >= 0.85
 
 
 def test_toxicity_scores_against_window_by_window():
@@ -123,8 +141,8 @@ def test_toxicity_scores_against_window_by_window():
     for t, got in zip(texts, model.scores(texts), strict=True):
         words = t.lower().split()
         found = []
-        for i in range(0, len(words), 2):
-            w = toxicity.ANCHOR + b" " + b" ".join(words[i : i + 2]) + b" " + toxicity.ANCHOR
+        for pair in dict.fromkeys(tuple(words[i : i + 2]) for i in range(0, len(words), 2)):
+            w = toxicity.ANCHOR + b" " + b" ".join(pair) + b" " + toxicity.ANCHOR
             found.append(len(one.compress(w)) - len(two.compress(w)))
         x = [1.0]
         for level in toxicity.LEVELS:
