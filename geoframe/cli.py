@@ -99,15 +99,28 @@ def sfm(a) -> None:
 
 def mvs(a) -> None:
     from .plans import mvs as plan
-    from .sources import clouds, colmap
+    from .sources import clouds, colmap, rasters
 
     s = session()
-    tiles, cloud = plan.dense(colmap.read_model(s, a.model), s.read.parquet(a.rasters), plan.Options(voxel=a.voxel))
+    model = colmap.read_model(s, a.model)
+    given = rasters.read_rasters(s, a.rasters, model.images) if a.images else s.read.parquet(a.rasters)
+    tiles, cloud = plan.dense(model, given, plan.Options(voxel=a.voxel))
     tiles.write.mode("overwrite").parquet(f"{a.out}/depth")
     cloud.write.mode("overwrite").parquet(f"{a.out}/fused")
     clouds.write_ply_file(cloud.select("x", "y", "z"), f"{a.out}/fused.ply")
 
 
+def download(a) -> None:
+    """Lists the known photo sets, or says that one is there; fetching needs a network."""
+    from .datasets import KNOWN, locate
+
+    if a.dataset == "list":
+        for name, address, images, size, terms in KNOWN:
+            print(f"{name:16} {images:4} {size:>8}  {terms:16} {address}")
+    else:
+        print(locate([k[:3] for k in KNOWN], a.dataset, a.root))
+
+
 def outside(a) -> None:
     raise NotImplementedError(f"{a.command}: needs codecs, a mesher, a network or another program")
 
@@ -129,8 +142,9 @@ def main(argv: list[str] | None = None) -> int:
     add("crosscheck", crosscheck, model={}, cloud={})
     add("keyframes", keyframes, frames={}, target={"place": False, "type": int, "default": 150}, min_displacement={"place": False, "type": float, "default": None}, window={"place": False, "type": int, "default": 9})
     add("sfm", sfm, tables={}, out={}, sequential={"place": False, "type": int, "default": 0})
-    add("mvs", mvs, model={}, rasters={}, out={}, voxel={"place": False, "type": float, "default": 0.05})
-    for name in ("download", "extract-frames", "colmap", "mesh", "status"):
+    add("mvs", mvs, model={}, rasters={}, out={}, images={"place": False, "action": "store_true", "help": "the rasters are PGM, PPM or PNG files instead of a table"}, voxel={"place": False, "type": float, "default": 0.05})
+    add("download", download, dataset={}, root={"place": False, "default": "data"})
+    for name in ("extract-frames", "colmap", "mesh", "status"):
         q = sub.add_parser(name)
         q.add_argument("rest", nargs="*")
         q.set_defaults(run=outside)

@@ -7,6 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Name, address, number of images, size and license of public photo sets.
+KNOWN = [
+    ("brighton_beach", "https://github.com/OpenDroneMap/drone_dataset_brighton_beach", 18, "~80 MB", "BSD-2-Clause"),
+    ("aukerman", "https://github.com/OpenDroneMap/odm_data_aukerman", 77, "~520 MB", "CC0-1.0"),
+    ("toledo", "https://github.com/OpenDroneMap/odm_data_toledo", 87, "~430 MB", "see repo"),
+    ("pacifica", "https://github.com/OpenDroneMap/odm_data_pacifica", 12, "~90 MB", "see license.html"),
+]
+
+
 def registry(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:
     """name, url and note of each entry."""
     return spark.createDataFrame(entries, "name string, url string, note string")

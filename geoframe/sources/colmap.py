@@ -1,7 +1,8 @@
-"""Text models: cameras.txt, images.txt (two lines an image) and points3D.txt."""
+"""Models as text (cameras.txt, images.txt with two lines an image, points3D.txt) or binary (the same names, .bin)."""
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,93 @@ def _image_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["image_id", "q", "t", "camera_id", "name", "xy"])
 
 
+# Names and numbers of parameters of the binary format's camera models.
+BINARY_MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8)}
+
+
+class _Cursor:
+    """Little-endian values of a file, one after another."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, layout: str) -> tuple:
+        found = struct.unpack_from(f"<{layout}", self.data, self.at)
+        self.at += struct.calcsize(f"<{layout}")
+        return found
+
+    def array(self, kind: np.dtype, n: int) -> np.ndarray:
+        found = np.frombuffer(self.data, kind, n, self.at)
+        self.at += found.nbytes
+        return found
+
+    def text(self) -> str:
+        end = self.data.index(b"\0", self.at)
+        found, self.at = self.data[self.at : end].decode(), end + 1
+        return found
+
+
+def _binary_cameras(data: bytes) -> list[tuple]:
+    c, rows = _Cursor(data), []
+    for _ in range(c.take("Q")[0]):
+        camera_id, model, width, height = c.take("iiQQ")
+        name, n = BINARY_MODELS.get(model, (f"number {model}", 0))
+        rows.append((camera_id, name, width, height, list(c.take(f"{n}d"))))
+        if not n:
+            break  # its size isn't known; reading the model's parameters raises an error
+    return rows
+
+
+_SPOT = np.dtype([("x", "<f8"), ("y", "<f8"), ("p", "<i8")])
+_SEEN = np.dtype([("image", "<i4"), ("spot", "<i4")])
+
+
+def _binary_images(data: bytes) -> list[tuple]:
+    c, rows = _Cursor(data), []
+    for _ in range(c.take("Q")[0]):
+        image_id, *pose, camera_id = c.take("i7di")
+        name, (n,) = c.text(), c.take("Q")
+        spots = c.array(_SPOT, n)
+        rows.append((image_id, pose[:4], pose[4:], camera_id, name, list(zip(spots["x"].tolist(), spots["y"].tolist(), spots["p"].tolist(), strict=True))))
+    return rows
+
+
+def _binary_points(data: bytes) -> list[tuple]:
+    c, rows = _Cursor(data), []
+    for _ in range(c.take("Q")[0]):
+        point_id, x, y, z, r, g, b, error, n = c.take("Q3d3BdQ")
+        seen = c.array(_SEEN, n)
+        rows.append((point_id, x, y, z, r, g, b, error, list(zip(seen["image"].tolist(), seen["spot"].tolist(), strict=True))))
+    return rows
+
+
+def _binary(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split("; ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                yield pd.DataFrame(parse(bytes(content)), columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema.replace("; ", ", "))
+
+
+def _read_binary(spark: SparkSession, folder: str) -> Model:
+    cams = _binary(spark, f"{folder}/cameras.bin", _binary_cameras, "camera_id long; model string; width int; height int; p array<double>")
+    cams = cams.select("camera_id", cameras.model_parameters(F.col("model"), F.col("width"), F.col("height"), F.col("p")).alias("c")).select("camera_id", "c.*")
+    raw = _binary(spark, f"{folder}/images.bin", _binary_images, "image_id long; q array<double>; t array<double>; camera_id long; name string; spots array<struct<u:double,v:double,p:long>>")
+    images = raw.select("image_id", "camera_id", "name", poses.pose(poses.from_quaternion(F.col("q")), F.col("t")).alias("pose"))
+    keypoints = raw.select("image_id", F.posexplode("spots").alias("kp_idx", "s")).select("image_id", F.col("kp_idx").cast("long").alias("kp_idx"), "s.u", "s.v", F.when(F.col("s.p") >= 0, F.col("s.p")).alias("point3d_id"))
+    raw = _binary(spark, f"{folder}/points3D.bin", _binary_points, "point_id long; x double; y double; z double; r short; g short; b short; error double; seen array<struct<image_id:long,kp_idx:long>>")
+    observations = raw.select("point_id", F.explode("seen").alias("o")).select("point_id", "o.image_id", "o.kp_idx")
+    return Model(cams, images, keypoints, raw.drop("seen"), observations)
+
+
 def read_model(spark: SparkSession, folder: str) -> Model:
+    """A text model or, where there is no cameras.txt but a cameras.bin, a binary one."""
+    exists = lambda name: (path := spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    if exists("cameras.bin") and not exists("cameras.txt"):
+        return _read_binary(spark, folder)
     cams = read_cameras(spark, f"{folder}/cameras.txt")
     raw = spark.read.format("binaryFile").load(f"{folder}/images.txt").select("content").mapInPandas(_image_rows, "image_id long, q array<double>, t array<double>, camera_id long, name string, xy array<array<double>>")
     images = raw.select("image_id", "camera_id", "name", poses.pose(poses.from_quaternion(F.col("q")), F.col("t")).alias("pose"))

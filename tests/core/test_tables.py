@@ -358,3 +358,74 @@ def test_whole_pose_pairs(spark, whole):
     got = {(int(r.name_i), int(r.name_j)): r.rot_deg for r in queries.relative_pose_errors(spark, whole[0]).collect()}
     assert set(got) == {(i, j) for i in range(55, 75) for j in range(i + 1, 75)}
     assert all(abs(d - np.degrees(0.01 * abs(j % 3 - i % 3))) < 2e-4 for (i, j), d in got.items())
+
+
+def test_binary_model(spark, tmp_path):
+    """A binary model written here value by value reads like the text model of the same values."""
+    import struct
+
+    from geoframe.sources import colmap
+
+    with open(tmp_path / "cameras.bin", "wb") as f:
+        f.write(struct.pack("<Q", 2) + struct.pack("<iiQQ4d", 1, 1, 640, 480, 500, 505, 320, 240) + struct.pack("<iiQQ5d", 2, 3, 64, 48, 50, 32, 24, 0.1, 0.01))
+    with open(tmp_path / "images.bin", "wb") as f:
+        f.write(struct.pack("<Q", 2))
+        f.write(struct.pack("<i7di", 7, 1, 0, 0, 0, 1, 2, 3, 1) + b"a b.jpg\0" + struct.pack("<Q", 2) + struct.pack("<ddq", 1.5, 2.5, 9) + struct.pack("<ddq", 3.5, 4.5, -1))
+        f.write(struct.pack("<i7di", 8, 0, 0, 0, 1, 4, 5, 6, 2) + b"c.jpg\0" + struct.pack("<Q", 0))
+    with open(tmp_path / "points3D.bin", "wb") as f:
+        f.write(struct.pack("<Q", 1) + struct.pack("<Q3d3BdQ", 9, 0.5, 1.5, 2.5, 10, 20, 255, 0.25, 2) + struct.pack("<4i", 7, 0, 8, 3))
+    m = colmap.read_model(spark, str(tmp_path))
+    c = {r.camera_id: (r.width, r.height, r.fx, r.fy, r.cx, r.cy, r.k1, r.k2) for r in m.cameras.collect()}
+    assert c == {1: (640, 480, 500, 505, 320, 240, 0, 0), 2: (64, 48, 50, 50, 32, 24, 0.1, 0.01)}
+    i = {r.image_id: (r.camera_id, r.name, r.pose.R, r.pose.t) for r in m.images.collect()}
+    assert i[7] == (1, "a b.jpg", [1, 0, 0, 0, 1, 0, 0, 0, 1], [1, 2, 3]) and i[8][:2] == (2, "c.jpg") and i[8][2][:2] == [-1, 0]
+    assert sorted((r.image_id, r.kp_idx, r.u, r.v, r.point3d_id or -1) for r in m.keypoints.collect()) == [(7, 0, 1.5, 2.5, 9), (7, 1, 3.5, 4.5, -1)]
+    assert [tuple(r) for r in m.points.collect()] == [(9, 0.5, 1.5, 2.5, 10, 20, 255, 0.25)]
+    assert sorted(tuple(r) for r in m.observations.collect()) == [(9, 7, 0), (9, 8, 3)]
+
+
+def _png(pixels, kinds):
+    """A PNG of bytes (h, w, c), each row filtered as asked."""
+    import struct
+    import zlib
+
+    h, w, c = pixels.shape
+    flat = pixels.reshape(h, w * c).astype(int)
+    body = b""
+    for y in range(h):
+        up = flat[y - 1] if y else np.zeros(w * c, int)
+        left, corner = np.r_[np.zeros(c, int), flat[y][:-c]], np.r_[np.zeros(c, int), up[:-c]]
+        p = left + up - corner
+        d = np.stack([abs(p - left), abs(p - up), abs(p - corner)])
+        paeth = np.choose(d.argmin(0), [left, up, corner])
+        guess = [0, left, up, (left + up) // 2, paeth][kinds[y]]
+        body += bytes([kinds[y]]) + ((flat[y] - guess) % 256).astype(np.uint8).tobytes()
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_rasters(spark, tmp_path):
+    from geoframe.sources import rasters
+
+    rng = np.random.default_rng(0)
+    for c in (1, 2, 3, 4):
+        x = rng.integers(0, 256, (10, 7, c))
+        want = x[..., 0] / 255 if c < 3 else x[..., :3] @ rasters.GRAY / 255
+        np.testing.assert_allclose(rasters.gray(_png(x, [k % 5 for k in range(10)])), want, atol=1e-6)
+    x = rng.integers(0, 256, (4, 5, 3)).astype(np.uint8)
+    (tmp_path / "b.ppm").write_bytes(b"P6\n# a comment\n5 4\n255\n" + x.tobytes())
+    (tmp_path / "a.pgm").write_bytes(b"P2 3 2 15\n0 5 15\n1 2 3\n")
+    got = {r["name"]: np.frombuffer(r["gray"], np.float32).reshape(r["height"], r["width"]) for r in rasters.read_gray(spark, str(tmp_path)).collect()}
+    np.testing.assert_allclose(got["b.ppm"], x @ rasters.GRAY / 255, atol=1e-6)
+    np.testing.assert_allclose(got["a.pgm"], np.array([[0, 5, 15], [1, 2, 3]]) / 15, atol=1e-6)
+    images = spark.createDataFrame([(4, "a.pgm")], "image_id long, name string")
+    assert [(r.image_id, r.height, r.width) for r in rasters.read_rasters(spark, str(tmp_path), images).collect()] == [(4, 2, 3)]
+    with pytest.raises(NotImplementedError):
+        rasters.gray(b"\xff\xd8jpeg")
+
+
+def test_download_list(capsys):
+    from geoframe.cli import main
+
+    assert main(["download", "list"]) == 0 and capsys.readouterr().out.count("\n") == 4
+    assert main(["download", "aukerman", "--root", "/nowhere"]) == 2
