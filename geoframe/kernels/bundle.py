@@ -69,18 +69,78 @@ def _blocks(v: Views, points: np.ndarray, o: Observations, scale: float):
     return jc, jx, e * w
 
 
+#: Free views up to which the reduced system is solved as one matrix.
+DENSE = 300
+
+
+@dataclass
+class Reduced:
+    """The cameras' reduced system: 6x6 blocks of the pairs of free views that see a point in common, and the right side."""
+
+    n: int
+    key: np.ndarray  # n * row + column, ascending, each once
+    block: np.ndarray
+    g: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, key: np.ndarray, block: np.ndarray, g: np.ndarray) -> Reduced:
+        """Adds up blocks that have one key."""
+        every, at = np.unique(key, return_inverse=True)
+        out = np.zeros((len(every), 6, 6))
+        np.add.at(out, at, block)
+        return cls(n, every, out, g)
+
+    def matrix(self) -> np.ndarray:
+        h = np.zeros((self.n * self.n, 6, 6))
+        h[self.key] = self.block
+        return h.reshape(self.n, self.n, 6, 6).transpose(0, 2, 1, 3).reshape(6 * self.n, 6 * self.n)
+
+    def solved(self, rounds: int = 500, close: float = 1e-10) -> np.ndarray:
+        """The step: by least squares of the whole matrix or, for many views, by conjugate gradients
+        over the blocks, with the inverse diagonal blocks as preconditioner."""
+        if self.n <= DENSE:
+            return np.linalg.lstsq(self.matrix(), self.g.ravel(), rcond=None)[0] if self.n else self.g.ravel()
+        i, j = np.divmod(self.key, self.n)
+        diagonal = np.tile(np.eye(6) * 1e-12, (self.n, 1, 1))
+        diagonal[i[i == j]] += self.block[i == j]
+        inverse = np.linalg.inv(diagonal)
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])  # keys ascend, so rows are runs
+
+        def times(x: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(x)
+            out[i[starts]] = np.add.reduceat(np.einsum("kab,kb->ka", self.block, x[j]), starts)
+            return out
+
+        x, rest = np.zeros((self.n, 6)), self.g.reshape(self.n, 6).copy()
+        z = np.einsum("nab,nb->na", inverse, rest)
+        way, size = z, (rest * z).sum()
+        stop = close * size
+        for _ in range(rounds):
+            if not size > stop:
+                break
+            ahead = times(way)
+            length = size / (way * ahead).sum()
+            x, rest = x + length * way, rest - length * ahead
+            z = np.einsum("nab,nb->na", inverse, rest)
+            new = (rest * z).sum()
+            way, size = z + new / size * way, new
+        return x.ravel()
+
+
 def part(v: Views, points: np.ndarray, o: Observations, scale: float, damping: float, fixed_points: bool = False):
-    """(H, g) of the reduced camera system, and what ``move`` needs."""
+    """What some points add to the reduced camera system, and what ``move`` needs."""
     n = int(v.free.max(initial=-1)) + 1
     jc, jx, e = _blocks(v, points, o, scale)
     free = np.maximum(v.free[o.image], 0)
-    h, g = np.zeros((n, n, 6, 6)), np.zeros((n, 6))
+    g = np.zeros((n, 6))
+    keys, blocks = [], []
     if n:
-        np.add.at(h, (free, free), np.einsum("nij,nik->njk", jc, jc))
+        own = np.einsum("nij,nik->njk", jc, jc)
+        k = np.arange(6)
+        own[:, k, k] += damping * np.einsum("nii->ni", own)
+        keys += [free * n + free, np.arange(n) * n + np.arange(n)]
+        blocks += [own, np.tile(1e-12 * np.eye(6), (n, 1, 1))]
         np.add.at(g, free, -np.einsum("nij,ni->nj", jc, e))
-        d = np.arange(n)
-        diagonal = np.einsum("nii->ni", h[d, d])
-        h[d[:, None], d[:, None], np.arange(6), np.arange(6)] += damping * diagonal + 1e-12
     back = None
     if not fixed_points:
         m = len(points)
@@ -92,19 +152,18 @@ def part(v: Views, points: np.ndarray, o: Observations, scale: float, damping: f
         inverse = np.linalg.inv(hx)
         mixed = np.einsum("nij,nik->njk", jc, jx)
         y = np.einsum("nij,njk->nik", mixed, inverse[o.point])
-        if n:
+        if n and len(o.point):
             np.add.at(g, free, -np.einsum("nij,nj->ni", y, gx[o.point]))
             order = np.argsort(o.point, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(o.point[order]) > 0, True]) if len(order) else [0]
-            for a, b in zip(starts[:-1], starts[1:], strict=True):  # all pairs of views of one point
-                at = order[a:b]
-                np.add.at(h, (np.repeat(free[at], b - a), np.tile(free[at], b - a)), -np.einsum("aij,bkj->abik", y[at], mixed[at]).reshape(-1, 6, 6))
+            counts = np.bincount(o.point, minlength=m)
+            first = np.cumsum(counts) - counts
+            for size in np.unique(counts[counts > 0]):  # points with as many views are one stack
+                at = order[first[counts == size][:, None] + np.arange(size)]
+                keys.append((free[at][:, :, None] * n + free[at][:, None, :]).ravel())
+                blocks.append(-np.einsum("paij,pbkj->pabik", y[at], mixed[at]).reshape(-1, 6, 6))
         back = (inverse, gx, mixed)
-    return h.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n), g.ravel(), back
-
-
-def solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(h, g, rcond=None)[0] if len(g) else g
+    empty = (np.zeros(0, np.int64), np.zeros((0, 6, 6)))
+    return Reduced.of(n, *((np.concatenate(keys), np.concatenate(blocks)) if keys else empty), g), back
 
 
 def move(v: Views, points: np.ndarray, o: Observations, back, step: np.ndarray) -> np.ndarray:
@@ -133,8 +192,8 @@ def adjust(v: Views, points: np.ndarray, o: Observations, scale: float = 1.0, ro
         now, damping = cost(v, points, o, s), 1e-4
         for _ in range(rounds):
             used += 1
-            h, g, back = part(v, points, o, s, damping, fixed_points)
-            step = solve(h, g)
+            system, back = part(v, points, o, s, damping, fixed_points)
+            step = system.solved()
             trial, trial_points = v.moved(step), move(v, points, o, back, step)
             new = cost(trial, trial_points, o, s)
             if np.isfinite(new) and new < now:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geoframe import cli, datasets, queries, synthetic
 from geoframe.functions import cameras, geodesy, poses
 from geoframe.functions.linear import at, const, vec
+from geoframe.kernels import bundle
 from geoframe.kernels.rigid import Cam, angle_deg, rotation
 from geoframe.operators import align, frames, graph, matching, metrics, spatial
 from geoframe.plans import mvs, sfm
@@ -160,7 +161,9 @@ def test_reconstruction(spark):
     assert metrics.trajectory_error(got.images, m.images).first().rmse < 0.5
 
 
-def test_distributed_adjustment(spark):
+@pytest.mark.parametrize("dense", [300, 0])
+def test_distributed_adjustment(spark, monkeypatch, dense):
+    monkeypatch.setattr(bundle, "DENSE", dense)
     m = scene(spark, 5, 0.0)
     moved = m.with_(points=m.points.withColumns({c: F.col(c) + 0.3 * synthetic.gauss(i, "point_id") for i, c in enumerate("xyz")}))
     out, report = sfm.bundle_adjust(moved, (1, 2), rounds=12)
