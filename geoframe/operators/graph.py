@@ -10,19 +10,33 @@ from .shared import cut, with_ranks
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: columns a and b of any ordered type.  Returns node and component (the smallest
-    node that it reaches).  Each round every node takes the smallest label among its neighbours,
-    then the label of its label, so long chains shrink fast."""
+    node that it reaches).
+
+    In each round every node goes to its smallest neighbour, if that is smaller; following these
+    steps to their ends gives roots, and the edges between different roots are the next round's.
+    At least half of the nodes aren't roots, so rounds and their edges shrink fast."""
     pairs = edges.select("a", "b").filter("a is not null and b is not null")
     both = cut(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    found: list[DataFrame] = []
     while True:
-        low = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("low"))
-        moved = labels.join(low, F.col("node") == F.col("n")).select("node", F.least("label", "low").alias("next"), F.col("label").alias("old"))
-        jump = moved.select(F.col("node").alias("via"), F.col("next").alias("far"))
-        new = cut(moved.join(jump, F.col("next") == F.col("via")).select("node", F.least("next", "far").alias("label"), (F.col("old") != F.least("next", "far")).alias("changed")))
-        labels = new.select("node", "label")
-        if new.filter("changed").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        steps = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+        while True:  # steps of steps, until all are roots
+            far = steps.select(F.col("node").alias("via"), F.col("root").alias("far"))
+            steps = cut(steps.join(far, F.col("root") == F.col("via")).select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+            if steps.filter("moved").isEmpty():
+                break
+            steps = steps.drop("moved")
+        steps = steps.drop("moved")
+        found.append(steps)
+        ends = [steps.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab"]
+        both = cut(both.filter("a <> b").join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        if both.isEmpty():
+            break
+    labels = found.pop()
+    while found:  # roots of a round are nodes of the next, if they have edges there
+        later = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
+        labels = cut(found.pop().join(later, F.col("root") == F.col("via"), "left").select("node", F.coalesce("far", "root").alias("root")))
+    return labels.withColumnRenamed("root", "component")
 
 
 def tracks(matches: DataFrame, min_length: int = 2) -> DataFrame:

@@ -324,6 +324,12 @@ def reached(edges):
     return label
 
 
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(200)], [(i * 7919 % 300, (i + 1) * 7919 % 300) for i in range(250)], [(i * i % 391, i * 17 % 401) for i in range(220)], [(1, 1), (2, 2), (3, 2)]])
+def test_components_of_chains_and_tangles(spark, edges):
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == reached(edges)
+
+
 def test_whole_graphs(spark, whole):
     folder, items, _ = whole
     got = {r.node: r.component for r in queries.components(spark, folder).collect()}
