@@ -69,11 +69,13 @@ class WaveletMatrix:
         planes = np.zeros((levels, chunks * (CHUNK // 8)), np.uint8)
         a = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         for v in range(levels):
-            bit = (a >> (levels - 1 - v)) & 1 > 0
+            bit = (a & a.dtype.type(1 << (levels - 1 - v))) != 0
             planes[v, : -(-len(ids) // 8)] = np.packbits(bit)
-            low = a[~bit]
-            zeros[v] = len(low)
-            a = np.concatenate([low, a[bit]])
+            zeros[v] = n = len(a) - np.count_nonzero(bit)
+            parted = np.empty_like(a)
+            np.compress(~bit, a, out=parted[:n])
+            np.compress(bit, a, out=parted[n:])
+            a = parted
             before[v, 1:] = np.cumsum(np.bitwise_count(planes[v]).reshape(chunks, CHUNK // 8).sum(axis=1, dtype=np.int64))[:-1]
         return cls(len(ids), zeros, before, lambda v, c: planes[v, c * (CHUNK // 8) : (c + 1) * (CHUNK // 8)])
 
