@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, hnsw, jaccard, mixing, packing, quality, topk, toxicity, url_filter, wavelet
+from . import conversations, extract, hnsw, jaccard, mixing, packing, quality, topk, toxicity, url_filter, warc, wavelet, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +73,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer())
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damaged_and_repaired(_table(spark, folder, "conversations"))
+
+
+def op12_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_warc_archive": op12_warc_archive,
+    "op13_whitening": op13_whitening,
 }
 
 _SQL_URL = r"""
@@ -143,4 +158,63 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c16.c, d.doc_id) AS co
 """
 )
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _SQL_JACCARD, "op5_embedding_near_dedup": _SQL_NEAR_VECTORS, "op7_exact_top_k": _SQL_TOP_K, "op8_url_filter": _SQL_URL}
+_SQL_REPAIR = r"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT))) AS t),
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 20 AS kind
+  FROM conversations, crc_table),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hit, range(2) copies(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, substr(role, 1, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM rows),
+told AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS duplicate,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+turns AS MATERIALIZED (SELECT *, blank OR duplicate AS deleted, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated FROM told),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM turns GROUP BY conv_id),
+-- n s u a: nothing yet, after system, after user, after assistant; the letters carry initials
+moves(f, t, ins, r) AS (VALUES ('n', 's', '', 's'), ('n', 'u', '', 'u'), ('s', 'u', '', 'u'), ('a', 'u', '', 'u'), ('u', 'a', '', 'a'), ('u', 'u', 'Ia', 'u'), ('n', 'a', 'Iu', 'a'), ('s', 'a', 'Iu', 'a'), ('a', 'a', 'Iu', 'a')),
+best(conv_id, place, state, b) AS (
+  SELECT conv_id, 0, 'n', {'c': 0, 't': ''} FROM facts
+  UNION ALL
+  SELECT conv_id, place, state, min(b) FROM (
+    SELECT d.conv_id, r.place, d.state, {'c': d.b.c + 3, 't': d.b.t || 'D-'} AS b FROM best d JOIN turns r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.place = d.place + 1
+    UNION ALL
+    SELECT d.conv_id, r.place, m.t, {'c': d.b.c + CASE WHEN m.ins = '' THEN 0 ELSE 2 END + CASE WHEN r.initial = m.r THEN 0 ELSE 2 END + CASE WHEN r.truncated THEN 1 ELSE 0 END,
+      't': d.b.t || m.ins || CASE WHEN r.initial = m.r THEN 'K' ELSE 'R' END || m.r}
+    FROM best d JOIN turns r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.place = d.place + 1 JOIN moves m ON m.f = d.state
+    WHERE NOT r.deleted AND (m.r <> 's' OR r.initial = 's'))
+  GROUP BY ALL),
+ends AS (
+  SELECT f.conv_id, min(CASE WHEN d.state = 'u' THEN {'c': d.b.c + 2, 't': d.b.t || 'Ia'} ELSE d.b END) AS b
+  FROM facts f JOIN best d ON d.conv_id IS NOT DISTINCT FROM f.conv_id AND d.place = f.n WHERE d.state <> 's' GROUP BY f.conv_id),
+edits AS (
+  SELECT conv_id, i, t[2 * i - 1] AS letter, t[2 * i] AS initial, count(*) FILTER (t[2 * i - 1] <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS place
+  FROM (SELECT conv_id, b.t AS t, unnest(range(1, length(b.t) // 2 + 1)) AS i FROM ends)),
+lines AS (
+  SELECT e.conv_id, i, CASE WHEN letter = 'K' THEN r.role WHEN e.initial = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE r.text END AS line
+  FROM edits e LEFT JOIN turns r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.place = e.place WHERE letter <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS text FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+  CAST(coalesce(e.b.c, 0) AS BIGINT) AS cost, coalesce(translate(e.b.t, 'sua-', ''), '') AS audit, sha256(coalesce(x.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+_SQL_WARC = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS keeper,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, url) AS k FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  translate(array_to_string(list_transform(range(4), lambda i: to_base(CAST('0x' || substr(h, CAST(1 + 10 * i AS BIGINT), 10) AS BIGINT), 32, 8)), ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN keeper END AS refers_to
+FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _SQL_JACCARD, "op5_embedding_near_dedup": _SQL_NEAR_VECTORS, "op7_exact_top_k": _SQL_TOP_K, "op8_url_filter": _SQL_URL, "op11_conversation_repair": _SQL_REPAIR, "op12_warc_archive": _SQL_WARC}
