@@ -143,9 +143,8 @@ def _checked(rows: DataFrame) -> DataFrame:
 
 
 def _archive(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    payloads = spark.read.parquet(f"{folder}/payloads")
-    sizes = _parted(payloads.select("key", "n")).select("key", "parts")
-    return _parsed(spark.read.parquet(f"{folder}/heads")), payloads.select("key", _sound(F.col("payload"), F.col("key")).alias("payload")).join(sizes, "key")
+    payloads = spark.read.parquet(f"{folder}/payloads").select("key", "n", _sound(F.col("payload"), F.col("key")).alias("payload"))
+    return _parsed(spark.read.parquet(f"{folder}/heads")), _parted(payloads)
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
