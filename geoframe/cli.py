@@ -73,13 +73,13 @@ def crosscheck(a) -> None:
 
 
 def keyframes(a) -> None:
-    from .operators import frames
+    from .operators import frames, keyframes
 
     table = session().read.parquet(a.frames)
     least = a.min_displacement
     if least is None:
         least = table.agg(F.sum("displacement_to_next")).first()[0] / a.target
-    print(_rows(frames.select_keyframes(table, "video_id", "frame_idx", least, a.window).orderBy("video_id", "pick")))
+    print(_rows(keyframes.select_keyframes(table, "video_id", "frame_idx", least, a.window).orderBy("video_id", "pick")))
 
 
 def sfm(a) -> None:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import geodesy, poses
 from ..functions.linear import at, const, let, vec
 from . import spatial
+from .neighbors import Index
+from .selection import medians
 from .shared import cut
 
 
@@ -73,9 +75,10 @@ def icp(source: DataFrame, target: DataFrame, start: Similarity | None = None, l
     within the radius.  Stops when fewer than ``least`` pairs are left."""
     s = start or Similarity(1.0, np.eye(3), np.zeros(3))
     few = cut(source.select(*spatial.AXES).orderBy(F.xxhash64(*spatial.AXES, F.lit(seed))).limit(sample))
+    index = Index(target, spatial.AXES)
     for radius in np.geomspace(largest, smallest, rounds):
         moved = move_cloud(few, s)
-        near = spatial.nearest(moved, target, float(radius), keep=spatial.AXES).filter("near_x is not null")
+        near = spatial.nearest(moved, index, float(radius), keep=spatial.AXES).filter("near_x is not null")
         pairs = cut(near.select(*[F.col(a).alias(f"s{a}") for a in spatial.AXES], *[F.col(f"near_{a}").alias(f"d{a}") for a in spatial.AXES]))
         if pairs.count() < least:
             break
@@ -141,14 +144,19 @@ def estimate_up(images: DataFrame, points: DataFrame) -> np.ndarray:
     x = [at(F.col("pose.R"), i) for i in range(3)]
     moments = posed.agg(*[F.sum(x[i] * x[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)], *[F.avg(at(poses.center(F.col("pose")), i)).alias(f"c{i}") for i in range(3)]).first()
     m = np.array([[moments[f"m{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
-    scene = points.agg(*[F.median(a) for a in spatial.AXES]).first()
-    above = np.array([moments[f"c{i}"] for i in range(3)]) - np.array(list(scene), float)
+    above = np.array([moments[f"c{i}"] for i in range(3)]) - median_point(points)
     values, vectors = np.linalg.eigh(m)
     up = vectors[:, 0] if values[1] > 0.05 * values[2] else above - (above @ vectors[:, 2]) * vectors[:, 2]
     up = up / np.linalg.norm(up)
     return up if up @ above > 0 else -up
 
 
+def median_point(points: DataFrame) -> np.ndarray:
+    """The medians of the three coordinates."""
+    each = points.select(F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(a).cast("double").alias("v")) for i, a in enumerate(spatial.AXES)])).alias("_s")).select("_s.*")
+    return np.array([r["mid"] for r in medians(each, ["axis"], F.col("v"), "mid").orderBy("axis").collect()], float)  # three rows
+
+
 def rotation_to_z(up: np.ndarray) -> np.ndarray:
     v, c = np.cross(up, [0.0, 0.0, 1.0]), float(up[2])
     if np.linalg.norm(v) < 1e-12:
@@ -162,10 +170,10 @@ def level(images: DataFrame, points: DataFrame, scale: float = 1.0) -> tuple[Dat
     up = estimate_up(images, points)
     r = rotation_to_z(up)
     turned = move_cloud(points, Similarity(1.0, r, np.zeros(3)))
-    mid = np.array(list(turned.agg(*[F.median(a) for a in spatial.AXES]).first()), float)
+    mid = median_point(turned)
     s = Similarity(scale, r, -scale * mid)
     new_images, new_points = move_images(images, s), move_cloud(points, s)
-    ground = new_points.agg(F.median("z").alias("g")).first()["g"]
+    ground = medians(new_points, [], F.col("z"), "g").first()["g"]
     return new_images, new_points, level_summary(new_images, float(ground))
 
 
@@ -173,4 +181,7 @@ def level_summary(images: DataFrame, ground: float) -> DataFrame:
     """One row: cameras, median height over ground, spread of heights, median and largest roll."""
     height = at(poses.center(F.col("pose")), 2)
     roll = F.abs(F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(F.col("pose.R"), 2))))))
-    return images.filter("pose is not null").agg(F.count("*").alias("num_images"), (F.median(height) - ground).alias("median_height"), F.stddev_pop(height).alias("height_std"), F.median(roll).alias("median_roll"), F.max(roll).alias("max_roll"))
+    posed = images.filter("pose is not null").select(F.explode(F.array(F.struct(F.lit("height").alias("what"), (height - ground).alias("v")), F.struct(F.lit("roll").alias("what"), roll.alias("v")))).alias("_s")).select("_s.*")
+    both = medians(posed, ["what"], F.col("v"), "mid", [F.count("*").alias("n"), F.stddev_pop("v").alias("spread"), F.max("v").alias("top")])
+    of = lambda what, c, name: F.max(F.when(F.col("what") == what, F.col(c))).alias(name)
+    return both.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("num_images"), of("height", "mid", "median_height"), of("height", "spread", "height_std"), of("roll", "mid", "median_roll"), of("roll", "top", "max_roll"))

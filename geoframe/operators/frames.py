@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import with_ranks
+from .ranges import with_ranks
 
 
 def displacement_to_previous(frames: DataFrame, video: str, order: list, value: Column) -> DataFrame:
@@ -26,8 +25,10 @@ def motion_threshold(frames: DataFrame, video: str, target: int) -> DataFrame:
 
 
 def pick_keyframes(sharpness: np.ndarray, displacement: np.ndarray, least: float, window: int) -> list[int]:
-    """The sharpest of the first ``window`` frames; then again and again, from where the motion
-    since the last pick reaches ``least``, the sharpest of the next ``window``; ties to the earliest."""
+    """Keyframes of one short video by a scan; ``keyframes.select_keyframes`` gives those of tables.
+
+    The sharpest of the first ``window`` frames; then again and again, from where the motion since
+    the last pick reaches ``least``, the sharpest of the next ``window``; ties to the earliest."""
     n = len(sharpness)
     if not n:
         return []
@@ -43,19 +44,6 @@ def pick_keyframes(sharpness: np.ndarray, displacement: np.ndarray, least: float
     return picks
 
 
-def select_keyframes(frames: DataFrame, video: str, order: str, min_displacement: float, window: int = 5) -> DataFrame:
-    """video, frame order and pick number.  ``frames``: sharpness and displacement_to_next.  A
-    pick depends on the last one, so each video is one group, scanned once."""
-    kind = dict(frames.dtypes)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        picks = pick_keyframes(part["sharpness"].to_numpy(float), part["displacement_to_next"].to_numpy(float), min_displacement, window)
-        return pd.DataFrame({video: part[video].iloc[picks].to_numpy(), order: part[order].iloc[picks].to_numpy(), "pick": np.arange(len(picks))})
-
-    return frames.select(video, order, "sharpness", "displacement_to_next").groupBy(video).applyInPandas(run, f"{video} {kind[video]}, {order} {kind[order]}, pick long")
-
-
 def sharpness(gray: np.ndarray) -> float:
     """Variance of the five-point Laplacian, borders mirrored."""
     g = np.pad(np.asarray(gray, float), 1, mode="symmetric")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, with_ranks
+from .ranges import with_ranks
+from .shared import cut
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras, poses
 from ..functions.linear import at, divide, dot, let, minus, norm, safe_acos, vec
+from .selection import medians, quantiles
 
 
 def pose_auc(errors: DataFrame, thresholds: Sequence[float], column: str = "error") -> DataFrame:
@@ -65,7 +66,7 @@ def trajectory_error(estimate: DataFrame, truth: DataFrame, with_scale: bool = T
     s = align.umeyama(pairs, with_scale)
     moved = poses.similarity_point(s.s, align.matrix_column(s.R), align.vector_column(s.t), vec(F.col("sx"), F.col("sy"), F.col("sz")))
     e = pairs.select(norm(minus(moved, vec(F.col("dx"), F.col("dy"), F.col("dz")))).alias("e"))
-    return e.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.median("e").alias("median"), F.max("e").alias("max"), F.count("*").alias("n")).withColumn("scale", F.lit(s.s))
+    return medians(e, [], F.col("e"), "median", [F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.max("e").alias("max"), F.count("*").alias("n")]).withColumn("scale", F.lit(s.s))
 
 
 def georef_summary(residuals: DataFrame) -> DataFrame:
@@ -107,13 +108,14 @@ def planar_r2(residuals: DataFrame) -> DataFrame:
 def depth_ranges(depths: DataFrame, key: str = "image_id", least: int = 10) -> DataFrame:
     """key, lo, hi: 0.8 of the first and 1.25 of the 99th percentile of positive depths z, for
     views with enough points."""
-    return depths.groupBy(key).agg(F.count("*").alias("n"), F.percentile(F.when(F.col("z") > 0, F.col("z")), F.array(F.lit(0.01), F.lit(0.99))).alias("p")).filter((F.col("n") >= least) & F.col("p").isNotNull()).select(key, (0.8 * F.get("p", F.lit(0))).alias("lo"), (1.25 * F.get("p", F.lit(1))).alias("hi"))
+    ranges = quantiles(depths, [key], F.when(F.col("z") > 0, F.col("z")), [0.01, 0.99], [F.count("*").alias("n")])
+    return ranges.filter((F.col("n") >= least) & F.col("q").isNotNull()).select(key, (0.8 * F.get("q", F.lit(0))).alias("lo"), (1.25 * F.get("q", F.lit(1))).alias("hi"))
 
 
 def ground_sampling_distance(depths: DataFrame, key: str = "image_id", least: int = 10) -> DataFrame:
     """One row: the median over views of the median positive depth over fx."""
-    by = depths.groupBy(key).agg(F.count("*").alias("n"), F.median(F.when(F.col("z") > 0, F.col("z"))).alias("z"), F.first("fx").alias("fx")).filter((F.col("n") >= least) & F.col("z").isNotNull())
-    return by.agg(F.median(F.col("z") / F.col("fx")).alias("gsd"))
+    by = medians(depths, [key], F.when(F.col("z") > 0, F.col("z")), "mid", [F.count("*").alias("n"), F.first("fx").alias("fx")]).filter((F.col("n") >= least) & F.col("mid").isNotNull())
+    return medians(by, [], F.col("mid") / F.col("fx"), "gsd")
 
 
 def model_summary(cams: DataFrame, images: DataFrame, points: DataFrame, observations: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def model_summary(cams: DataFrame, images: DataFrame, points: DataFrame, observa
 
 def numbered_points(existing: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """Gives new points the ids after the largest existing one."""
-    from .shared import with_ranks
+    from .ranges import with_ranks
 
     start = existing.agg(F.coalesce(F.max("point_id"), F.lit(0)).alias("_top"))
     return with_ranks(new, order).crossJoin(F.broadcast(start)).withColumn("point_id", F.col("_top") + F.col("_rank") + 1).drop("_rank", "_top")  # one row

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,17 +18,3 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="geoframe-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def with_ranks(df: DataFrame, order: list[str], name: str = "_rank") -> DataFrame:
-    """Adds a column of ranks from 0 in the given order.  Rows are dealt by ranges and sorted
-    within them; only a count for each range reaches the driver, so no task holds all rows."""
-    spark = df.sparkSession
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    placed = cut(df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
-    before, total = [], 0
-    for r in placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("low")).orderBy("_part").collect():
-        before.append((r["_part"], r["low"], total))
-        total += r["n"]
-    known = spark.createDataFrame(before, "_part int, _low long, _before long")  # a row for each range
-    return placed.join(F.broadcast(known), "_part").withColumn(name, F.col("_place") - F.col("_low") + F.col("_before")).drop("_part", "_place", "_low", "_before")

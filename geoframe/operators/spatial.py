@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neighbors import AXES, Index, k_nearest
+from .selection import medians
 from .shared import cut
 
-AXES = ("x", "y", "z")
-#: Points of one block of a cell.
-BLOCK = 4096
-
 
 def cell(value: Column, size: float, origin: float = 0.0) -> Column:
     return F.floor((value - origin) / size).cast("long")
@@ -50,98 +46,29 @@ def vertical_offset(points: DataFrame, reference: DataFrame, size: float = 1.0)
     origin = corner(points, reference)
 
     def heights(cloud: DataFrame, name: str) -> DataFrame:
-        return cloud.groupBy(cell(F.col("x"), size, origin[0]).alias("cx"), cell(F.col("y"), size, origin[1]).alias("cy")).agg(F.median("z").alias(name))
+        return medians(cloud.select(cell(F.col("x"), size, origin[0]).alias("cx"), cell(F.col("y"), size, origin[1]).alias("cy"), "z"), ["cx", "cy"], F.col("z"), name)
 
     both = heights(points, "a").join(heights(reference, "b"), ["cx", "cy"])
-    return both.agg(F.coalesce(F.median(F.col("a") - F.col("b")), F.lit(float("nan"))).alias("dz"), F.count("*").alias("cells"))
+    return medians(both, [], F.col("a") - F.col("b"), "dz", [F.count("*").alias("cells")]).withColumn("dz", F.coalesce("dz", F.lit(float("nan"))))
 
 
-def nearest(query: DataFrame, reference: DataFrame, radius: float, keep: Sequence[str] = ()) -> DataFrame:
+def nearest(query: DataFrame, reference: DataFrame | Index, radius: float, keep: Sequence[str] = ()) -> DataFrame:
     """``query`` with d, the distance to the nearest reference point, at most ``radius``; columns
-    ``keep`` of that point come as near_<name> (null beyond the radius).
-
-    The reference is spread to the 27 cells around each point, so the join is by equal cells; a
-    cell is as wide as the radius.  The query's rows are told apart by an id of their own."""
-    ids = query.withColumn("_row", F.monotonically_increasing_id())
-    index = [cell(F.col(a), radius).alias(f"c{a}") for a in AXES]
-    shifts = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    spread = reference.select(*[F.col(a).alias(f"r{a}") for a in AXES], *[F.col(c).alias(f"near_{c}") for c in keep], *index, F.explode(shifts).alias("s"))
-    spread = spread.select(*[f"r{a}" for a in AXES], *[f"near_{c}" for c in keep], *[(F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"c{a}") for a in AXES])
-    d2 = sum((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in AXES)
-    near = ids.select("_row", *AXES, *index).join(spread, [f"c{a}" for a in AXES]).withColumn("_d", F.sqrt(d2)).filter(F.col("_d") <= radius)
-    best = near.groupBy("_row").agg(F.min("_d").alias("_d"), *[F.min_by(f"near_{c}", "_d").alias(f"near_{c}") for c in keep])
+    ``keep`` of that point come as near_<name> (null beyond the radius).  An index of the reference
+    that keeps these columns serves many searches."""
+    ids = cut(query.withColumn("_row", F.monotonically_increasing_id()))
+    index = reference if isinstance(reference, Index) else Index(reference, keep)
+    best = index.nearest(ids, 1, float(radius)).select("_row", F.get("ds", F.lit(0)).alias("_d"), *[F.get(c, F.lit(0)).alias(f"near_{c}") for c in keep])
     return ids.join(best, "_row", "left").withColumn("d", F.coalesce("_d", F.lit(float(radius)))).drop("_row", "_d")
 
 
-def _block(df: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with part, so that no more than about BLOCK rows have equal values of ``by`` and part."""
-    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    return df.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int")).drop("parts")
-
-
-def _smallest(neighbours: int, radius: float):
-    """The smallest distances within the radius of the points of one block to those of another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                a, b = (batch.column(c).slice(r, 1).flatten() for c in ("points", "others"))
-                (ia, xa), (ib, xb) = ((p.field("_row").to_numpy(), np.stack([p.field(c).to_numpy() for c in AXES], axis=1)) for p in (a, b))
-                rows, found = [], []
-                for s in range(0, len(ia), 512):
-                    d = np.sqrt(((xa[s : s + 512, None] - xb[None]) ** 2).sum(2))
-                    d[(ia[s : s + 512, None] == ib[None]) | (d > radius)] = np.inf
-                    k = min(neighbours, d.shape[1])
-                    d = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
-                    kept = np.isfinite(d[:, 0])
-                    rows.append(ia[s : s + 512][kept])
-                    found += [v[np.isfinite(v)] for v in d[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(found, pa.list_(pa.float64()))], ["_row", "ds"])
-
-    return run
-
-
-def nearest_distances(cloud: DataFrame, neighbours: int, radius: float) -> DataFrame:
-    """_row and ds, the distances to the nearest other points, ascending; ``cloud``: _row, x, y, z.
-
-    Points and the ones in the 27 cells around them meet in blocks, whose tasks give a few distances
-    a point, so the pairs of a dense cell are no rows.  Points with too few others within the radius
-    look again within twice of it, until the cloud has no more."""
-    spark = cloud.sparkSession
-    box = cloud.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
-    want = min(neighbours, box["n"] - 1)
-    done, open_ = [], cloud
-    if want < 1:
-        return cloud.select("_row", F.array().cast("array<double>").alias("ds"))
-    while True:
-        index = [cell(F.col(a), radius).alias(f"c{a}") for a in AXES]
-        keys = [f"c{a}" for a in AXES]
-        packed = lambda df, by, name: _block(df, by).groupBy(*by, "part").agg(F.collect_list(F.struct("_row", *AXES)).alias(name))  # noqa: B023, E731
-        shifts = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-        others = packed(cloud.select("_row", *AXES, *index), keys, "others").withColumn("s", F.explode(shifts)).select(*[(F.col(k) + F.col(f"s.d{k[1:]}")).alias(k) for k in keys], "others")
-        pairs = packed(open_.select("_row", *AXES, *index), keys, "points").join(others, keys).select("points", "others")
-        tasks = spark.sparkContext.defaultParallelism * 4
-        found = pairs.repartition(tasks).mapInArrow(_smallest(want, float(radius)), "_row long, ds array<double>")
-        merged = cut(found.groupBy("_row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, want).alias("ds")))
-        done.append(merged.filter(F.size("ds") >= want))
-        open_ = cut(open_.join(done[-1].select("_row"), "_row", "left_anti"))
-        if open_.isEmpty():
-            break
-        radius *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def remove_outliers(cloud: DataFrame, neighbours: int, sigma: float, radius: float) -> DataFrame:
+def remove_outliers(cloud: DataFrame, neighbours: int, sigma: float) -> DataFrame:
     """Drops points whose mean distance to their nearest neighbours is more than sigma standard
-    deviations over the cloud's mean.  ``radius``: where neighbours are looked for at first; it
-    changes the work, not the result."""
+    deviations over the cloud's mean."""
     ids = cut(cloud.withColumn("_row", F.monotonically_increasing_id()))
-    near = nearest_distances(ids.select("_row", *[F.col(a).cast("double").alias(a) for a in AXES]), neighbours, radius)
+    near = k_nearest(ids, ids.select("_row", *AXES), neighbours, itself=True)
     mean = F.coalesce(F.try_divide(F.aggregate("ds", F.lit(0.0), lambda a, x: a + x), F.size("ds")), F.lit(0.0))
-    scored = ids.join(near.select("_row", mean.alias("_m")), "_row")
+    scored = cut(ids.join(near.select("_row", mean.alias("_m")), "_row"))
     limits = scored.agg(F.avg("_m").alias("_avg"), F.coalesce(F.stddev("_m"), F.lit(0.0)).alias("_std"))
     return scored.crossJoin(F.broadcast(limits)).filter(F.col("_m") <= F.col("_avg") + sigma * F.col("_std")).drop("_row", "_m", "_avg", "_std")  # one row
 
@@ -172,4 +99,4 @@ def sparse_dense_agreement(sparse: DataFrame, dense: DataFrame, unit: float, mul
     share within each multiple of the unit."""
     inside = footprint_crop(sparse, dense, size)
     d = nearest(inside, dense, 100 * unit).select((F.col("d") / unit).alias("u"))
-    return d.agg(F.count("*").alias("in_footprint"), F.median("u").alias("median_units"), *[F.avg(F.when(F.col("u") <= m, 1.0).otherwise(0.0)).alias(f"within_{m:g}") for m in multiples])
+    return medians(d, [], F.col("u"), "median_units", [F.count("*").alias("in_footprint"), *[F.avg(F.when(F.col("u") <= m, 1.0).otherwise(0.0)).alias(f"within_{m:g}") for m in multiples]])

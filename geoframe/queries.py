@@ -15,6 +15,8 @@ from . import synthetic
 from .functions import cameras, geodesy, poses
 from .functions.linear import at, const, dot, norm, vec
 from .operators import align, frames, graph, matching, metrics, spatial
+from .operators import keyframes as keyframe_picks
+from .operators.ranges import with_ranks
 from .plans import mvs, sfm
 from .plans.model import Model
 
@@ -75,13 +77,13 @@ def footprint_crop(spark, folder):
     return spatial.footprint_crop(points, reference, 2.0).select("p_partkey")
 
 
-@query("""WITH c AS (SELECT l_returnflag AS f, l_quantity AS x, l_tax * 100 AS y, l_extendedprice AS z FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+@query("""WITH c AS (SELECT l_returnflag = 'R' AS f, l_quantity AS x, l_tax * 100 AS y, l_extendedprice AS z FROM lineitem),
 o AS (SELECT min(x) AS x0, min(y) AS y0 FROM c),
 h AS (SELECT f, floor((x - x0) / 1) AS cx, floor((y - y0) / 1) AS cy, median(z) AS z FROM c, o GROUP BY ALL)
-SELECT round(median(a.z - b.z), 4) + 0.0 AS dz, count(*) AS cells FROM h a JOIN h b ON a.f = 'A' AND b.f = 'R' AND a.cx = b.cx AND a.cy = b.cy""")
+SELECT round(median(a.z - b.z), 4) + 0.0 AS dz, count(*) AS cells FROM h a JOIN h b ON NOT a.f AND b.f AND a.cx = b.cx AND a.cy = b.cy""")
 def vertical_offset(spark, folder):
     c = table(spark, folder, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_tax") * 100).alias("y"), F.col("l_extendedprice").alias("z"))
-    return spatial.vertical_offset(c.filter("l_returnflag = 'A'"), c.filter("l_returnflag = 'R'"), 1.0).select(r(F.col("dz"), 4).alias("dz"), "cells")
+    return spatial.vertical_offset(c.filter("l_returnflag <> 'R'"), c.filter("l_returnflag = 'R'"), 1.0).select(r(F.col("dz"), 4).alias("dz"), "cells")
 
 
 def _dims(spark, folder, odd: int):
@@ -125,7 +127,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM p),
 m AS (SELECT vec_id, avg(d) AS m FROM k WHERE k <= 5 GROUP BY vec_id)
 SELECT vec_id FROM m WHERE m <= (SELECT avg(m) + 1.0 * stddev(m) FROM m)""")
 def remove_outliers(spark, folder):
-    return spatial.remove_outliers(_dims(spark, folder, 0).unionByName(_dims(spark, folder, 1)), 5, 1.0, 0.05).select("vec_id")
+    return spatial.remove_outliers(_dims(spark, folder, 0).unionByName(_dims(spark, folder, 1)), 5, 1.0).select("vec_id")
 
 
 # -- descriptors, pairs, tracks
@@ -270,7 +272,20 @@ g(user_id, frame, pick) AS (SELECT user_id, arg_max(k, (value, -k)), CAST(0 AS B
 SELECT user_id, CAST(frame AS BIGINT) AS frame, pick FROM g""")
 def keyframes(spark, folder):
     f = _frames(spark, folder).select("user_id", "frame", F.col("value").alias("sharpness"), F.floor("value").cast("double").alias("displacement_to_next"))
-    return frames.select_keyframes(f, "user_id", "frame", 300.0, 5)
+    return keyframe_picks.select_keyframes(f, "user_id", "frame", 300.0, 5)
+
+
+@query("""WITH RECURSIVE f AS (SELECT value, CAST(floor(value) AS BIGINT) AS d, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events),
+p AS MATERIALIZED (SELECT k, value, coalesce(sum(d) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM f),
+u AS (SELECT m, min(k) AS k FROM p GROUP BY m),
+j AS (SELECT a.k, u.k AS j FROM (SELECT k, m + 300 AS v FROM p) a ASOF JOIN u ON u.m >= a.v),
+t AS MATERIALIZED (SELECT w.k, arg_max(p.k, (p.value, -p.k)) AS next FROM (SELECT k, unnest(range(j, j + 9)) AS near FROM j) w JOIN p ON p.k = w.near GROUP BY 1),
+g(frame, pick) AS (SELECT arg_max(k, (value, -k)), CAST(0 AS BIGINT) FROM p WHERE k < 9 UNION ALL SELECT t.next, g.pick + 1 FROM g JOIN t ON t.k = g.frame)
+SELECT 0 AS video, CAST(frame AS BIGINT) AS frame, pick FROM g""")
+def keyframes_one_video(spark, folder):
+    """All events as one video: its frames are ranked and picked by ranges."""
+    f = with_ranks(table(spark, folder, "events").select("ts", "event_id", "value"), ["ts", "event_id"], "frame")
+    return keyframe_picks.select_keyframes(f.select(F.lit(0).alias("video"), "frame", F.col("value").alias("sharpness"), F.floor("value").cast("double").alias("displacement_to_next")), "video", "frame", 300.0, 9)
 
 
 _MOVED = f"{_FRAMES}, m AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY k)) AS displacement FROM f)"

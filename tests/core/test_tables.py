@@ -9,7 +9,7 @@ from geoframe.functions import cameras, geodesy, poses
 from geoframe.functions.linear import at, const, vec
 from geoframe.kernels import bundle
 from geoframe.kernels.rigid import Cam, angle_deg, rotation
-from geoframe.operators import align, frames, graph, matching, metrics, spatial
+from geoframe.operators import align, frames, graph, keyframes, matching, metrics, spatial
 from geoframe.plans import mvs, sfm
 from geoframe.plans.model import Model
 from geoframe.sources import clouds, colmap, photos
@@ -138,7 +138,7 @@ def test_selection(spark):
     names = spark.createDataFrame([(f"{i:03d}",) for i in range(17)], "name string")
     assert sorted(r["name"] for r in frames.holdout_split(names, "name", 8).filter("is_test").collect()) == ["000", "008", "016"]
     assert frames.sample_rows(names, 5, "name").count() == 5
-    got = frames.select_keyframes(spark.createDataFrame([("v", i, 1.0, 1.0) for i in range(31)], "video string, f long, sharpness double, displacement_to_next double"), "video", "f", 10.0, 1)
+    got = keyframes.select_keyframes(spark.createDataFrame([("v", i, 1.0, 1.0) for i in range(31)], "video string, f long, sharpness double, displacement_to_next double"), "video", "f", 10.0, 1)
     assert sorted(r.f for r in got.collect()) == [0, 10, 20, 30]
 
 
