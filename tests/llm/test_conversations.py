@@ -76,12 +76,12 @@ def test_blocks_of_any_size_give_the_same_trace(spark):
 
 
 def test_a_conversation_of_thousands_of_turns(spark):
-    rows = [(1, t, "user" if t % 3 else "assistant", f"Turn {t}.") for t in range(6000)]
+    rows = [(1, t, "user" if t % 3 else "assistant", f"Turn {t}.") for t in range(2000)]
     got = solved(spark, rows)[1]
     letters = re.sub("I", "", got.audit)
-    assert len(letters) == 6000 and got.gaps == 0
+    assert len(letters) == 2000 and got.gaps == 0
     # u before a, then (u u a) repeated: one edit a group suffices, and an Insert is the cheapest
-    assert got.cost == 2 * got.audit.count("I") + 2 * got.audit.count("R") + 3 * got.audit.count("D") and got.cost <= 2 * 2001
+    assert got.cost == 2 * got.audit.count("I") + 2 * got.audit.count("R") + 3 * got.audit.count("D") and got.cost <= 2 * 667
     roles = "".join(x[0] for x in got.repaired.split("\n"))
     assert re.fullmatch("(ua)+", roles)
 
@@ -110,9 +110,9 @@ def test_nulls_ties_gaps_and_repeated_rows(spark):
     got = solved(spark, rows)
     # turns 3 and 7: a span of 5 with 2 numbers; of turn 7 the assistant's row comes first
     assert got[1].gaps == 3 and got[1].duplicate == 1 and got[1].illegal == 2
-    assert (got[1].cost, got[1].audit) == brute_force([("user", "A."), ("assistant", "B."), ("assistant", "D."), ("user", "C."), ("user", "C.")])[:2]
+    assert (got[1].cost, got[1].audit) == (7, "KKIKKDI")
     assert (got[2].gaps, got[2].blank, got[2].audit, got[2].cost, got[2].repaired) == (0, 2, "DD", 6, "")
-    assert got[None].audit == "RR" or got[None].cost == brute_force([("assistant", "Hm."), ("user", "Hm.")])[0]
+    assert got[None].audit == brute_force([("assistant", "Hm."), ("user", "Hm.")])[1] == "IKKI"
 
 
 def test_conversations_without_rows_empty_tables_and_clashing_columns(spark):
