@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import poses
 from ..functions.cameras import root_sift
 from ..functions.linear import at
+from . import pivots
+from .ranges import every_pair
 
 #: Distances in one matrix product of the matching kernel.
 TILE = 1 << 22
-#: Descriptors in one block of ``match_sets``.
-SET_BLOCK = 4096
 
 
 def image_pairs(images: DataFrame, band: int = 0) -> DataFrame:
@@ -24,7 +24,7 @@ def image_pairs(images: DataFrame, band: int = 0) -> DataFrame:
     blocks of ids, each block with itself and the next."""
     ids = images.select(F.col("image_id").cast("long").alias("image_a"))
     if not band:
-        return ids.join(ids.withColumnRenamed("image_a", "image_b"), F.col("image_a") < F.col("image_b"))
+        return every_pair(ids, ids.withColumnRenamed("image_a", "image_b")).filter("image_a < image_b")
     left = ids.withColumn("block", F.floor(F.col("image_a") / band))
     right = ids.select(F.col("image_a").alias("image_b")).withColumn("block", F.explode(F.array(F.floor(F.col("image_b") / band), F.floor(F.col("image_b") / band) - 1)))
     return left.join(right, "block").filter((F.col("image_a") < F.col("image_b")) & (F.col("image_b") - F.col("image_a") <= band)).select("image_a", "image_b").distinct()
@@ -79,68 +79,22 @@ def match_descriptors(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0
     return both.repartition(tasks, "image_a", "image_b").mapInArrow(run, "image_a long, image_b long, kp_a long, kp_b long")
 
 
-def _packed(side: DataFrame, name: str) -> DataFrame:
-    """Blocks of about SET_BLOCK descriptors as one row each."""
-    blocks = max(1, -(-side.count() // SET_BLOCK))
-    key = F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias(f"block_{name}")
-    return side.select(F.col("idx").cast("long").alias("idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias(name))
-
-
-def _nearest_of(a: np.ndarray, b: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k rows of b (fewer if there are fewer) that are nearest to each row of a, by distance and id.
-
-    A product finds a few candidates, differences give their distances."""
-    some = min(len(b), k + 2)
-    ids, distances = np.empty((len(a), min(k, some)), np.int64), np.empty((len(a), min(k, some)))
-    norms = (b**2).sum(1)
-    for s in range(0, len(a), max(1, TILE // len(b))):
-        part = a[s : s + max(1, TILE // len(b))]
-        near = np.argpartition(norms - 2 * part @ b.T, some - 1, axis=1)[:, :some]
-        d = np.sqrt(((part[:, None] - b[near]) ** 2).sum(2))
-        order = np.lexsort((idx[near], d), axis=1)[:, : ids.shape[1]]
-        rows = slice(s, s + len(part))
-        ids[rows], distances[rows] = np.take_along_axis(idx[near], order, 1), np.take_along_axis(d, order, 1)
-    return ids, distances
-
-
 def _side(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of one row's list."""
     vectors = rows.field("vec")
     return rows.field("idx").to_numpy(), np.asarray(vectors.flatten()).reshape(len(vectors), -1)
 
 
-def _match_blocks(mutual: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                (ia, a), (ib, b) = (_side(batch.column(c).slice(r, 1).flatten()) for c in "ab")
-                found = [(False, ia, *_nearest_of(a, b, ib, 2))]
-                if mutual:
-                    found.append((True, ib, *_nearest_of(b, a, ia, 1)))
-                for back, own, near, d in found:
-                    second = d[:, 1] if d.shape[1] > 1 else np.full(len(own), np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), back)), pa.array(own), pa.array(near[:, 0]), pa.array(d[:, 0]), pa.array(second)], ["back", "own", "near", "d", "second"])
-
-    return run
-
-
 def match_sets(a: DataFrame, b: DataFrame, ratio: float = 0.8, mutual: bool = True) -> DataFrame:
     """The same for two descriptor tables (idx, vec) of any size: i, j.
 
-    Both are cut into blocks; a task compares two blocks by matrix products and gives the best two
-    of each row, which are merged over the blocks.  No pair of rows is ever a row of a table."""
-    left, right = _packed(a, "a"), _packed(b, "b")
-    every = right.select("block_b").agg(F.collect_list("block_b").alias("every"))  # a number for each block
-    pairs = left.crossJoin(F.broadcast(every)).withColumn("block_b", F.explode("every")).join(right, "block_b").select("a", "b")
-    tasks = a.sparkSession.sparkContext.defaultParallelism * 4
-    best = pairs.repartition(tasks).mapInArrow(_match_blocks(mutual), "back boolean, own long, near long, d double, second double")
-    # the second smallest is the second one of the best block or the best of another
-    merged = best.groupBy("back", "own").agg(F.min(F.struct("d", "near", "second")).alias("m"), F.array_sort(F.collect_list("d")).alias("ds"))
-    second = F.least(F.col("m.second"), F.coalesce(F.get("ds", F.lit(1)), F.lit(float("inf"))))
-    one = merged.filter(~F.col("back") & (F.col("m.d") < ratio * second) & (second < float("inf"))).select(F.col("own").alias("i"), F.col("m.near").alias("j"))
+    Pivots bound which blocks of rows have to be compared; no pair of rows is ever a row of a table."""
+    two = pivots.k_nearest(a, b, 2)
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    one = two.filter(first["d"] < ratio * second["d"]).select(F.col("own").alias("i"), first["near"].alias("j"))
     if not mutual:
         return one
-    return one.join(merged.filter("back").select(F.col("own").alias("j"), F.col("m.near").alias("i")), ["i", "j"])
+    return one.join(pivots.k_nearest(b, a, 1).select(F.col("own").alias("j"), first["near"].alias("i")), ["i", "j"])
 
 
 def shared_points(keypoints: DataFrame, a: int, b: int) -> DataFrame:

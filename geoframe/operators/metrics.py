@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras, poses
 from ..functions.linear import at, divide, dot, let, minus, norm, safe_acos, vec
+from .ranges import every_pair
 from .selection import medians, quantiles
 
 
@@ -25,7 +26,7 @@ def relative_pose_errors(estimate: DataFrame, truth: DataFrame) -> DataFrame:
     both = estimate.filter("pose is not null").groupBy("name").agg(F.first("pose").alias("e")).join(truth.filter("pose is not null").groupBy("name").agg(F.first("pose").alias("t")), "name")
     i = both.select(F.col("name").alias("name_i"), F.col("e").alias("ei"), F.col("t").alias("ti"))
     j = both.select(F.col("name").alias("name_j"), F.col("e").alias("ej"), F.col("t").alias("tj"))
-    pairs = i.join(j, F.col("name_i") < F.col("name_j")).select("name_i", "name_j", poses.relative(F.col("ei"), F.col("ej")).alias("e"), poses.relative(F.col("ti"), F.col("tj")).alias("t"))
+    pairs = every_pair(i, j).filter("name_i < name_j").select("name_i", "name_j", poses.relative(F.col("ei"), F.col("ej")).alias("e"), poses.relative(F.col("ti"), F.col("tj")).alias("t"))
 
     def direction(a: Column, b: Column) -> Column:
         lengths = let(F.struct(norm(a).alias("a"), norm(b).alias("b")), lambda n: F.when((n["a"] < 1e-12) | (n["b"] < 1e-12), F.lit(180.0)).otherwise(F.degrees(safe_acos(divide(dot(a, b), n["a"] * n["b"])))))

@@ -46,3 +46,15 @@ def with_ranks(df: DataFrame, order: list[str], name: str = "_rank") -> DataFram
     driver, so no task holds all rows."""
     ranged = in_ranges(df, order)
     return ranged.join(F.broadcast(starts(ranged)), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "n", "_start")  # a row for each range
+
+
+def every_pair(left: DataFrame, right: DataFrame, size: int = 1000) -> DataFrame:
+    """Each row of ``left`` with each of ``right`` (with other column names), for results that are
+    all pairs.  Both are dealt into blocks of about ``size`` rows and joined by equal pairs of
+    blocks, so copies of rows are few against the pairs and the pairs of two blocks are one task's."""
+    blocks = max(1, -(-max(left.count(), right.count()) // size))
+    place = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = left.withColumn("_i", place(left)).withColumn("_j", others)
+    b = right.withColumn("_j", place(right)).withColumn("_i", others)
+    return a.join(b, ["_i", "_j"]).drop("_i", "_j")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from geoframe.operators import keyframes, neighbors, ranges, selection, spatial
+from geoframe.operators import keyframes, matching, neighbors, pivots, ranges, selection, spatial
 from geoframe.operators.frames import pick_keyframes
 
 FRAMES = "video string, f long, sharpness double, displacement_to_next double"
@@ -107,3 +107,43 @@ def test_a_dense_cell_and_equal_points_stay_small(spark, monkeypatch):
 def test_nearest_of_empty_clouds(spark):
     some, none = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double"), spark.createDataFrame([], "x double, y double, z double")
     assert [r.d for r in spatial.nearest(some, none, 2.0).collect()] == [2.0] and spatial.nearest(none, some, 2.0).collect() == []
+
+
+def vectors(spark, v):
+    return spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(v)), "vec": v.tolist()}))
+
+
+def test_the_nearest_rows_equal_all_pairs_and_fewer_are_compared(spark, monkeypatch):
+    """Forty clusters in 16 dimensions, with equal rows and ties."""
+    monkeypatch.setattr(pivots, "BLOCK", 100)
+    monkeypatch.setattr(pivots, "QUERIES", 300)
+    dice = np.random.default_rng(1)
+    centers = dice.normal(size=(40, 16)) * 10
+    a, b = (np.round(centers[dice.integers(0, 40, n)] + dice.normal(size=(n, 16)) * 0.3, 2) for n in (900, 2000))
+    b[500:520], a[:3] = b[7], b[7]
+    got = {r.own: r for r in pivots.k_nearest(vectors(spark, a), vectors(spark, b), 2).collect()}
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert len(got) == len(a)
+    for i, r in got.items():
+        order = np.lexsort((np.arange(len(b)), d[i]))[:2]
+        assert [x.near for x in r.best] == order.tolist() and np.allclose([x.d for x in r.best], d[i][order], rtol=1e-12)
+    assert sum(r.compared for r in got.values()) < 0.4 * d.size
+
+
+def test_vectors_without_structure_and_small_tables(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 50)
+    dice = np.random.default_rng(2)
+    a, b = dice.normal(size=(60, 32)), dice.normal(size=(300, 32))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    got = {r.own: [x.near for x in r.best] for r in pivots.k_nearest(vectors(spark, a), vectors(spark, b), 3).collect()}
+    assert got == {i: np.argsort(row)[:3].tolist() for i, row in enumerate(d)}
+    one = pivots.k_nearest(vectors(spark, a), vectors(spark, b[:1]), 2).collect()
+    assert len(one) == 60 and all(len(r.best) == 1 for r in one)
+    assert matching.match_sets(vectors(spark, a), vectors(spark, b[:1])).collect() == []
+    assert pivots.k_nearest(vectors(spark, a), vectors(spark, b).limit(0), 2).collect() == []
+
+
+def test_every_pair_once(spark):
+    left = spark.range(70).withColumnRenamed("id", "a")
+    got = ranges.every_pair(left, left.withColumnRenamed("a", "b"), 9)
+    assert got.count() == 4900 == got.distinct().count()

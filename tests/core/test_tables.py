@@ -10,7 +10,7 @@ from geoframe.functions.linear import at, const, vec
 from geoframe.kernels import bundle
 from geoframe.kernels.rigid import Cam, angle_deg, rotation
 from geoframe.operators import align, frames, graph, keyframes, matching, metrics, spatial
-from geoframe.plans import mvs, sfm
+from geoframe.plans import conjugate, mvs, sfm
 from geoframe.plans.model import Model
 from geoframe.sources import clouds, colmap, photos
 from geoframe.streaming import voxels
@@ -163,6 +163,7 @@ def test_reconstruction(spark):
 
 @pytest.mark.parametrize("dense", [300, 0])
 def test_distributed_adjustment(spark, monkeypatch, dense):
+    """The driver solves for the step as one matrix, or by conjugate gradients."""
     monkeypatch.setattr(bundle, "DENSE", dense)
     m = scene(spark, 5, 0.0)
     moved = m.with_(points=m.points.withColumns({c: F.col(c) + 0.3 * synthetic.gauss(i, "point_id") for i, c in enumerate("xyz")}))
@@ -173,6 +174,33 @@ def test_distributed_adjustment(spark, monkeypatch, dense):
     assert metrics.point_errors(residuals).count() == m.observations.select("point_id").distinct().count()
 
 
+def test_blocks_that_stay_a_table_give_the_same_step(spark, monkeypatch):
+    m = scene(spark, 4, 0.0)
+    moved = m.with_(points=m.points.withColumns({c: F.col(c) + 0.3 * synthetic.gauss(i, "point_id") for i, c in enumerate("xyz")}))
+    here, report = sfm.bundle_adjust(moved, (1, 2), rounds=1)
+    monkeypatch.setattr(sfm, "SPREAD", 0)
+    spread, other = sfm.bundle_adjust(moved, (1, 2), rounds=1)
+    assert abs(report["final_rmse"] - other["final_rmse"]) < 1e-6 and report["final_rmse"] < report["initial_rmse"]
+    a, b = (np.array([r.pose.t for r in x.images.orderBy("image_id").collect()]) for x in (here, spread))
+    assert np.allclose(a, b, atol=1e-5)
+
+
+def test_conjugate_gradients_by_joins(spark):
+    dice, n = np.random.default_rng(3), 40
+    whole = np.zeros((6 * n, 6 * n))
+    for i in range(n):
+        for j in {i, (i + 1) % n, (i + 7) % n}:
+            a = dice.normal(size=(6, 6)) * (0.15 if i != j else 0)
+            whole[6 * i : 6 * i + 6, 6 * j : 6 * j + 6] += a
+            whole[6 * j : 6 * j + 6, 6 * i : 6 * i + 6] += a.T
+    whole += 4 * np.eye(6 * n)
+    rows = [(i, j, whole[6 * i : 6 * i + 6, 6 * j : 6 * j + 6].ravel().tolist()) for i in range(n) for j in range(n) if whole[6 * i : 6 * i + 6, 6 * j : 6 * j + 6].any()]
+    g = dice.normal(size=(n, 6))
+    g[5] = 0
+    got = conjugate.Spread(spark.createDataFrame(rows, "i long, j long, block array<double>"), g).solved()
+    assert np.allclose(got, np.linalg.solve(whole, g.ravel()), atol=1e-4)
+
+
 def test_fusion_forms_agree(spark):
     cam = synthetic.default_camera(spark, 40, 30, 60.0)
     images = synthetic.survey(spark, 1, 3, 5.0, 40.0)
