@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels import flow
 from .ranges import with_ranks
 
 
@@ -50,15 +54,24 @@ def sharpness(gray: np.ndarray) -> float:
     return float(np.var(g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]))
 
 
-def shift_between(a: np.ndarray, b: np.ndarray) -> float:
-    """Length of the shift between two frames by phase correlation (0 without texture)."""
-    fa, fb = np.fft.rfft2(a - a.mean()), np.fft.rfft2(b - b.mean())
-    cross = fa.conj() * fb
-    if not np.abs(cross).max() > 1e-12:
-        return 0.0
-    peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), s=a.shape)
-    at = np.unravel_index(int(peak.argmax()), peak.shape)
-    return float(np.hypot(*[i - n if i > n // 2 else i for i, n in zip(at, a.shape, strict=True)]))
+def tracked_displacement(images: DataFrame, video: str, order: str, most: int = flow.CORNERS) -> DataFrame:
+    """video, order and displacement_to_next of frames (height, width, gray as 32-bit floats): the
+    median shift of tracked corners, null for the last frame.  Only keys are ordered; images meet
+    their successor in a join, and each pair is tracked by itself."""
+    kinds = dict(images.dtypes)
+    keys = images.select(video, order).withColumn("_next", F.lead(order).over(Window.partitionBy(video).orderBy(order)))
+    pixels = ["height", "width", "gray"]
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in pixels]
+    pairs = keys.join(images.select(video, order, *named("a")), [video, order]).join(images.select(F.col(video).alias("_video"), F.col(order).alias("_order"), *named("b")), F.col(video).eqNullSafe(F.col("_video")) & (F.col("_next") == F.col("_order")), "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            image = lambda r, side: np.frombuffer(r[f"gray_{side}"], np.float32).reshape(int(r[f"height_{side}"]), int(r[f"width_{side}"]))
+            found = [None if r["gray_b"] is None else flow.displacement(image(r, "a"), image(r, "b"), most) for r in f.to_dict("records")]
+            yield pd.DataFrame({video: f[video], order: f[order], "displacement_to_next": pd.array(found, "Float64")})
+
+    columns = [video, order, *(f"{c}_{s}" for s in "ab" for c in pixels)]
+    return pairs.select(*columns).mapInPandas(run, f"{video} {kinds[video]}, {order} {kinds[order]}, displacement_to_next double")
 
 
 def holdout_split(names: DataFrame, column: str, every: int = 8) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Point clouds as ASCII PLY, and loading by suffix."""
+"""Point clouds as ASCII PLY, and loading by suffix (PLY, LAS or Parquet)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linear import at
+from . import records
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
@@ -50,5 +51,5 @@ def load_points(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".ply"):
         return read_ply(spark, path)
     if path.endswith((".las", ".laz")):
-        raise NotImplementedError("LAS files need a reader that isn't installed here")
+        return records.read(spark, records.LasPoints, path)
     return spark.read.parquet(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cameras, poses
 from ..functions.linear import at
 from ..plans.model import Model
+from . import records
 
 HEADERS = {
     "cameras": "# CAMERA_ID, MODEL, WIDTH, HEIGHT, PARAMS[]",
@@ -65,48 +65,15 @@ class _Cursor:
         self.at += struct.calcsize(f"<{layout}")
         return found
 
-    def array(self, kind: np.dtype, n: int) -> np.ndarray:
-        found = np.frombuffer(self.data, kind, n, self.at)
-        self.at += found.nbytes
-        return found
-
-    def text(self) -> str:
-        end = self.data.index(b"\0", self.at)
-        found, self.at = self.data[self.at : end].decode(), end + 1
-        return found
-
 
 def _binary_cameras(data: bytes) -> list[tuple]:
     c, rows = _Cursor(data), []
     for _ in range(c.take("Q")[0]):
         camera_id, model, width, height = c.take("iiQQ")
-        name, n = BINARY_MODELS.get(model, (f"number {model}", 0))
+        if model not in BINARY_MODELS:
+            raise ValueError(f"camera model number {model} isn't known")
+        name, n = BINARY_MODELS[model]
         rows.append((camera_id, name, width, height, list(c.take(f"{n}d"))))
-        if not n:
-            break  # its size isn't known; reading the model's parameters raises an error
-    return rows
-
-
-_SPOT = np.dtype([("x", "<f8"), ("y", "<f8"), ("p", "<i8")])
-_SEEN = np.dtype([("image", "<i4"), ("spot", "<i4")])
-
-
-def _binary_images(data: bytes) -> list[tuple]:
-    c, rows = _Cursor(data), []
-    for _ in range(c.take("Q")[0]):
-        image_id, *pose, camera_id = c.take("i7di")
-        name, (n,) = c.text(), c.take("Q")
-        spots = c.array(_SPOT, n)
-        rows.append((image_id, pose[:4], pose[4:], camera_id, name, list(zip(spots["x"].tolist(), spots["y"].tolist(), spots["p"].tolist(), strict=True))))
-    return rows
-
-
-def _binary_points(data: bytes) -> list[tuple]:
-    c, rows = _Cursor(data), []
-    for _ in range(c.take("Q")[0]):
-        point_id, x, y, z, r, g, b, error, n = c.take("Q3d3BdQ")
-        seen = c.array(_SEEN, n)
-        rows.append((point_id, x, y, z, r, g, b, error, list(zip(seen["image"].tolist(), seen["spot"].tolist(), strict=True))))
     return rows
 
 
@@ -124,10 +91,10 @@ def _binary(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 def _read_binary(spark: SparkSession, folder: str) -> Model:
     cams = _binary(spark, f"{folder}/cameras.bin", _binary_cameras, "camera_id long; model string; width int; height int; p array<double>")
     cams = cams.select("camera_id", cameras.model_parameters(F.col("model"), F.col("width"), F.col("height"), F.col("p")).alias("c")).select("camera_id", "c.*")
-    raw = _binary(spark, f"{folder}/images.bin", _binary_images, "image_id long; q array<double>; t array<double>; camera_id long; name string; spots array<struct<u:double,v:double,p:long>>")
+    raw = records.read(spark, records.ModelImages, f"{folder}/images.bin")
     images = raw.select("image_id", "camera_id", "name", poses.pose(poses.from_quaternion(F.col("q")), F.col("t")).alias("pose"))
     keypoints = raw.select("image_id", F.posexplode("spots").alias("kp_idx", "s")).select("image_id", F.col("kp_idx").cast("long").alias("kp_idx"), "s.u", "s.v", F.when(F.col("s.p") >= 0, F.col("s.p")).alias("point3d_id"))
-    raw = _binary(spark, f"{folder}/points3D.bin", _binary_points, "point_id long; x double; y double; z double; r short; g short; b short; error double; seen array<struct<image_id:long,kp_idx:long>>")
+    raw = records.read(spark, records.ModelPoints, f"{folder}/points3D.bin")
     observations = raw.select("point_id", F.explode("seen").alias("o")).select("point_id", "o.image_id", "o.kp_idx")
     return Model(cams, images, keypoints, raw.drop("seen"), observations)
 

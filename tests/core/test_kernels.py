@@ -7,7 +7,8 @@ from geoframe.kernels.consensus import consensus, draws_needed
 from geoframe.kernels.resection import linear, refine, residuals, robust_pose, three_points
 from geoframe.kernels.rigid import Cam, align, angle_deg, closest_rotation, pixels, ray_angles, rotation, skew, undistorted
 from geoframe.kernels.twoview import essential, five_points, fundamental, homography, mapped, motions, relative_pose, robust_homography, sampson, transfer_error, triangulate, triangulate_many
-from geoframe.operators.frames import pick_keyframes, sharpness, shift_between
+from geoframe.kernels import flow
+from geoframe.operators.frames import pick_keyframes, sharpness
 from geoframe.operators.matching import match_kernel
 
 CAM = Cam(640, 480, 500.0, 505.0, 320.0, 240.0, -0.05, 0.01)
@@ -206,7 +207,6 @@ def test_frame_scores():
     rng = np.random.default_rng(9)
     a = rng.random((64, 64))
     assert sharpness(a) > sharpness(stereo.box_mean(a, 5)) and abs(sharpness(a) - sharpness(a + 5)) < 1e-9
-    assert abs(shift_between(a, np.roll(a, (3, -4), (0, 1))) - 5) < 1e-9 and shift_between(a * 0, a * 0) == 0
 
 
 def test_matching_kernel():
@@ -239,3 +239,42 @@ def test_reduced_system_by_blocks(monkeypatch):
         if n < 10:
             monkeypatch.setattr(bundle, "DENSE", 300)
             np.testing.assert_allclose(r.solved().reshape(n, 6), x, atol=1e-4)
+
+
+def textured(h, w, seed=1):
+    """Smooth random texture with coarse and fine structure, as photos have; large shifts are found by
+    the coarse one (with the fine one alone, shifts beyond a few pixels can't be)."""
+    rng, out = np.random.default_rng(seed), np.zeros((h, w))
+    y, x = np.mgrid[:h, :w].astype(float)
+    for size in (4, 8, 16, 32):
+        coarse = rng.random((h // size + 3, w // size + 3))
+        out += size**0.5 * flow.sampled(coarse, x / size, y / size)[0]
+    for _ in range(2):
+        out = sum(np.roll(out, s, a) for s, a in ((0, 0), (1, 0), (-1, 0), (1, 1), (-1, 1))) / 5
+    return (out - out.min()) / np.ptp(out)
+
+
+def test_corners_are_apart_and_strong():
+    x = np.zeros((60, 80))
+    x[20:40, 30:60] = 1
+    found = flow.corners(x)
+    assert len(found) == 4 and all(np.hypot(*(found - c).T).min() <= 2 for c in ((30, 20), (59, 20), (30, 39), (59, 39)))
+    many = flow.corners(textured(120, 160), 50)
+    d = np.hypot(*(many[:, None] - many[None]).transpose(2, 0, 1)) + 99 * np.eye(len(many))
+    assert len(many) == 50 and d.min() >= flow.APART
+    assert len(flow.corners(np.full((30, 30), 0.4))) == 0
+
+
+@pytest.mark.parametrize("shift", [(5, 3), (0, 0), (-11, 6), (17, -20)])
+def test_corners_are_tracked(shift):
+    big = textured(200, 240)
+    a, b = big[40:160, 40:200], big[40 - shift[1] : 160 - shift[1], 40 - shift[0] : 200 - shift[0]]
+    assert abs(flow.displacement(a, b) - np.hypot(*shift)) < 0.05
+    assert flow.displacement(a * 0, b) == 0
+
+
+def test_parts_of_pixels_are_tracked():
+    big = textured(100, 130)
+    y, x = np.mgrid[10:90, 10:120].astype(float)
+    a, b = big[10:90, 10:120], flow.sampled(big, x - 2.5, y + 1.25)[0]
+    assert abs(flow.displacement(a, b) - np.hypot(2.5, 1.25)) < 0.05
