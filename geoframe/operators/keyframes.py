@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import in_ranges, whole
+from .ranges import ROWS, in_ranges, whole
 from .shared import cut
 
 UNIT = 10**9
@@ -133,9 +133,9 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table({"home": rows.column("home"), "rank": rows.column("rank"), "v": rows.column("v"), "o": rows.column("o"), "next": taken("best"), "next_range": taken("best_range")}).combine_chunks().to_batches()
 
 
-def pointers(frames: DataFrame, video: str, order: str, min_displacement: float, window: int, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A row for each frame: home (range), rank, v, o, next and next_range (-1: none); and the first
-    picks: node (rank) and home."""
+def pointers(frames: DataFrame, video: str, order: str, min_displacement: float, window: int, rows: int = ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """A row for each frame: home (range), rank, v, o, next and next_range (-1: none); the first
+    picks: node (rank) and home; and the number of ranges."""
     spark, kinds = frames.sparkSession, dict(frames.dtypes)
     kind, place = kinds[video], kinds[order]
     least = round(min_displacement * UNIT)
@@ -153,7 +153,7 @@ def pointers(frames: DataFrame, video: str, order: str, min_displacement: float,
     scored = cut(own.unionByName(lent).groupBy("_range").applyInArrow(_scored(window), f"_range int, rank long, v {kind}, o {place}, p long, best long, best_range int, first boolean"))
     targets = scored.select("v", F.col("p").alias("value"), F.lit(1).alias("kind"), "rank", F.lit(None).cast(place).alias("o"), F.col("_range").alias("home"), "best", "best_range")
     sought = scored.select("v", (F.col("p") + least).alias("value"), F.lit(0).alias("kind"), "rank", "o", F.col("_range").alias("home"), F.lit(-1).cast("long").alias("best"), F.lit(-1).alias("best_range"))
-    both = in_ranges(targets.unionByName(sought), ["v", "value", "kind", "rank"], rows)
+    both = in_ranges(targets.unionByName(sought), ["v", "value", "kind", "rank"], rows, 2 * sum(n for _, _, n in spans))
     heads = both.select("_range", "v", "kind", "best", "best_range").mapInArrow(_heads, f"_range int, holds boolean, v {kind}, best long, best_range int, last {kind}").collect()
     after, head = [], None
     for r in sorted(heads, key=lambda r: -r["_range"]):
@@ -162,7 +162,7 @@ def pointers(frames: DataFrame, video: str, order: str, min_displacement: float,
         head = r if r["holds"] else head
     known = F.broadcast(spark.createDataFrame(after, "_range int, after_best long, after_best_range int"))  # a row for each range
     made = both.join(known, "_range").mapInArrow(_filled, f"home int, rank long, v {kind}, o {place}, next long, next_range int")
-    return cut(made), scored.filter("first").select(F.col("best").alias("node"), F.col("best_range").alias("home"))
+    return cut(made), scored.filter("first").select(F.col("best").alias("node"), F.col("best_range").alias("home")), len(spans)
 
 
 def _inside(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -230,16 +230,18 @@ def _ranked(links: DataFrame, first: DataFrame) -> DataFrame:
     return reached
 
 
-def select_keyframes(frames: DataFrame, video: str, order: str, min_displacement: float, window: int = 5, rows: int | None = None) -> DataFrame:
+def select_keyframes(frames: DataFrame, video: str, order: str, min_displacement: float, window: int = 5, rows: int = ROWS) -> DataFrame:
     """video, frame order and pick number.  ``frames``: sharpness and displacement_to_next (at
     least 0; null counts as 0).  The first pick of a video is the sharpest of its first ``window``
     frames; then, again and again, from where the motion since the last pick reaches
     ``min_displacement``, the sharpest of the next ``window``; ties to the earliest.  A null
     sharpness is the least, NaN the largest."""
     kinds = dict(frames.dtypes)
-    links, first = pointers(frames, video, order, min_displacement, window, rows)
-    exits = cut(links.groupBy("home").applyInArrow(_exits, "node long, home int").distinct())
-    nodes = first.unionByName(exits).distinct()
-    hops = links.groupBy("home").cogroup(nodes.groupBy("home")).applyInArrow(_hops, "node long, next long, n long") if not exits.isEmpty() else None
-    reached = first.withColumn("pick", F.lit(0).cast("long")) if hops is None else _ranked(hops, first).join(nodes, "node")
+    links, first, ranges = pointers(frames, video, order, min_displacement, window, rows)
+    reached = first.withColumn("pick", F.lit(0).cast("long"))
+    if ranges > 1:
+        exits = cut(links.groupBy("home").applyInArrow(_exits, "node long, home int").distinct())
+        nodes = first.unionByName(exits).distinct()
+        hops = links.groupBy("home").cogroup(nodes.groupBy("home")).applyInArrow(_hops, "node long, next long, n long")
+        reached = _ranked(hops, first).join(nodes, "node")
     return links.groupBy("home").cogroup(reached.groupBy("home")).applyInArrow(_followed(video, order), f"`{video}` {kinds[video]}, `{order}` {kinds[order]}, pick long")

@@ -192,7 +192,12 @@ class Index:
         self.n = box["n"]
         if self.n:
             self.low, self.high = ([box[f"{f}{a}"] for a in AXES] for f in ("min", "max"))
-            self.points = in_ranges(points.withColumn("_m", morton(self.low, self.high)), ["_m", *AXES], max(BLOCK, -(-self.n // MOST))).withColumnRenamed("_range", "block")
+            self.single = self.n <= BLOCK
+            if self.single:  # the whole cloud is a block, and its box is known
+                self.points = points.withColumn("block", F.lit(0))
+                self.blocks = self.spark.sparkContext.broadcast((np.zeros(1, np.int32), np.zeros(1, np.int64), np.array([self.low]), np.array([self.high])))
+                return
+            self.points = in_ranges(points.withColumn("_m", morton(self.low, self.high)), ["_m", *AXES], max(BLOCK, -(-self.n // MOST)), self.n).withColumnRenamed("_range", "block")
             boxes = self.points.groupBy("block").agg(F.min("_m").alias("m"), *corners()).orderBy("block").collect()  # MOST rows at most
             self.blocks = self.spark.sparkContext.broadcast((np.array([r["block"] for r in boxes], np.int32), np.array([r["m"] for r in boxes]), *(np.array([[r[f"{f}{a}"] for a in AXES] for r in boxes], float) for f in ("min", "max"))))
 
@@ -213,7 +218,10 @@ class Index:
         if not self.n:
             return self.spark.createDataFrame([], f"_row long, ds array<double>{self.kept}").withColumnsRenamed(dict(zip(self.names, self.keep, strict=True)))
         placed = query.select("_row", *[F.col(a).cast("double").alias(a) for a in AXES], F.lit(float(radius)).alias("bound")).withColumn("_m", morton(self.low, self.high))
-        first = cut(self._meet(placed.mapInArrow(_homes(self.blocks), "_row long, x double, y double, z double, bound double, block int, home int"), k))
+        first = self._meet(placed.mapInArrow(_homes(self.blocks), "_row long, x double, y double, z double, bound double, block int, home int"), k)
+        if self.single:
+            return first.select("_row", *[F.col(c).alias(c.removeprefix("k_")) for c in columns])
+        first = cut(first)
         again = first.select("_row", *AXES, "bound", F.explode("reach").alias("block"), F.lit(0).alias("home"))
         both = first.select("_row", *columns).unionByName(self._meet(again, k).select("_row", *columns))
         # a query has a row for each block that it reached, and k distances in each

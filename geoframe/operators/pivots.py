@@ -129,6 +129,17 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select(F.col("idx").cast("long").alias("idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
 
 
+def _meeting(k: int, blocks: DataFrame, rings):
+    def met(routed: DataFrame, first: bool) -> DataFrame:
+        """Queries meet the rows of their block; a block of many queries has several tasks."""
+        parts = F.broadcast(routed.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))  # MOST rows at most
+        salted = routed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int"))
+        copies = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return salted.groupBy("block", "part").cogroup(copies.select("block", "part", "idx", "vec").groupBy("block", "part")).applyInArrow(_compared(k, rings, first), "own long, vec array<double>, best array<struct<d:double,near:long>>, compared long, reach array<int>")
+
+    return met
+
+
 def k_nearest(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """own, best (an array of (d, near), ascending by distance and id; shorter if there are fewer
     rows) and compared.  Both tables have idx and vec, all vectors of one length."""
@@ -138,20 +149,18 @@ def k_nearest(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     if not n:
         return spark.createDataFrame([], best)
     rows = _rows(reference)
+    if n <= BLOCK:  # one block, which every query meets
+        met = _meeting(k, rows.withColumn("block", F.lit(0)), None)
+        return met(_rows(queries).withColumn("block", F.lit(0)), False).select("own", "best", "compared")
     some = rows.orderBy(F.xxhash64("idx"), "idx").limit(min(PIVOTS, max(1, -(-n // BLOCK)) * 2)).collect()  # PIVOTS at most
     centers = np.unique(np.array([r["vec"] for r in some], float), axis=0)
     size = max(BLOCK, -(-n // MOST))
-    blocks = in_ranges(rows.mapInArrow(_placed(spark.sparkContext.broadcast(centers)), "idx long, vec array<double>, cell int, away double"), ["cell", "away", "idx"], size).withColumnRenamed("_range", "block")
+    blocks = in_ranges(rows.mapInArrow(_placed(spark.sparkContext.broadcast(centers)), "idx long, vec array<double>, cell int, away double"), ["cell", "away", "idx"], size, n).withColumnRenamed("_range", "block")
     found = blocks.groupBy("block", "cell").agg(F.min("away").alias("low"), F.max("away").alias("high")).orderBy("block", "cell").collect()  # MOST and PIVOTS rows at most
     of = lambda c, t: np.array([r[c] for r in found], t)
     rings = spark.sparkContext.broadcast((centers, distances(centers, centers) * (1 - np.eye(len(centers))), of("block", np.int32), of("cell", int), of("low", float), of("high", float)))
 
-    def met(routed: DataFrame, first: bool) -> DataFrame:
-        parts = F.broadcast(routed.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))  # MOST rows at most
-        salted = routed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int"))
-        copies = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return salted.groupBy("block", "part").cogroup(copies.select("block", "part", "idx", "vec").groupBy("block", "part")).applyInArrow(_compared(k, rings, first), "own long, vec array<double>, best array<struct<d:double,near:long>>, compared long, reach array<int>")
-
+    met = _meeting(k, blocks, rings)
     begun = cut(met(_rows(queries).mapInArrow(_routed(rings), "idx long, vec array<double>, block int, bound double").select("idx", "vec", "block"), True))
     on = begun.select(F.col("own").alias("idx"), "vec", F.explode("reach").alias("block"))
     both = begun.select("own", "best", "compared").unionByName(met(on, False).select("own", "best", "compared"))

@@ -15,14 +15,14 @@ ROWS = 250_000
 LEAST = 10_000
 
 
-def in_ranges(df: DataFrame, order: list[str | Column], rows: int | None = None) -> DataFrame:
-    """``df`` with _range (numbered in order) and _at (the place within it), written to the
-    checkpoint folder.  The number of ranges follows the number of rows."""
-    n = df.count()
+def in_ranges(df: DataFrame, order: list[str | Column], rows: int | None = None, n: int | None = None) -> DataFrame:
+    """``df`` (of n rows, if that is known) with _range (numbered in order) and _at (the place within
+    it), written to the checkpoint folder.  The number of ranges follows the number of rows."""
+    n = df.count() if n is None else n
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = -(-n // rows) if rows else max(-(-n // ROWS), min(cores, -(-n // LEAST)))
-    dealt = df.repartitionByRange(max(1, tasks), *order).sortWithinPartitions(*order)
-    return cut(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    dealt = df.repartitionByRange(tasks, *order) if tasks > 1 else df.coalesce(1)
+    return cut(dealt.sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
 
 
 def starts(ranged: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact quantiles of groups of any size.
 
 The built-in ``percentile`` keeps all different values of a group in one buffer.  That is fine for
-groups of up to LARGE values, and it serves those.  Larger groups are few (at most one for each
+groups of up to LARGE values, and it serves those (the table is read once more to tell).  Larger groups are few (at most one for each
 LARGE rows), and all their quantiles are found together by radix selection: a double's bits, as a
 whole number that sorts alike, are read thirteen at a time from the top; a pass counts the values
 under each digit below the prefixes that are still sought, and each sought rank moves on to the
@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, LongType
 from .shared import cut
 
 #: Values that a group may have to be left to the built-in aggregate.
-LARGE = 100_000
+LARGE = 500_000
 #: Bits of a digit.
 DIGIT = 13
 
@@ -69,11 +69,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probabilities:
     at = F.array(*[F.lit(float(p)) for p in probabilities])
     named = df.withColumn("_value", value.cast("double"))
     whole = F.percentile("_value", at).alias("q")
-    big = cut(named.groupBy(*keys).agg(F.count("_value").alias("_n")).filter(F.col("_n") > large))
+    small = named.groupBy(*keys).agg(whole, *also)
+    if named.count() <= large:
+        return small
+    big = cut(named.groupBy(*keys).agg(F.count("_value").alias("_n")).filter(F.col("_n") > large).withColumn("gid", F.monotonically_increasing_id()))
     if big.isEmpty():
-        return named.groupBy(*keys).agg(whole, *also)
-    big = big.withColumn("gid", F.monotonically_increasing_id())
-    big = cut(big)
+        return small
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] or [F.lit(True)]
     both = lambda how: named.alias("a").join(big.alias("b"), same, how) if keys else named.crossJoin(F.broadcast(big))  # one row
     rows = cut(both("inner").filter("_value is not null").select("gid", ordered_bits("_value").alias("bits")))

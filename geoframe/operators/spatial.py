@@ -48,7 +48,7 @@ def vertical_offset(points: DataFrame, reference: DataFrame, size: float = 1.0)
     def heights(cloud: DataFrame, name: str) -> DataFrame:
         return medians(cloud.select(cell(F.col("x"), size, origin[0]).alias("cx"), cell(F.col("y"), size, origin[1]).alias("cy"), "z"), ["cx", "cy"], F.col("z"), name)
 
-    both = heights(points, "a").join(heights(reference, "b"), ["cx", "cy"])
+    both = cut(heights(points, "a").join(heights(reference, "b"), ["cx", "cy"]))
     return medians(both, [], F.col("a") - F.col("b"), "dz", [F.count("*").alias("cells")]).withColumn("dz", F.coalesce("dz", F.lit(float("nan"))))
 
 
@@ -98,5 +98,5 @@ def sparse_dense_agreement(sparse: DataFrame, dense: DataFrame, unit: float, mul
     """One row: sparse points over the dense footprint, their median distance in units and the
     share within each multiple of the unit."""
     inside = footprint_crop(sparse, dense, size)
-    d = nearest(inside, dense, 100 * unit).select((F.col("d") / unit).alias("u"))
+    d = cut(nearest(inside, dense, 100 * unit).select((F.col("d") / unit).alias("u")))
     return medians(d, [], F.col("u"), "median_units", [F.count("*").alias("in_footprint"), *[F.avg(F.when(F.col("u") <= m, 1.0).otherwise(0.0)).alias(f"within_{m:g}") for m in multiples]])
