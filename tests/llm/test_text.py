@@ -406,3 +406,11 @@ def test_topics_and_tokens():
     data = np.frombuffer(b"".join(texts), np.uint8)
     topic, tokens = mixing.topics_and_tokens(data, np.array([0, 29, 29, 34]))
     assert tokens.tolist() == [3, 0, 3] and topic[1] == 0 and topic[2] == 0
+
+
+def test_quality_of_rows_with_other_kinds_of_ids(spark):
+    rows = [(i if i % 7 else None, f"Some plain text number {i}." if i % 2 else "!!! buy || now !!!") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id int, quality int")
+    want = {(r.doc_id, round(r.score, 9)) for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    got = quality.classify(spark.createDataFrame(rows, "doc_id int, text string"), labels)
+    assert dict(got.dtypes)["doc_id"] == "bigint" and {(r.doc_id, round(r.score, 9)) for r in got.collect()} == want and got.count() == 40
