@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import cameras, poses
-from .functions.linear import at, vec
+from .functions.linear import at, matmul, norm, scale, vec
 from .operators import frames, matching, metrics
+from .plans import mapper
 from .queries import items, query, r, rows, table
 
 # -- rotations and poses, by part
@@ -215,3 +216,39 @@ def new_point_ids(spark, folder):
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 12")
 def first_frames(spark, folder):
     return frames.first_frames(table(spark, folder, "events"), "user_id", ["ts", "event_id"], 12).select("event_id")
+
+
+# -- all poses from pairs
+
+_MAPPED = "s_suppkey AS id, s_suppkey * 0.1 AS a, s_suppkey % 7 * 0.2 AS b, s_suppkey * 37 % 101 / 10.0 AS x, s_suppkey * 53 % 89 / 10.0 AS y, s_suppkey * 29 % 61 / 10.0 AS z"
+_MAPPED_R = ["cos(a)", "-sin(a) * cos(b)", "sin(a) * sin(b)", "sin(a)", "cos(a) * cos(b)", "-cos(a) * sin(b)", "0", "sin(b)", "cos(b)"]
+_BY_FIRST = [" + ".join(f"v.r{3 * i + k} * f.r{3 * j + k}" for k in range(3)) for i in range(3) for j in range(3)]
+_FROM_FIRST = [" + ".join(f"f.r{3 * i + k} * (v.{c} - f.{c})" for k, c in enumerate("xyz")) for i in range(3)]
+
+
+def _mapped_views(spark, folder):
+    k = F.col("s_suppkey")
+    center = vec(k * 37 % 101 / 10.0, k * 53 % 89 / 10.0, k * 29 % 61 / 10.0)
+    return table(spark, folder, "supplier").select(k.alias("id"), poses.from_center(_zx(k * 0.1, k % 7 * 0.2), center).alias("pose"))
+
+
+@query(
+    f"""WITH v AS (SELECT *, {", ".join(f"{e} AS r{i}" for i, e in enumerate(_MAPPED_R))} FROM (SELECT {_MAPPED} FROM supplier)),
+s AS (SELECT sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS s FROM v), f AS (SELECT * FROM v ORDER BY id LIMIT 1)
+SELECT v.id AS image_id, {", ".join(f"round(({e}) / s, 5) + 0.0 AS {c}" for e, c in zip(_FROM_FIRST, "xyz", strict=True))},
+  {", ".join(f"round({e}, 5) + 0.0 AS r{i}" for i, e in enumerate(_BY_FIRST))} FROM v, f, s"""
+)
+def averaged_poses(spark, folder):
+    """Poses of suppliers from pairs of suppliers in an order, of which every tenth is grossly wrong.
+
+    The pairs know no lengths of their shifts; the poses found are the true ones."""
+    items_of = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    pairs = items_of.withColumnRenamed("l_suppkey", "image_a").join(items_of.withColumnRenamed("l_suppkey", "image_b"), "l_orderkey").filter("image_a < image_b")
+    pairs = pairs.groupBy("image_a", "image_b").agg(F.count("*").alias("n_inliers"))
+    side = lambda s: _mapped_views(spark, folder).select(F.col("id").alias(f"image_{s}"), F.col("pose").alias(s))
+    true = pairs.join(side("a"), "image_a").join(side("b"), "image_b").withColumn("p", poses.relative(F.col("a"), F.col("b")))
+    wrong = (F.col("image_a") * 7 + F.col("image_b") * 13) % 10 == 0
+    t = scale(F.col("p.t"), 1 / norm(F.col("p.t")))
+    given = poses.pose(F.when(wrong, matmul(_z(F.lit(1.0)), F.col("p.R"))).otherwise(F.col("p.R")), F.when(wrong, scale(t, -1.0)).otherwise(t))
+    found = mapper.averaged(true.select("image_a", "image_b", "n_inliers", given.alias("pose")), close=1e-9)
+    return found.select("image_id", *items(poses.center(F.col("pose")), list("xyz"), 5), *items(F.col("pose.R"), [f"r{i}" for i in range(9)], 5))
