@@ -7,9 +7,15 @@ the listed keys that pass the second by mistake, and so on until no key is left
 the levels are built over all keys that occur, a lookup is exact, and no join takes place.
 All of it is Spark SQL expressions.
 
+Rules are a list or a table of any size.  A level is a literal of at most MAX_BITS; lists that
+need more are dealt by a hash of their keys into segments of that size.  Each segment has cascades
+of its own and judges its share of every URL's keys in one pass over the pages.
+
 Defined results: a null URL or one without ``://`` has host and path ''.  No rule fits an
 empty host.  The longest rule (host plus path) wins; of equally long ones that with the
-longer host.  A URL that is not listed is allowed.  Repeated rows are judged one by one,
+longer host.  Rules with a null are left out; where one host and path has several verdicts, that
+which comes last counts (in a list by the verdict's first place, in a table by its name).
+A URL that is not listed is allowed.  Repeated rows are judged one by one,
 other columns are ignored, and an empty table gives no rows.
 """
 
@@ -21,14 +27,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused
+from .shared import cut, unused
 
 #: Expected share of the corpus's keys that the first level lets through by mistake.
 FIRST_LEVEL_ERROR = 0.01
 LATER_LEVEL_ERROR = 0.05
 MAX_LEVELS = 64
-#: Bits of one level at most (32 MB); a list that needs more is refused instead of broadcast.
+#: Bits of one level at most (32 MB); longer lists are dealt into segments.
 MAX_BITS = 1 << 28
+#: Words of 64 bits that reach the driver as one row.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -51,8 +59,9 @@ class Level:
     seed: int
 
     def holds(self, key: Column) -> Column:
+        data = F.lit(self.data)
         at = [bit_of(key, self.seed, i, 8 * len(self.data)) for i in range(self.hashes)]
-        byte = [F.conv(F.hex(F.substring(F.lit(self.data), F.shiftright(b, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long") for b in at]
+        byte = [F.conv(F.hex(F.substring(data, F.shiftright(b, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long") for b in at]
         tests = [F.getbit(v, (b % 8).cast("int")) == 1 for v, b in zip(byte, at, strict=True)]
         out = tests[0]
         for t in tests[1:]:
@@ -61,7 +70,8 @@ class Level:
 
 
 def _one(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    """The word that has this bit; words are written with their highest byte first."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int").bitwiseXOR(F.lit(56)))
 
 
 def bit_of(key: Column, seed: int, i: int, bits: int) -> Column:
@@ -86,17 +96,20 @@ def keys_of(host: Column, path: Column, lengths: list[int], labels: list[int]) -
     return F.transform(F.array_sort(F.array_distinct(pairs)), lambda x: x["key"])
 
 
+def _bits(count: int, error: float) -> int:
+    return 64 * max(1, math.ceil(-count * math.log(error) / math.log(2) ** 2 / 64))
+
+
 def _level(keys: DataFrame, count: int, error: float, seed: int) -> Level:
-    """One aggregate over ``keys`` (a column ``key``), of at most one row for each word."""
-    bits = 64 * max(1, math.ceil(-count * math.log(error) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"a level of {bits} bits passes the bound of {MAX_BITS}")
+    """One aggregate over ``keys`` (a column ``key``); a row for each CHUNK words reaches the driver."""
+    bits = _bits(count, error)
     hashes = max(1, min(30, round(bits / max(1, count) * math.log(2))))
     at = keys.select(F.explode(F.array(*[bit_of(F.col("key"), seed, i, bits) for i in range(hashes)])).alias("bit"))
-    data = bytearray(bits // 8)
-    for w, v in at.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(_one(F.col("bit"))).alias("value")).collect():
-        data[8 * w : 8 * w + 8] = v.to_bytes(8, "little", signed=True)
-    return Level(bytes(data), hashes, seed)
+    words = at.select(F.shiftright("bit", 6).alias("word"), _one(F.col("bit")).alias("value")).union(keys.sparkSession.range(bits // 64).select("id", F.lit(0).cast("long")))
+    words = words.groupBy("word").agg(F.bit_or("value").alias("value"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("word", "value"))), lambda x: F.lpad(F.hex(x["value"]), 16, "0"))
+    chunks = words.groupBy(F.floor(F.col("word") / CHUNK).alias("chunk")).agg(F.unhex(F.array_join(held, "")).alias("data")).orderBy("chunk")
+    return Level(b"".join(bytes(r["data"]) for r in chunks.collect()), hashes, seed)
 
 
 @dataclass(frozen=True)
@@ -111,50 +124,90 @@ class Cascade:
         return out
 
 
+def build_cascades(lists: list[DataFrame], universe: DataFrame, seed: int = 0) -> list[Cascade]:
+    """A cascade for each of ``lists``; these and ``universe`` have a column ``key``.  Exact for all keys of both.
+
+    The universe is read once: what passes some first level is kept (about the error rate of it),
+    and each further step works on what passes the levels so far."""
+    inside = [cut(k.filter("key is not null").distinct()) for k in lists]
+    seeds = [seed + 1000 * i for i in range(len(inside))]
+    firsts = [_level(k, n, FIRST_LEVEL_ERROR, s) if (n := k.count()) else None for k, s in zip(inside, seeds, strict=True)]
+    passes = [first.holds(F.col("key")) if first else F.lit(False) for first in firsts]
+    flagged = universe.filter("key is not null").select("key", *[f.alias(f"in{i}") for i, f in enumerate(passes)])
+    near = cut(flagged.filter(F.greatest(*[f"in{i}" for i in range(len(passes))], F.lit(False))).distinct())
+    out = []
+    for i, (listed, first) in enumerate(zip(inside, firsts, strict=True)):
+        if first is None:
+            out.append(Cascade(()))
+            continue
+        levels, left, over = [first], cut(near.filter(f"in{i}").select("key").join(listed, "key", "left_anti")), listed
+        while count := left.count():
+            if len(levels) == MAX_LEVELS:
+                raise RuntimeError("the cascade doesn't end")
+            level = _level(left, count, LATER_LEVEL_ERROR, seeds[i] + len(levels))
+            levels.append(level)
+            left, over = cut(over.filter(level.holds(F.col("key")))), left
+        out.append(Cascade(tuple(levels)))
+    return out
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Cascade:
-    """``listed`` and ``universe`` have a column ``key``.  Exact for all keys of both.
-
-    Each step keeps what passes the levels so far, so the tables shrink by the error rate;
-    the universe is read once for each level and nothing but the bits reaches the driver."""
-    listed, universe = listed.filter("key is not null").distinct(), universe.filter("key is not null").distinct()
-    inside, outside = listed, None
-    levels: list[Level] = []
-    count = inside.count()
-    while count:
-        if len(levels) == MAX_LEVELS:
-            raise RuntimeError("the cascade doesn't end")
-        level = _level(inside, count, LATER_LEVEL_ERROR if levels else FIRST_LEVEL_ERROR, seed + len(levels))
-        if outside is None:  # keys of the corpus that aren't listed and pass the first level
-            outside = universe.filter(level.holds(F.col("key"))).join(listed, "key", "left_anti")
-        else:
-            outside = outside.filter(level.holds(F.col("key")))
-        levels.append(level)
-        inside, outside = outside, inside
-        count = inside.count()
-    return Cascade(tuple(levels))
-
-
-def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to ``pages``; columns of these names are replaced."""
-    spark = pages.sparkSession
+    return build_cascades([listed], universe, seed)[0]
+
+
+def _table(pages: DataFrame, rules: list[Rule] | DataFrame) -> tuple[DataFrame, list[str]]:
+    """verdict, host, path and key, and the verdicts in the order of which the last one counts."""
+    if isinstance(rules, DataFrame):
+        made = rules.select("verdict", "host", "path").filter("verdict is not null and host is not null and path is not null")
+        verdicts = [r["verdict"] for r in made.select("verdict").distinct().orderBy("verdict").collect()]
+    else:
+        each = [F.struct(F.lit(r.verdict).alias("verdict"), F.lit(r.host).alias("host"), F.lit(r.path).alias("path")) for r in rules]
+        made = pages.sparkSession.range(1).select(F.inline(F.array(*each))) if each else pages.sparkSession.range(0).selectExpr("'' AS verdict", "'' AS host", "'' AS path")
+        verdicts = list(dict.fromkeys(r.verdict for r in rules))
+    return made.withColumn("key", F.concat("host", F.lit("\x1f"), "path")), verdicts
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """Adds host, path, rule and verdict to ``pages``; columns of these names are replaced.
+    ``rules``: a list, or a table with verdict, host and path."""
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    if not rules:
+    table, verdicts = _table(pages, rules)
+    if not verdicts:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    lengths = [len(r.path) for r in rules]
-    keys = keys_of(F.col("host"), F.col("path"), lengths, [r.host.count(".") + 1 for r in rules])
-    universe = parts.select(F.explode(keys).alias("key")).distinct()
-    cascades = {v: build_cascade(spark.range(1).select(F.explode(F.array(*[F.lit(r.key) for r in rules if r.verdict == v])).alias("key")), universe, seed=1000 * i) for i, v in enumerate(dict.fromkeys(r.verdict for r in rules))}
+    # as many lengths as a URL can have, and the longest list
+    lengths = [r[0] for r in table.select(F.length("path")).distinct().collect()]
+    labels = [r[0] for r in table.select(F.size(F.split("host", r"\.", -1))).distinct().collect()]
+    longest = table.groupBy("verdict").count().agg(F.max("count")).first()[0]
+    segments = -(-_bits(longest, FIRST_LEVEL_ERROR) // MAX_BITS)
+    if segments > 1:
+        segments += segments // 8 + 1  # room for uneven ones
+    keys = keys_of(F.col("host"), F.col("path"), lengths, labels)
+    name = unused(parts, "hit")
+    place = lambda key: F.pmod(F.xxhash64(key, F.lit("segment")), F.lit(segments))
 
-    def judged(key: Column) -> Column:
+    def judged(cascades: list[Cascade], key: Column) -> Column:
         out = F.lit(None).cast("string")
-        for v, cascade in cascades.items():
+        for v, cascade in zip(verdicts, cascades, strict=True):
             out = F.when(cascade.holds(key), F.lit(v)).otherwise(out)
         return out
 
-    hit = F.get(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), judged(k).alias("verdict"))), lambda x: x["verdict"].isNotNull()), F.lit(0))
-    name = unused(parts, "hit")
-    return parts.withColumn(name, hit).select(
+    places = F.transform(keys, lambda k, i: F.struct(i.alias("at"), k.alias("key")))
+
+    def best(cascades: list[Cascade], segment: int) -> Column:
+        some = F.filter(places, lambda x: place(x["key"]) == segment) if segments > 1 else places
+        found = F.transform(some, lambda x: F.struct(x["at"].alias("at"), x["key"].alias("key"), judged(cascades, x["key"]).alias("verdict")))
+        return F.get(F.filter(found, lambda x: x["verdict"].isNotNull()), F.lit(0))
+
+    held = parts
+    for s in range(segments):
+        mine = F.lit(True) if segments == 1 else place(F.col("key")) == s
+        lists = [table.filter((F.col("verdict") == v) & mine).select("key") for v in verdicts]
+        hit = best(build_cascades(lists, parts.select(F.explode(keys).alias("key")).filter(mine), seed=100_000 * s), s)
+        held = held.withColumn(name, F.least(F.col(f"`{name}`"), hit) if s else hit)
+        if segments > 1:  # else one plan would hold the levels of all segments
+            held = cut(held)
+    return held.select(
         *[F.col(f"`{c}`") for c in keep], "host", "path",
         F.regexp_replace(F.col(f"{name}.key"), "\x1f", "").alias("rule"),
         F.coalesce(F.col(f"{name}.verdict"), F.lit(default)).alias("verdict"),

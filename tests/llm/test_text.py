@@ -193,6 +193,31 @@ def test_url_filter_over_many_rules_and_levels(spark):
     assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got.collect()) == sorted((i, *((x or "") for x in judge(u, rules))) for i, u in enumerate(urls))
 
 
+def test_rules_as_a_table_in_segments(spark, monkeypatch):
+    """A level may have 2,048 bits: the rules are dealt into several segments."""
+    rng = np.random.default_rng(8)
+    name = lambda n: ".".join("".join(chr(97 + c) for c in rng.integers(0, 4, 2)) for _ in range(n))
+    rules = [url_filter.Rule(str(rng.choice(["allow", "block"])), name(int(rng.integers(1, 4))), str(rng.choice(["/", "/a"]))) for _ in range(700)]
+    rules = list({(r.host, r.path): r for r in rules}.values())
+    urls = [f"http://{name(int(rng.integers(1, 5)))}{rng.choice(['', '/', '/a/b'])}" for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table_of = spark.createDataFrame([(r.verdict, r.host, r.path, 1) for r in rules] + [(None, "a", "/", 1), ("block", None, "/", 1)], "verdict string, host string, path string, extra int")
+    want = sorted((i, *((x or "") for x in judge(u, rules))) for i, u in enumerate(urls))
+    monkeypatch.setattr(url_filter, "MAX_BITS", 2048)
+    got = url_filter.filter_urls(df, table_of)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got.collect()) == want
+    assert {r.verdict for r in url_filter.filter_urls(df, table_of.limit(0)).collect()} == {"allow"}
+
+
+def test_a_million_rules(spark):
+    table_of = spark.range(1_000_000).selectExpr("if(id % 2 = 0, 'block', 'allow') AS verdict", "concat('h', id, '.com') AS host", "'/' AS path")
+    df = spark.range(2_000).selectExpr("id AS page_id", "concat('http://x.h', id * 997, '.com/y') AS url")
+    got = url_filter.filter_urls(df, table_of)
+    wrong = got.filter("rule IS DISTINCT FROM if(page_id * 997 < 1000000, concat('h', page_id * 997, '.com/'), null) OR verdict <> if(page_id * 997 < 1000000 AND page_id % 2 = 0, 'block', 'allow')")
+    assert wrong.count() == 0 and got.filter("rule is not null").count() == 1004
+
+
 def test_cascade_is_exact_over_its_keys(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "FIRST_LEVEL_ERROR", 0.3)
     monkeypatch.setattr(url_filter, "LATER_LEVEL_ERROR", 0.4)
