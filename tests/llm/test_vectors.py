@@ -222,3 +222,19 @@ def test_huge_components(spark):
     rows = [(0, [3e18, 1.0], 1), (1, [1.0, 0.5], 1), (2, [-1.0, 0.5], 1), (3, [1e300, 2.0], 1)]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA), 10, 100).collect()]
     assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
+
+
+def test_queries_ask_few_shards_of_a_large_label(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32))
+    x[3000:] = x[:3000] + 0.1 * rng.normal(size=(3000, 32))
+    monkeypatch.setattr(hnsw, "SHARD", 200)
+    rows = spark.createDataFrame([(1, v.tolist(), i, 1) for i, v in enumerate(x)], "label long, vector array<double>, node long, weight long")
+    dealt = hnsw._dealt(rows, 0.98).select("node", "leaf", "asks").collect()
+    leaf = {r.node: r.leaf for r in dealt}
+    assert len(set(leaf.values())) == 32
+    assert np.mean([len(r.asks) for r in dealt]) < 16  # all 30 when shards were dealt by a hash
+    u = hnsw._unit(x)
+    close = [i for i in range(3000) if u[i] @ u[i + 3000] >= 0.98]
+    asks = {r.node: set(r.asks) for r in dealt}
+    assert len(close) > 2000 and np.mean([leaf[i + 3000] in asks[i] for i in close]) >= 0.99
