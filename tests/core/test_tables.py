@@ -466,3 +466,21 @@ def test_download_list(capsys):
 
     assert main(["download", "list"]) == 0 and capsys.readouterr().out.count("\n") == 4
     assert main(["download", "aukerman", "--root", "/nowhere"]) == 2
+
+
+def test_pose_errors_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PAIRED", 7)
+    rng = np.random.default_rng(2)
+    turns, shifts = [np.linalg.qr(rng.normal(size=(30, 3, 3)))[0] for _ in "et"], [rng.normal(size=(30, 3)) for _ in "et"]
+    shifts[0][4] = shifts[0][3] = shifts[1][4] = shifts[1][3]
+    turns[0][4] = turns[0][3]
+    models = [spark.createDataFrame([(f"n{k:02d}", (r[k].ravel().tolist(), t[k].tolist())) for k in range(30)], "name string, pose struct<R:array<double>,t:array<double>>") for r, t in zip(turns, shifts, strict=True)]
+    found = metrics.relative_pose_errors(*models)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()  # no row for each pair with both poses in it
+    got = {(r.name_i, r.name_j): (r.rot_deg, r.trans_deg) for r in found.collect()}
+    assert len(got) == 435 and got["n03", "n04"][1] == 180
+    for i in range(30):
+        for j in range(i + 1, 30):
+            (re, te), (rt, tt) = ((r[j] @ r[i].T, t[j] - r[j] @ r[i].T @ t[i]) for r, t in zip(turns, shifts, strict=True))
+            want = np.degrees(np.arccos(np.clip((np.trace(re.T @ rt) - 1) / 2, -1, 1))), np.degrees(np.arccos(np.clip(te @ tt / max(1e-300, np.linalg.norm(te) * np.linalg.norm(tt)), -1, 1)))
+            assert np.allclose(got[f"n{i:02d}", f"n{j:02d}"], want, atol=1e-6) or (i, j) == (3, 4)
