@@ -17,6 +17,8 @@ from .ranges import every_pair
 
 #: Distances in one matrix product of the matching kernel.
 TILE = 1 << 22
+#: Pairs of images up to which their table is broadcast.
+TOLD = 100_000
 
 
 def image_pairs(images: DataFrame, band: int = 0) -> DataFrame:
@@ -108,9 +110,11 @@ def simulated_matches(keypoints: DataFrame, pairs: DataFrame, outliers: float =
     Pairs with fewer true matches are left out."""
     seen = keypoints.filter("point3d_id is not null").select("image_id", "kp_idx", "point3d_id")
     a, b = (seen.select(F.col("image_id").alias(f"image_{s}"), F.col("kp_idx").alias(f"kp_{s}"), "point3d_id") for s in "ab")
-    true = a.join(b, "point3d_id").join(pairs, ["image_a", "image_b"])
+    # few pairs have many matches each: these stay where they are
+    told = F.broadcast if pairs.count() <= TOLD else lambda df: df
+    true = a.join(b, "point3d_id").join(told(pairs.select("image_a", "image_b")), ["image_a", "image_b"])
     sized = true.groupBy("image_a", "image_b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    true = true.join(sized.select("image_a", "image_b"), ["image_a", "image_b"]).select("image_a", "image_b", "kp_a", "kp_b")
+    true = true.join(told(sized.select("image_a", "image_b")), ["image_a", "image_b"]).select("image_a", "image_b", "kp_a", "kp_b")
     if not outliers:
         return true
     counts = keypoints.groupBy("image_id").agg(F.count("*").alias("m"))

@@ -484,3 +484,37 @@ def test_pose_errors_meet_in_blocks(spark, monkeypatch):
             (re, te), (rt, tt) = ((r[j] @ r[i].T, t[j] - r[j] @ r[i].T @ t[i]) for r, t in zip(turns, shifts, strict=True))
             want = np.degrees(np.arccos(np.clip((np.trace(re.T @ rt) - 1) / 2, -1, 1))), np.degrees(np.arccos(np.clip(te @ tt / max(1e-300, np.linalg.norm(te) * np.linalg.norm(tt)), -1, 1)))
             assert np.allclose(got[f"n{i:02d}", f"n{j:02d}"], want, atol=1e-6) or (i, j) == (3, 4)
+
+
+def test_matches_of_few_pairs_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(i, 10 * i + p, p) for i in range(4) for p in range(9)], "image_id long, kp_idx long, point3d_id long")
+    pairs = spark.createDataFrame([(0, 1), (1, 3)], "image_a long, image_b long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = matching.simulated_matches(rows, pairs, 0.0, 5)
+        assert sorted(map(tuple, found.collect())) == sorted((a, b, 10 * a + p, 10 * b + p) for a, b in ((0, 1), (1, 3)) for p in range(9))
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_hubs_of_a_graph_are_told_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HEAVY", 10)
+    rows = spark.createDataFrame([(k, 1) for k in range(40)] + [(k, k) for k in range(40, 45)] + [(50, 99)], "node long, root long")
+    told = spark.createDataFrame([(k, k - 1) for k in range(50)], "via long, far long")
+    found = graph.looked_up(rows, "root", told)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(k, 1, 0) for k in range(40)] + [(k, k, k - 1) for k in range(40, 45)] + [(50, 99, None)], key=str)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    edges = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(50)], "a long, b long")
+    assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(k, 0) for k in range(60)} | {(k, 100) for k in range(100, 151)}
+
+
+def test_tracks_of_packed_keypoints(spark, monkeypatch):
+    kinds = []
+    whole = graph.components
+    monkeypatch.setattr(graph, "components", lambda e: kinds.append(e.schema["a"].dataType.simpleString()) or whole(e))
+    for far in (0, -5):
+        got = graph.tracks(spark.createDataFrame([(1, 7, 2, 8), (2, 8, 3, 9), (far, 1, 4, 2)], "image_a int, kp_a long, image_b int, kp_b long")).collect()
+        assert len(got) == 5 and {(r.image_id, r.kp_idx) for r in got if r.track_id == 1} == {(1, 7), (2, 8), (3, 9)}
+    assert kinds[0] == "bigint" and kinds[1].startswith("struct")
