@@ -9,6 +9,23 @@ from .ranges import with_ranks
 from .shared import cut
 
 
+#: Rows of one key from which a join tells them by broadcast, so that no task holds them all.
+HEAVY = 100_000
+
+
+def looked_up(rows: DataFrame, key: str, told: DataFrame) -> DataFrame:
+    """``rows`` with far (null where none), joined by ``key`` with told: via (each once) and far.
+
+    Keys of over HEAVY rows, one for each HEAVY rows at most, are broadcast: their rows stay where they are."""
+    heavy = cut(rows.groupBy(F.col(key).alias("via")).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("via"))
+    if heavy.isEmpty():
+        return rows.join(told, F.col(key) == F.col("via"), "left").drop("via")
+    known = F.broadcast(heavy.join(told, "via", "left"))
+    many = rows.join(known, F.col(key) == F.col("via")).drop("via")
+    few = rows.join(F.broadcast(heavy), F.col(key) == F.col("via"), "left_anti")
+    return many.unionByName(few.join(told, F.col(key) == F.col("via"), "left").drop("via"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: columns a and b of any ordered type.  Returns node and component (the smallest
     node that it reaches).
@@ -23,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         steps = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
         while True:  # steps of steps, until all are roots
             far = steps.select(F.col("node").alias("via"), F.col("root").alias("far"))
-            steps = cut(steps.join(far, F.col("root") == F.col("via")).select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+            steps = cut(looked_up(steps, "root", far).select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
             if steps.filter("moved").isEmpty():
                 break
             steps = steps.drop("moved")
@@ -36,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = found.pop()
     while found:  # roots of a round are nodes of the next, if they have edges there
         later = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        labels = cut(found.pop().join(later, F.col("root") == F.col("via"), "left").select("node", F.coalesce("far", "root").alias("root")))
+        labels = cut(looked_up(found.pop(), "root", later).select("node", F.coalesce("far", "root").alias("root")))
     return labels.withColumnRenamed("root", "component")
 
 
