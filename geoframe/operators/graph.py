@@ -62,8 +62,18 @@ def tracks(matches: DataFrame, min_length: int = 2) -> DataFrame:
 
     Components with two keypoints of one image, and short ones, are left out.  Returns
     track_id (numbered by first keypoint), image_id and kp_idx."""
-    node = lambda s: F.struct(F.col(f"image_{s}").cast("long").alias("image_id"), F.col(f"kp_{s}").cast("long").alias("kp_idx"))
-    found = components(matches.select(node("a").alias("a"), node("b").alias("b")))
+    ids = [F.col(f"{c}_{s}").cast("long").alias(f"{c}_{s}") for c in ("image", "kp") for s in "ab"]
+    matches = cut(matches.select(*ids))
+    least, most = (F.min, F.least), (F.max, F.greatest)
+    ends = matches.agg(*[f(w(f"{c}_a", f"{c}_b")) for c in ("image", "kp") for f, w in (least, most)]).first()
+    packs = None not in ends and 0 <= ends[0] and ends[1] < 1 << 22 and 0 <= ends[2] and ends[3] < 1 << 40
+    node = lambda s: F.struct(F.col(f"image_{s}").alias("image_id"), F.col(f"kp_{s}").alias("kp_idx"))
+    number = lambda s: F.shiftleft(F.col(f"image_{s}"), 40).bitwiseOR(F.col(f"kp_{s}"))
+    if packs:  # one number a keypoint, in the same order
+        read = F.struct(F.shiftright("node", 40).alias("image_id"), F.col("node").bitwiseAND(F.lit((1 << 40) - 1)).alias("kp_idx"))
+        found = components(matches.select(number("a").alias("a"), number("b").alias("b"))).select(read.alias("node"), "component")
+    else:
+        found = components(matches.select(node("a").alias("a"), node("b").alias("b")))
     good = found.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("node.image_id").alias("images")).filter((F.col("n") == F.col("images")) & (F.col("n") >= min_length))
     return numbered(found.join(good.select("component"), "component"))
 
