@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from .ranges import every_pair
 TILE = 1 << 22
 #: Pairs of images up to which their table is broadcast.
 TOLD = 100_000
+#: Angles that a task holds before it sends them, and angles of a bucket.
+ANGLES, BUCKET = 1 << 20, 2_000_000
 
 
 def image_pairs(images: DataFrame, band: int = 0) -> DataFrame:
@@ -129,26 +132,103 @@ def view_neighbors(observations: DataFrame, points: DataFrame, images: DataFrame
     """For each view its k best others: image_id, neighbor, rank, shared, angle, score.
 
     score: shared points times min(1, median angle / 5 degrees).  ``observations``: point_id,
-    image_id; ``points``: point_id, x, y, z; ``images``: image_id, pose.  Each observation's unit
-    ray is computed once; a pair of views of a point adds three products."""
-    center = images.filter("pose is not null").select("image_id", poses.center(F.col("pose")).alias("c")).select("image_id", *[at(F.col("c"), i).alias(f"c{a}") for i, a in enumerate("xyz")])
-    seen = observations.select("point_id", "image_id").distinct().join(center, "image_id").join(points.select("point_id", "x", "y", "z"), "point_id")
-    seen = seen.select("point_id", "image_id", *[(F.col(f"c{a}") - F.col(a)).alias(a) for a in "xyz"])
-    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    rays = seen.withColumn("length", length).select("point_id", "image_id", *[F.try_divide(F.col(a), F.col("length")).alias(a) for a in "xyz"])
-    other = rays.select("point_id", F.col("image_id").alias("neighbor"), *[F.col(a).alias(f"o{a}") for a in "xyz"])
-    cosine = F.col("x") * F.col("ox") + F.col("y") * F.col("oy") + F.col("z") * F.col("oz")
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    pairs = rays.join(other, "point_id").filter("image_id < neighbor").select("image_id", "neighbor", angle.alias("angle"))
-    sorted_ = pairs.groupBy("image_id", "neighbor").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("angle")).alias("angles")).filter(F.col("shared") >= least)
-    middle = lambda j: F.get("angles", F.floor(j).cast("int"))
-    median = (middle((F.size("angles") - 1) / 2) + middle(F.size("angles") / 2)) / 2
-    scored = sorted_.select("image_id", "neighbor", "shared", median.alias("angle")).filter(F.col("angle") >= min_angle)
-    both = F.explode(F.array(F.struct("image_id", "neighbor"), F.struct(F.col("neighbor").alias("image_id"), F.col("image_id").alias("neighbor"))))
-    scored = scored.select(both.alias("p"), "shared", "angle").select("p.*", "shared", "angle").withColumn("score", F.col("shared") * F.least(F.lit(1.0), F.col("angle") / 5))
+    image_id; ``points``: point_id, x, y, z; ``images``: image_id (once each), pose.  A point's views
+    are shuffled once, as a set; the views' centers (three numbers a view) are told by broadcast.  Pairs
+    of views are never rows: tasks send their angles in arrays, sorted by pair, to buckets of pairs."""
+    spark, kind = observations.sparkSession, observations.schema["image_id"].dataType
+    center = images.filter("pose is not null").select(F.col("image_id").cast("long").alias("image_id"), poses.center(F.col("pose")).alias("c"))
+    told = center.select("image_id", *[at(F.col("c"), i).alias(a) for i, a in enumerate("xyz")]).orderBy("image_id").toArrow()
+    ids, n = told.column("image_id").to_numpy(), told.num_rows
+    if not n:
+        return top(spark.createDataFrame([], _SCORED), "image_id", ["neighbor"], k).withColumns({c: F.col(c).cast(kind) for c in ("image_id", "neighbor")})
+    m = observations.groupBy("point_id").agg(F.count("*").cast("double").alias("m"))
+    pairs = m.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    buckets = int(max(1, min(cores, pairs // 10_000), pairs // BUCKET))
+    tasks = max(min(4 * cores, buckets), buckets // 4)
+    views = spark.sparkContext.broadcast((ids, np.stack([told.column(a).to_numpy() for a in "xyz"], 1), np.all([told.column(a).is_valid() for a in "xyz"], axis=0)))
+    # the number is given, as sets are small against the pairs in them
+    seen = observations.repartition(tasks, "point_id").groupBy("point_id").agg(F.collect_set(F.col("image_id").cast("long")).alias("images")).filter(F.size("images") > 1)
+    seen = seen.join(points.select("point_id", "x", "y", "z"), "point_id").select("images", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    sent = seen.mapInArrow(_angles(views, buckets), "bucket int, own binary, other binary, angle binary")
+
+    def run(chunks: pa.Table) -> pa.Table:
+        own, other, angle = (np.concatenate([np.frombuffer(v.as_buffer(), t) for v in chunks.column(c)]) for c, t in (("own", np.int32), ("other", np.int32), ("angle", float)))
+        key = own.astype(np.int64) * n + other
+        order = np.lexsort((angle, key))  # missing angles last
+        key, angle = key[order], angle[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        shared = np.diff(np.r_[start, len(key)])
+        known = np.add.reduceat((~np.isnan(angle)).astype(np.int64), start)
+        middle = (angle[start + np.maximum(known - 1, 0) // 2] + angle[np.minimum(start + known // 2, start + shared - 1)]) / 2
+        keep = (shared >= least) & (known > 0) & (middle >= min_angle)
+        a, b, shared, middle = ids[key[start[keep]] // n], ids[key[start[keep]] % n], shared[keep], middle[keep]
+        return pa.table([pa.array(np.r_[a, b]), pa.array(np.r_[b, a]), pa.array(np.r_[shared, shared]), pa.array(np.r_[middle, middle])], ["image_id", "neighbor", "shared", "angle"])
+
+    scored = sent.groupBy("bucket").applyInArrow(run, _SCORED).withColumn("score", F.col("shared") * F.least(F.lit(1.0), F.col("angle") / 5))
+    scored = scored.withColumns({c: F.col(c).cast(kind) for c in ("image_id", "neighbor")})
     return top(scored, "image_id", [F.desc("score"), F.desc("neighbor")], k)
 
 
+_SCORED = "image_id long, neighbor long, shared long, angle double"
+
+
+def _angles(views: Broadcast, buckets: int):
+    """All pairs of views of each point, in arrays by buckets: the pair's own view (the smaller one if
+    their sum is even), the other, and the angle in degrees (missing if a ray has no direction)."""
+
+    def sent(own: np.ndarray, other: np.ndarray, angle: np.ndarray, n: int) -> pa.RecordBatch:
+        key = own.astype(np.int64) * n + other
+        order = np.argsort(key)
+        own, other, angle = own[order], other[order], angle[order]
+        bucket = np.minimum((key[order] / (n * n) * buckets).astype(np.int32), buckets - 1)
+        ends = np.r_[np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        starts = np.r_[0, ends[:-1]]
+        blobs = [pa.array([c[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()) for c in (own, other, angle)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *blobs], ["bucket", "own", "other", "angle"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, centers, known = views.value
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            lists = batch.column("images")
+            image, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            view = np.minimum(np.searchsorted(ids, image), len(ids) - 1)
+            there = ids[view] == image
+            view, row = view[there].astype(np.int32), row[there]
+            point = np.stack([batch.column(a).to_numpy(zero_copy_only=False) for a in "xyz"], 1)
+            placed = np.all([batch.column(a).is_valid() for a in "xyz"], axis=0)
+            ray = centers[view] - point[row]
+            length = np.sqrt(ray[:, 0] * ray[:, 0] + ray[:, 1] * ray[:, 1] + ray[:, 2] * ray[:, 2])
+            good = known[view] & placed[row] & (length != 0)
+            ray = ray / np.where(length != 0, length, 1.0)[:, None]
+            # each ray with those after it of the same point
+            later = np.searchsorted(row, row, "right") - np.arange(len(row)) - 1
+            ahead = np.r_[0, later.cumsum()]
+            begin = 0
+            while begin < len(row):
+                end = max(begin + 1, int(np.searchsorted(ahead, ahead[begin] + ANGLES // 4, "right")) - 1)
+                a = np.repeat(np.arange(begin, end), later[begin:end])
+                b = a + 1 + np.arange(len(a)) - (ahead[a] - ahead[begin])
+                p, q = ray[a], ray[b]
+                cosine = p[:, 0] * q[:, 0] + p[:, 1] * q[:, 1] + p[:, 2] * q[:, 2]
+                cosine = np.where(np.isnan(cosine), 1.0, np.clip(cosine, -1.0, 1.0))
+                angle = np.where(good[a] & good[b], np.degrees(np.arccos(cosine)), np.nan)
+                low, high = np.minimum(view[a], view[b]), np.maximum(view[a], view[b])
+                even = (low + high) % 2 == 0
+                held.append((np.where(even, low, high), np.where(even, high, low), angle))
+                size += len(a)
+                begin = end
+                if size >= ANGLES:
+                    yield sent(*map(np.concatenate, zip(*held, strict=True)), len(ids))
+                    held, size = [], 0
+        if size:
+            yield sent(*map(np.concatenate, zip(*held, strict=True)), len(ids))
+
+    return run
+
+
 def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     """The first k rows of each key, with rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)

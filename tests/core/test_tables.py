@@ -518,3 +518,36 @@ def test_tracks_of_packed_keypoints(spark, monkeypatch):
         got = graph.tracks(spark.createDataFrame([(1, 7, 2, 8), (2, 8, 3, 9), (far, 1, 4, 2)], "image_a int, kp_a long, image_b int, kp_b long")).collect()
         assert len(got) == 5 and {(r.image_id, r.kp_idx) for r in got if r.track_id == 1} == {(1, 7), (2, 8), (3, 9)}
     assert kinds[0] == "bigint" and kinds[1].startswith("struct")
+
+
+def test_view_neighbors_of_odd_rows(spark, monkeypatch):
+    """Against all pairs one by one: points with missing or no numbers, a point in a view's center, unknown
+    views and points, repeated rows; the only join is that with the points."""
+    monkeypatch.setattr(matching, "ANGLES", 50)
+    monkeypatch.setattr(matching, "BUCKET", 40)
+    rng = np.random.default_rng(12)
+    c = {7 * i - 20: rng.normal(0, 3, 3) for i in range(9)}
+    p = {i: rng.normal(0, 1, 3).tolist() for i in range(40)} | {40: [None, 0.0, 0.0], 41: [float("nan"), 0.0, 0.0], 42: c[1].tolist()}
+    rows = [(i, v) for i in p for v in c if rng.random() < 0.6] + [(42, 1), (3, 999), (77, 1), (77, 8), (None, 1), (4, None)]
+    rows += rows[:9]
+    images = spark.createDataFrame([(v, ([1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], (-x).tolist())) for v, x in c.items()] + [(500, None)], "image_id long, pose struct<R:array<double>,t:array<double>>")
+    points = spark.createDataFrame([(i, *x) for i, x in p.items()], "point_id long, x double, y double, z double")
+    found = matching.view_neighbors(spark.createDataFrame(rows, "point_id long, image_id long"), points, images, 3, 1.0, 4)
+    want = {}
+    for a in c:
+        scored = []
+        for b in c:
+            both = [i for i in p if (i, a) in rows and (i, b) in rows and a != b]
+            angles = []
+            for i in both:
+                u, v = (np.array([np.inf if k is None else k for k in p[i]]) - c[w] for w in (a, b))
+                if None not in p[i] and u.any() and v.any():
+                    angles.append(0.0 if np.isnan(u).any() else np.degrees(np.arccos(np.clip(u @ v / np.linalg.norm(u) / np.linalg.norm(v), -1, 1))))
+            if len(both) >= 4 and angles and np.median(angles) >= 1:
+                scored.append((len(both) * min(1, np.median(angles) / 5), b, len(both), np.median(angles)))
+        want[a] = [(b, n, rank + 1, round(m, 9)) for rank, (_, b, n, m) in enumerate(sorted(scored, reverse=True)[:3])]
+    got = {a: [] for a in c}
+    for r in sorted(found.collect(), key=lambda r: (r.image_id, r["rank"])):
+        got[r.image_id].append((r.neighbor, r.shared, r["rank"], round(r.angle, 9)))
+    assert got == want and found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert matching.view_neighbors(spark.createDataFrame(rows, "point_id long, image_id long"), points, images.limit(0), 3).collect() == []
