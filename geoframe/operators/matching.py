@@ -15,9 +15,12 @@ from ..functions.cameras import root_sift
 from ..functions.linear import at
 from . import pivots
 from .ranges import every_pair
+from .shared import cut
 
 #: Distances in one matrix product of the matching kernel.
 TILE = 1 << 22
+#: Descriptors of a tile of an image.
+ROWS = 8192
 #: Pairs of images up to which their table is broadcast.
 TOLD = 100_000
 #: Angles that a task holds before it sends them, and angles of a bucket.
@@ -45,7 +48,7 @@ def _top_two(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for s in range(0, len(a), max(1, TILE // len(b))):
         part = slice(s, s + max(1, TILE // len(b)))
         d2 = (a[part] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * a[part] @ b.T
-        d = np.sqrt(np.maximum(d2, 0))
+        d = np.sqrt(np.maximum(np.where(np.isnan(d2), np.inf, d2), 0))
         k = d.argmin(axis=1)
         row = np.arange(len(k))
         near[part], first[part] = k, d[row, k]
@@ -67,27 +70,53 @@ def match_kernel(a: np.ndarray, b: np.ndarray, ratio: float, mutual: bool) -> np
 
 
 def match_descriptors(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.8, mutual: bool = True) -> DataFrame:
-    """image_a, image_b, kp_a, kp_b.  ``descriptors``: image_id, kp_idx, vec.  One group for each
-    pair, two matrix products in it."""
-    packed = descriptors.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("kp_idx").cast("long").alias("idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec")))).alias("rows"))
-    both = pairs.join(packed.select(F.col("image_id").alias("image_a"), F.col("rows").alias("a")), "image_a").join(packed.select(F.col("image_id").alias("image_b"), F.col("rows").alias("b")), "image_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            images = [batch.column(c).to_pylist() for c in ("image_a", "image_b")]
-            for r in range(batch.num_rows):
-                (ia, va), (ib, vb) = (_side(batch.column(c).slice(r, 1).flatten()) for c in "ab")
-                m = match_kernel(va, vb, ratio, mutual)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(m), i[r], np.int64)) for i in images), pa.array(ia[m[:, 0]]), pa.array(ib[m[:, 1]])], ["image_a", "image_b", "kp_a", "kp_b"])
-
+    """image_a, image_b, kp_a, kp_b.  ``descriptors``: image_id, kp_idx, vec; ``pairs``: image_a,
+    image_b, of which each counts once.
+
+    Images are dealt into tiles of about ROWS descriptors, and two tiles are a task's group, so a task's
+    memory doesn't grow with an image.  Each descriptor's two nearest of every tile are then merged."""
+    rows = descriptors.filter("vec is not null").select(F.col("image_id").cast("long").alias("image"), F.col("kp_idx").cast("long").alias("idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    parts = rows.groupBy("image").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))
+    sized = pairs.select(*[F.col(f"image_{s}").cast("long").alias(f"image_{s}") for s in "ab"]).distinct()
+    for s in "ab":
+        sized = sized.join(parts.select(F.col("image").alias(f"image_{s}"), F.col("parts").alias(f"parts_{s}")), f"image_{s}")
+    keys = ["image_a", "image_b", "tile_a", "tile_b"]
     tasks = descriptors.sparkSession.sparkContext.defaultParallelism * 4
-    return both.repartition(tasks, "image_a", "image_b").mapInArrow(run, "image_a long, image_b long, kp_a long, kp_b long")
+
+    def side(s: str, other: str) -> DataFrame:
+        met = rows.join(sized, F.col("image") == F.col(f"image_{s}"))
+        tile = F.pmod(F.xxhash64("row"), F.col(f"parts_{s}")).cast("int").alias(f"tile_{s}")
+        copies = F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)).alias(f"tile_{other}")
+        return met.select("image_a", "image_b", tile, copies, "idx", "row", "vec").select(*[F.col(c).alias(c) for c in (*keys, "idx", "row", "vec")]).repartition(tasks, *keys)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table([pa.array([], f.type) for f in _NEAREST], schema=_NEAREST)
+        image_a, image_b = a.column("image_a")[0].as_py(), a.column("image_b")[0].as_py()
+        ends = []
+        for t in (a, b):
+            idx, row = t.column("idx").to_numpy(), t.column("row").to_numpy()
+            order = np.lexsort((row, idx))
+            ends.append((idx[order], row[order], pivots.matrix(t.column("vec"))[order]))
+        out = []
+        for back, (idx, row, v), (far_idx, far_row, w) in [(False, *ends), (True, *ends[::-1])][: 2 if mutual else 1]:
+            near, first, second = _top_two(v, w)
+            n = len(v)
+            out.append(pa.table([np.full(n, image_a), np.full(n, image_b), np.full(n, back), row, idx, first, far_idx[near], far_row[near], second], schema=_NEAREST))
+        return pa.concat_tables(out)
+
+    found = cut(side("a", "b").groupBy(*keys).cogroup(side("b", "a").groupBy(*keys)).applyInArrow(run, "image_a long, image_b long, back boolean, own long, kp long, d double, near_kp long, near long, second double"))
+    best = found.groupBy("image_a", "image_b", "back", "own", "kp").agg(F.min(F.struct("d", "near_kp", "near")).alias("best"), F.array_sort(F.flatten(F.collect_list(F.array("d", "second")))).getItem(1).alias("second"))
+    # an image of a single descriptor has no second
+    one = best.filter(~F.col("back") & (F.col("second") < float("inf")) & (F.col("best.d") < ratio * F.col("second")))
+    one = one.select("image_a", "image_b", F.col("kp").alias("kp_a"), F.col("best.near_kp").alias("kp_b"), "own", F.col("best.near").alias("near"))
+    if mutual:
+        one = one.join(best.filter("back").select("image_a", "image_b", F.col("best.near").alias("own"), F.col("own").alias("near")), ["image_a", "image_b", "own", "near"])
+    return one.select("image_a", "image_b", "kp_a", "kp_b")
 
 
-def _side(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of one row's list."""
-    vectors = rows.field("vec")
-    return rows.field("idx").to_numpy(), np.asarray(vectors.flatten()).reshape(len(vectors), -1)
+_NEAREST = pa.schema([("image_a", pa.int64()), ("image_b", pa.int64()), ("back", pa.bool_()), ("own", pa.int64()), ("kp", pa.int64()), ("d", pa.float64()), ("near_kp", pa.int64()), ("near", pa.int64()), ("second", pa.float64())])
 
 
 def match_sets(a: DataFrame, b: DataFrame, ratio: float = 0.8, mutual: bool = True) -> DataFrame:

@@ -551,3 +551,23 @@ def test_view_neighbors_of_odd_rows(spark, monkeypatch):
         got[r.image_id].append((r.neighbor, r.shared, r["rank"], round(r.angle, 9)))
     assert got == want and found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert matching.view_neighbors(spark.createDataFrame(rows, "point_id long, image_id long"), points, images.limit(0), 3).collect() == []
+
+
+def test_descriptors_of_images_in_tiles(spark, monkeypatch):
+    """Images of many tiles match like whole ones, and no group holds more than two tiles; equal distances
+    go to the first, and nothing matches an image of one descriptor or none."""
+    sizes = {1: 70, 2: 55, 3: 1, 5: 40}
+    rng = np.random.default_rng(13)
+    v = {i: rng.integers(0, 4, (n, 5)).astype(float) for i, n in sizes.items()}
+    v[2][:20] = v[1][:20] + 0.1
+    rows = [(i, 100 - k, x.tolist()) for i, m in v.items() for k, x in enumerate(m)] + [(5, 7, None)]
+    d = spark.createDataFrame(rows, "image_id long, kp_idx long, vec array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 5), (2, 5), (1, 4), (1, 2)], "image_a long, image_b long")
+    want = {m: set() for m in (True, False)}
+    for a, b in ((1, 2), (2, 5), (3, 5)):
+        for mutual, out in want.items():
+            out |= {(a, b, 100 - (len(v[a]) - 1 - i), 100 - (len(v[b]) - 1 - j)) for i, j in matching.match_kernel(v[a][::-1], v[b][::-1], 0.9, mutual).tolist()}
+    monkeypatch.setattr(matching, "ROWS", 16)
+    for mutual in (True, False):
+        got = [tuple(r) for r in matching.match_descriptors(d, pairs, 0.9, mutual).select("image_a", "image_b", "kp_a", "kp_b").collect()]
+        assert want[mutual] and set(got) == want[mutual] and len(got) == len(set(got))
