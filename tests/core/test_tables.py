@@ -397,6 +397,19 @@ def test_whole_pose_pairs(spark, whole):
     assert all(abs(d - np.degrees(0.01 * abs(j % 3 - i % 3))) < 2e-4 for (i, j), d in got.items())
 
 
+def test_rounding_of_very_many_rows(spark):
+    """Equal to Spark's own to the bit, ties, signs and numbers without digits included; decimal digits only near a half."""
+    rng = np.random.default_rng(12)
+    ties = np.r_[np.arange(-40, 40) / 20000, 179.99995, 0.00005, 2.67495, 1.00005]
+    v = np.r_[rng.uniform(-180, 180, 20_000), rng.integers(-(10**6), 10**6, 500) / 1e4, ties, np.nextafter(ties, 9), np.nextafter(ties, -9), 1e7 + ties, 1e15 + 0.3, 1e300, np.inf, -np.inf, np.nan, -0.0, 1e-300, -1e-9]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    got = df.select(queries.r_many(F.col("x"), 4).alias("a"), queries.r(F.col("x"), 4).alias("b")).toArrow()
+    a, b = (np.array([np.nan if x is None else x for x in got.column(c).to_pylist()]) for c in "ab")
+    assert got.column("a").null_count == got.column("b").null_count
+    assert np.array_equal(a, b, equal_nan=True) and not np.signbit(a[a == 0]).any()
+    assert "CASE WHEN" in queries.relative_pose_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_binary_model(spark, tmp_path):
     """A binary model written here value by value reads like the text model of the same values."""
     import struct
